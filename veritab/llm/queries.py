@@ -123,25 +123,25 @@ FROM parts p LEFT JOIN fit f ON f.page_id = p.page_id AND f.place = 1
 WITH RECURSIVE cut AS (
   SELECT doc_id,
          list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                           '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words
+                                           '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
   FROM documents
 ),
 sets AS (
   SELECT doc_id,
          CASE WHEN len(words) = 0 THEN []::VARCHAR[]
               WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
-              ELSE list_distinct(list_transform(range(1, len(words) - 2), i -> words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3]))
+              ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3]))
          END AS shingles
   FROM cut
 ),
 sizes AS (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n FROM sets),
 flat AS (SELECT doc_id, unnest(shingles) AS shingle FROM sets),
 common AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
   FROM flat a JOIN flat b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
 ),
 links AS (
-  SELECT x, y FROM common JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * both >= 85 * (s.n + t.n - both)
+  SELECT x, y FROM common JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * shared >= 85 * (s.n + t.n - shared)
 ),
 edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
 reach(doc_id, other) AS (
