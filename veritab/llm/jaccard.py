@@ -7,8 +7,9 @@ one gives few candidates). Documents that link share a shingle in their *prefixe
 ``n - ceil(t * n) + 1`` of each set.
 
 1. Equal sets become one node. Shingles in the prefix of one node only are dropped.
-2. Each shingle's smallest node is its leader. Every node is compared with its leaders - a
-   star, not all pairs - and linked nodes form components.
+2. Each shingle's smallest node is its leader. Nodes are compared with their leaders - a star,
+   not all pairs - where they share enough of the shingles led, and linked nodes form
+   components.
 3. What may still link lies in different components. Nodes are partitioned into groups of
    similar sets (by component or leader, and by size) with at most about ``GROUP`` members. The
    token-group matrix has a row for each shingle and group: the group's token union. Joined
@@ -91,6 +92,10 @@ def least_overlap(n, percent: int):
     return -(-n * percent // 100)
 
 
+def least_overlap_sql(n: str, percent: int):
+    return F.ceil(F.col(n) * percent / 100)
+
+
 def prefix_length(n, percent: int):
     return n - least_overlap(n, percent) + 1
 
@@ -308,9 +313,16 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_i
     leaders = rows.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("hi")).where("leader < hi").select("token", "leader")
     rows = materialize(rows.join(materialize(leaders, "leaders"), "token"), "led")
 
-    stars = rows.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_b")).distinct()
-    sizes = materialize(rows.select(F.col("node").alias("a"), F.col("n").alias("n_a")).distinct(), "sizes")
-    stars = materialize(stars.join(sizes, "a").where(_sizes_fit("n_a", "n_b", percent)).select("a", "b").distinct(), "stars")
+    # A leader is compared with the nodes that the shingles it leads alone let through; what
+    # this leaves out stays a candidate of the token-group matrix.
+    stars = rows.where("node != leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(
+        F.count("*").alias("led"), F.min("n").alias("n_b"), F.min("last").alias("last_b")
+    )
+    facts = materialize(rows.groupBy(F.col("node").alias("a")).agg(F.min("n").alias("n_a"), F.min("last").alias("last_a")), "facts")
+    rest = F.when(F.col("last_a") <= F.col("last_b"), least_overlap_sql("n_a", percent)).otherwise(least_overlap_sql("n_b", percent)) - 1
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+    stars = stars.join(facts, "a").where(_sizes_fit("n_a", "n_b", percent) & (F.col("led") + rest >= need))
+    stars = materialize(stars.select("a", "b"), "stars")
     whole = sets_of(docs, stars.select(F.col("a").alias("node")).union(stars.select("b")), size, id_col, text_col)
     edges = materialize(linked(stars, whole, percent).union(split), "links")
     parts = materialize(components(edges), "components")
