@@ -1,10 +1,308 @@
-"""The registered queries and their SQL oracles."""
+"""The registered queries and their SQL oracles.
+
+Each query applies operators to whole test tables; its oracle is independent DuckDB SQL.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .functions import text as text_functions
+from .operators import combine, profile, stats
+from .plans import verdict as verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+Read = Callable[[str], DataFrame]
+
+
+def query(sql: str | None = None):
+    """Register a function of a table reader under its own name."""
+
+    def add(function: Callable[[Read], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return function(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[function.__name__] = run
+        if sql:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, so that the order of summation does not show."""
+    return df.select(*(F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+
+_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def _summary_sql(column: str) -> str:
+    return f"""SELECT '{column}' AS "column", count(x) AS n, round(min(x), 6) AS "min", round(max(x), 6) AS "max", round(avg(x), 6) AS mean, round(median(x), 6) AS median,
+ round(stddev_samp(x), 6) AS stddev, round(skewness(x), 6) AS skewness, count(*) FILTER (WHERE x = 0) AS zeros, count(*) FILTER (WHERE x < 0) AS negatives,
+ round(quantile_cont(x, 0.05), 6) AS p05, round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.75), 6) AS p75, round(quantile_cont(x, 0.95), 6) AS p95
+ FROM (SELECT CAST({column} AS DOUBLE) AS x FROM lineitem)"""
+
+
+@query(" UNION ALL ".join(map(_summary_sql, _NUMERIC)))
+def profile_numeric_lineitem(t: Read) -> DataFrame:
+    return rounded(profile.numeric_summary(t("lineitem"), _NUMERIC))
+
+
+_FENCES = "(SELECT q1 - 1.5 * (q3 - q1) AS low_fence, q3 + 1.5 * (q3 - q1) AS high_fence FROM (SELECT quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM v))"
+
+
+@query(f"WITH v AS (SELECT o_totalprice AS x FROM orders) SELECT round(low_fence, 6) AS low_fence, round(high_fence, 6) AS high_fence, count(x) AS n, count(*) FILTER (WHERE x < low_fence OR x > high_fence) AS n_outside FROM v, {_FENCES} GROUP BY ALL")
+def profile_outliers(t: Read) -> DataFrame:
+    return rounded(profile.outliers(t("orders"), "o_totalprice"))
+
+
+@query(f"WITH v AS (SELECT CASE WHEN o_orderkey % 50 = 0 THEN -999999.0 ELSE o_totalprice END AS x FROM orders) SELECT x AS code, count(*) AS n FROM v, {_FENCES} WHERE x IN (-999999.0, -1.0) AND (x < low_fence OR x > high_fence) GROUP BY x HAVING count(*) >= 2")
+def profile_sentinels(t: Read) -> DataFrame:
+    rows = t("orders").select(F.when(F.col("o_orderkey") % 50 == 0, F.lit(-999999.0)).otherwise(F.col("o_totalprice")).alias("x"))
+    return profile.sentinels(rows, "x", [-999999.0, -1.0])
+
+
+@query("WITH b AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders), c AS (SELECT least(CAST(floor((o_totalprice - lo) / ((hi - lo) / 20)) AS BIGINT), 19) AS bin, count(*) AS n FROM orders, b GROUP BY 1) SELECT CAST(r.range AS BIGINT) AS bin, coalesce(n, 0) AS n FROM range(20) r LEFT JOIN c ON c.bin = r.range")
+def histogram_totalprice(t: Read) -> DataFrame:
+    return profile.histogram(t("orders"), "o_totalprice")
+
+
+@query("SELECT o_orderpriority AS value, count(*) AS n, round(count(*) / (SELECT count(o_orderpriority) FROM orders), 6) AS share FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 10")
+def top_values_priority(t: Read) -> DataFrame:
+    return rounded(profile.top_values(t("orders"), "o_orderpriority"))
+
+
+@query("SELECT count(*) AS n_distinct, count(*) FILTER (WHERE n < 0.01 * total) AS n_rare, round(max(n) / any_value(total), 6) AS top_share, round(max(n) / min(n), 6) AS imbalance_ratio FROM (SELECT p_brand, count(*) AS n FROM part WHERE p_brand IS NOT NULL GROUP BY 1), (SELECT count(p_brand) AS total FROM part)")
+def category_stats_brand(t: Read) -> DataFrame:
+    return rounded(profile.category_stats(t("part"), "p_brand"))
+
+
+def _text_sql(column: str) -> str:
+    return f"""SELECT '{column}' AS "column", CAST(min(length({column})) AS BIGINT) AS min_length, round(avg(length({column})), 6) AS avg_length, CAST(max(length({column})) AS BIGINT) AS max_length,
+ count(*) FILTER (WHERE w = '') AS blank, round(avg(CASE WHEN w = '' THEN 0 ELSE len(string_split(w, ' ')) END), 6) AS avg_words
+ FROM (SELECT {column}, trim(regexp_replace({column}, '[ \\t\\r\\n]+', ' ', 'g')) AS w FROM documents)"""
+
+
+@query(" UNION ALL ".join(map(_text_sql, ["text", "lang", "source"])))
+def text_stats_documents(t: Read) -> DataFrame:
+    return rounded(profile.text_stats(t("documents"), ["text", "lang", "source"]))
+
+
+@query("SELECT lower(regexp_extract(h, '^\\s*[-+]?[0-9][0-9.,]*\\s*([A-Za-z%]+)\\s*$', 1)) AS unit, count(*) AS n FROM (SELECT p_size || CASE WHEN p_partkey % 5 = 0 THEN ' in' ELSE ' cm' END AS h FROM part) GROUP BY 1 HAVING unit <> '' ORDER BY n DESC, unit LIMIT 50")
+def unit_histogram_part(t: Read) -> DataFrame:
+    return profile.unit_histogram(t("part").select(F.concat(F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 5 == 0, " in").otherwise(" cm")).alias("h")), "h")
+
+
+@query("WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), g AS (SELECT date_diff('day', lag(d) OVER (ORDER BY d), d) AS gap FROM d) SELECT gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY 1 ORDER BY n DESC, gap LIMIT 1")
+def date_gaps_orders(t: Read) -> DataFrame:
+    return profile.modal_gap(t("orders"), "o_orderdate")
+
+
+@query("WITH c AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, count(*) AS n FROM orders GROUP BY 1), s AS (SELECT CAST(unnest(generate_series(min(period), max(period), INTERVAL 1 MONTH)) AS DATE) AS period FROM c) SELECT s.period, coalesce(n, 0) AS n FROM s LEFT JOIN c USING (period)")
+def period_counts_orders(t: Read) -> DataFrame:
+    return profile.period_counts(t("orders"), "o_orderdate", "month")
+
+
+@query("SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT lang, source, n_chars FROM documents)) AS duplicates FROM documents")
+def duplicate_rows_documents(t: Read) -> DataFrame:
+    return profile.duplicate_rows(t("documents").select("lang", "source", "n_chars"))
+
+
+_CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS n_distinct, round(count(DISTINCT {c}) / count({c}), 6) AS uniqueness FROM customer" for c in _CUSTOMER))
+def column_counts_customer(t: Read) -> DataFrame:
+    return rounded(profile.column_counts(t("customer"), _CUSTOMER))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\" FROM customer HAVING count(*) = count(DISTINCT {c}) AND count(*) = count({c})" for c in _CUSTOMER))
+def candidate_keys_customer(t: Read) -> DataFrame:
+    return profile.candidate_keys(t("customer"), _CUSTOMER)
+
+
+@query("SELECT 'email' AS kind, round(avg(CAST(regexp_full_match(m, '[A-Za-z0-9._%+#-]+@[A-Za-z0-9.-]+') AS DOUBLE)), 6) AS rate FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE c_name || '@x.org' END AS m FROM customer) UNION ALL SELECT 'digits', round(avg(CAST(regexp_full_match(m, '[0-9]+') AS DOUBLE)), 6) FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE c_name || '@x.org' END AS m FROM customer)")
+def pii_rates_customer(t: Read) -> DataFrame:
+    mail = F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(F.concat("c_name", F.lit("@x.org")))
+    return rounded(profile.match_rates(t("customer").select(mail.alias("m")), "m", {"email": "[A-Za-z0-9._%+#-]+@[A-Za-z0-9.-]+", "digits": "[0-9]+"}))
+
+
+@query("SELECT 'l_discount' AS a, 'copy' AS b, round(avg(CAST(l_discount IS NOT DISTINCT FROM CASE WHEN l_orderkey % 100 = 0 THEN NULL ELSE l_discount END AS DOUBLE)), 6) AS share FROM lineitem")
+def near_duplicate_columns(t: Read) -> DataFrame:
+    rows = t("lineitem").withColumn("copy", F.when(F.col("l_orderkey") % 100 != 0, F.col("l_discount")))
+    return rounded(profile.equal_shares(rows, [("l_discount", "copy")]))
+
+
+@query("SELECT n, s, round(tau, 6) AS tau FROM (WITH c AS (SELECT year(o_orderdate) AS x, floor(o_totalprice / 50000) AS y, count(*) AS c FROM orders GROUP BY 1, 2), s AS (SELECT sum(CAST(sign(q.y - p.y) * p.c * q.c AS DOUBLE)) AS s FROM c p JOIN c q ON p.x < q.x), n AS (SELECT CAST(sum(c) AS BIGINT) AS n FROM c), tx AS (SELECT sum(k * (k - 1) / 2) AS a FROM (SELECT CAST(sum(c) AS DOUBLE) AS k FROM c GROUP BY x)), ty AS (SELECT sum(k * (k - 1) / 2) AS b FROM (SELECT CAST(sum(c) AS DOUBLE) AS k FROM c GROUP BY y)) SELECT n, s, s / sqrt((n * (n - 1) / 2 - a) * (n * (n - 1) / 2 - b)) AS tau FROM n, s, tx, ty)")
+def trend_orders(t: Read) -> DataFrame:
+    rows = t("orders").select(F.year("o_orderdate").alias("x"), F.floor(F.col("o_totalprice") / 50000).alias("y"))
+    return rounded(stats.kendall_trend(rows, "x", "y"))
+
+
+_RANKS = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
+
+
+@query(f"SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM (SELECT {_RANKS.format('p_size')} AS a, {_RANKS.format('p_retailprice')} AS b FROM part)")
+def spearman_part(t: Read) -> DataFrame:
+    return rounded(stats.spearman(t("part"), "p_size", "p_retailprice"))
+
+
+@query(f"WITH r AS (SELECT o_orderstatus AS g, o_totalprice AS x, {_RANKS.format('o_totalprice')} AS rk FROM orders WHERE o_orderstatus IN ('F', 'O')), s AS (SELECT g, count(*) AS n, sum(rk) AS rs FROM r GROUP BY 1), tt AS (SELECT CAST(sum(k * k * k - k) AS DOUBLE) AS tie_term FROM (SELECT CAST(count(*) AS DOUBLE) AS k FROM r GROUP BY x)) SELECT a.g AS first_group, a.n AS n1, b.n AS n2, a.rs - a.n * (a.n + 1) / 2.0 AS u, round(2 * (a.rs - a.n * (a.n + 1) / 2.0) / (CAST(a.n AS DOUBLE) * b.n) - 1, 6) AS effect, tie_term FROM s a, s b, tt WHERE a.g < b.g")
+def mann_whitney_orders(t: Read) -> DataFrame:
+    return rounded(stats.mann_whitney(t("orders").where("o_orderstatus in ('F', 'O')"), "o_totalprice", "o_orderstatus"))
+
+
+@query(f"WITH r AS (SELECT l_returnflag AS g, l_quantity AS x, {_RANKS.format('l_quantity')} AS rk FROM lineitem), s AS (SELECT g, count(*) AS n, sum(rk) AS rs FROM r GROUP BY 1), tt AS (SELECT sum(k * k * k - k) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS k FROM r GROUP BY x)), h AS (SELECT count(*) AS k, CAST(sum(n) AS BIGINT) AS n, sum(rs * rs / n) AS q FROM s) SELECT k, n, round((12 / (CAST(n AS DOUBLE) * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (CAST(n AS DOUBLE) * n * n - n)), 5) AS h, round((12 / (CAST(n AS DOUBLE) * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (CAST(n AS DOUBLE) * n * n - n)) / (n - 1), 6) AS effect FROM h, tt")
+def kruskal_lineitem(t: Read) -> DataFrame:
+    return stats.kruskal_wallis(t("lineitem"), "l_quantity", "l_returnflag").select("k", "n", F.round("h", 5).alias("h"), F.round("effect", 6).alias("effect"))
+
+
+@query("WITH o AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS o FROM orders GROUP BY 1, 2), g AS (SELECT ra.a, cb.b, coalesce(o.o, 0) AS o, CAST(ra.n AS DOUBLE) * cb.n / t.n AS e, t.n AS n FROM (SELECT a, sum(o) AS n FROM o GROUP BY 1) ra, (SELECT b, sum(o) AS n FROM o GROUP BY 1) cb, (SELECT sum(o) AS n FROM o) t LEFT JOIN o ON o.a = ra.a AND o.b = cb.b) SELECT CAST(any_value(n) AS BIGINT) AS n, round(sum((o - e) * (o - e) / e), 6) AS chi2, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS dof, round(sqrt(sum((o - e) * (o - e) / e) / (any_value(n) * (least(count(DISTINCT a), count(DISTINCT b)) - 1))), 6) AS v, round(avg(CAST(e < 5 AS DOUBLE)), 6) AS small_share FROM g")
+def chi_square_orders(t: Read) -> DataFrame:
+    return rounded(stats.chi_square(t("orders"), "o_orderstatus", "o_orderpriority"))
+
+
+@query("WITH g AS (SELECT l_returnflag, count(*) AS n, avg(l_extendedprice) AS m, var_pop(l_extendedprice) AS v FROM lineitem GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n, round(sqrt((sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n)) / ((sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n)) + sum(n * v))), 5) AS eta FROM g")
+def eta_lineitem(t: Read) -> DataFrame:
+    return stats.correlation_ratio(t("lineitem"), "l_returnflag", "l_extendedprice").select("n", F.round("eta", 5).alias("eta"))
+
+
+@query("WITH v AS (SELECT nullif(l_discount, 0) IS NULL AS a, nullif(l_tax, 0) IS NULL AS b FROM lineitem) SELECT count(*) AS n, round(corr(CAST(a AS DOUBLE), CAST(b AS DOUBLE)), 6) AS phi FROM v")
+def co_missing_lineitem(t: Read) -> DataFrame:
+    rows = t("lineitem").select(F.expr("nullif(l_discount, 0)").alias("a"), F.expr("nullif(l_tax, 0)").alias("b"))
+    return rounded(stats.co_missing(rows, "a", "b"))
+
+
+@query("SELECT count(*) FILTER (WHERE l_discount = 0) AS n_missing, count(*) FILTER (WHERE l_discount <> 0) AS n_present, round((avg(l_quantity) FILTER (WHERE l_discount = 0) - avg(l_quantity) FILTER (WHERE l_discount <> 0)) / sqrt((var_samp(l_quantity) FILTER (WHERE l_discount = 0) + var_samp(l_quantity) FILTER (WHERE l_discount <> 0)) / 2), 6) AS smd FROM lineitem")
+def missing_dependency_lineitem(t: Read) -> DataFrame:
+    return rounded(stats.missing_shift(t("lineitem").withColumn("d", F.expr("nullif(l_discount, 0)")), "d", "l_quantity"))
+
+
+@query("WITH p AS (SELECT event_type, 1.0 / count(*) * 20 AS p_value FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p_value) AS k, count(*) OVER () AS m FROM p) SELECT event_type, round(CAST(p_value AS DOUBLE), 6) AS p_value, round(least(CAST(min(p_value * m / k) OVER (ORDER BY k DESC) AS DOUBLE), 1.0), 6) AS p_adjusted FROM r")
+def bh_adjust_events(t: Read) -> DataFrame:
+    tests = t("events").groupBy("event_type").agg((F.lit(20.0) / F.count("*")).alias("p_value"))
+    return rounded(stats.benjamini_hochberg(tests))
+
+
+@query("SELECT c_custkey AS key, c_name AS name, c_nationkey AS nation, c_mktsegment AS segment, 'customer' AS source_file FROM customer UNION ALL SELECT s_suppkey, s_name, s_nationkey, NULL, 'supplier' FROM supplier")
+def stack_customers_suppliers(t: Read) -> DataFrame:
+    customers = t("customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    suppliers = t("supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    return combine.stack({"customer": customers, "supplier": suppliers})
+
+
+@query("SELECT o_orderkey, o_custkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON CAST(o_custkey AS VARCHAR) = CAST(c_custkey AS VARCHAR)")
+def join_orders_customers(t: Read) -> DataFrame:
+    joined = combine.join_on_text(t("orders"), t("customer"), "o_custkey", "c_custkey", right_name="customer")
+    return joined.select("o_orderkey", "o_custkey", "c_name", "c_mktsegment")
+
+
+@query("SELECT count(*) AS left_rows, (SELECT count(*) FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) AS matched_rows, (SELECT count(*) FROM customer LEFT JOIN orders ON o_custkey = c_custkey) AS joined_rows FROM customer")
+def join_report_customers(t: Read) -> DataFrame:
+    return combine.join_report(t("customer"), t("orders"), "c_custkey", "o_custkey")
+
+
+@query("WITH a AS (SELECT DISTINCT o_custkey AS v FROM orders), b AS (SELECT DISTINCT c_custkey AS v FROM customer), s AS (SELECT count(*) AS k FROM a JOIN b USING (v)) SELECT (SELECT count(*) FROM a) AS left_distinct, (SELECT count(*) FROM b) AS right_distinct, k AS shared, round(k / (SELECT count(*) FROM a), 6) AS left_coverage, round(k / (SELECT count(*) FROM b), 6) AS right_coverage, 'many-to-one' AS cardinality FROM s")
+def join_discovery_overlap(t: Read) -> DataFrame:
+    return rounded(combine.value_overlap(t("orders"), t("customer"), "o_custkey", "c_custkey"))
+
+
+@query("WITH a AS (SELECT DISTINCT c_nationkey AS v FROM customer WHERE c_acctbal > 5000), b AS (SELECT DISTINCT s_nationkey AS v FROM supplier) SELECT (SELECT count(*) FROM a JOIN b USING (v)) AS shared, (SELECT count(*) FROM (FROM a UNION FROM b)) AS all_values, round((SELECT count(*) FROM a JOIN b USING (v)) / (SELECT count(*) FROM (FROM a UNION FROM b)), 6) AS jaccard")
+def compare_categories(t: Read) -> DataFrame:
+    return rounded(combine.category_jaccard(t("customer").where("c_acctbal > 5000"), t("supplier"), "c_nationkey", "s_nationkey"))
+
+
+_MEASURES = """WITH r AS (SELECT CAST(l_returnflag AS VARCHAR) AS g, CASE WHEN l_quantity > 25 THEN 'many' END AS o FROM lineitem WHERE l_discount > 0.05),
+ c AS (SELECT g, count(*) AS n FROM r WHERE o IS NOT NULL AND g IS NOT NULL GROUP BY 1), b AS (SELECT o, count(*) AS n FROM r WHERE o IS NOT NULL GROUP BY 1)
+ SELECT (SELECT count(*) FROM r) AS rows_in_scope, (SELECT count(o) FROM r) AS complete_cases, (SELECT count(*) FROM b) AS outcome_distinct, (SELECT max(n) / sum(n) FROM b) AS outcome_top_share,
+ (SELECT count(*) FROM c) AS n_groups, (SELECT min(n) FROM c) AS smallest_group, (SELECT max(n) FROM c) AS largest_group,
+ round(1 - (SELECT count(o) FROM r) / (SELECT count(*) FROM r), 6) AS missing_share, 1.0::DOUBLE AS time_coverage"""
+
+
+def _measured(t: Read) -> DataFrame:
+    rows = t("lineitem").withColumn("o", F.when(F.col("l_quantity") > 25, "many"))
+    return rounded(verdicts.measure(rows, "o", "l_returnflag", "l_discount > 0.05"))
+
+
+@query(_MEASURES)
+def rq_measurements(t: Read) -> DataFrame:
+    return _measured(t)
+
+
+@query(f"SELECT m.*, r.code, r.severity FROM ({_MEASURES}) m, (VALUES ('high_missing', 'warn'), ('outcome_constant', 'fail')) r(code, severity) WHERE (r.code = 'high_missing' AND missing_share > 0.3) OR (r.code = 'outcome_constant' AND outcome_distinct <= 1)")
+def rq_rules(t: Read) -> DataFrame:
+    return verdicts.apply_rules(_measured(t))
+
+
+@query(f"SELECT m.*, CASE WHEN outcome_distinct <= 1 THEN 'not_answerable' ELSE 'answerable' END AS verdict FROM ({_MEASURES}) m")
+def rq_verdict(t: Read) -> DataFrame:
+    return verdicts.verdict(_measured(t))
+
+
+@query("SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (PARTITION BY o_orderstatus), 6) AS share FROM orders GROUP BY 1, 2")
+def share_within_group(t: Read) -> DataFrame:
+    counts = t("orders").groupBy(F.col("o_orderstatus").alias("a"), F.col("o_orderpriority").alias("b")).agg(F.count("*").alias("n"))
+    return rounded(counts.withColumn("share", F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy("a"))))
+
+
+@query("SELECT user_id, event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+def usage_by_user(t: Read) -> DataFrame:
+    out = t("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"))
+    return out
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
+def usage_p95(t: Read) -> DataFrame:
+    return rounded(t("events").groupBy("event_type").agg(F.percentile("value", 0.95).alias("p95")))
+
+
+@query("SELECT CAST(date_trunc('month', ts) AS DATE) AS month, count(*) AS calls, round(sum(value), 4) AS cost FROM events WHERE ts >= TIMESTAMP '2024-01-01' GROUP BY 1")
+def monthly_usage(t: Read) -> DataFrame:
+    rows = t("events").where(F.col("ts") >= F.lit("2024-01-01").cast("timestamp_ntz"))
+    return rows.groupBy(F.date_trunc("month", "ts").cast("date").alias("month")).agg(F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("cost"))
+
+
+@query("SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
+def latest_event_per_user(t: Read) -> DataFrame:
+    return t("events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("m")).select("user_id", "m.event_id")
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'view') AS view, count(*) FILTER (WHERE event_type = 'purchase') AS purchase FROM events GROUP BY 1")
+def pivot_event_types(t: Read) -> DataFrame:
+    out = t("events").groupBy("user_id").pivot("event_type", ["click", "view", "purchase"]).agg(F.count(F.lit(1)))
+    return out.fillna(0, ["click", "view", "purchase"])
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email]', 'g'), '\\+?[0-9][0-9 ()./-]{7,}[0-9]', '[phone]', 'g'), '[0-9]{9,}', '[number]', 'g') AS text FROM documents")
+def scrub_documents(t: Read) -> DataFrame:
+    return t("documents").select("doc_id", text_functions.scrub(F.col("text")).alias("text"))
+
+
+@query("SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b ORDER BY 2 DESC, 1 LIMIT 10")
+def cosine_top(t: Read) -> DataFrame:
+    one = t("embeddings").where("vec_id = 0").select(F.col("embedding").alias("q"))
+    near = t("embeddings").crossJoin(F.broadcast(one)).select("vec_id", F.round(text_functions.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
+    return near.orderBy(F.desc("cosine"), "vec_id").limit(10)
+
+
+@query("SELECT trim(line) AS line, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(trim(line)) > 0 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5")
+def running_lines(t: Read) -> DataFrame:
+    lines = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line")).where("length(line) > 0")
+    # Lines are counted by document first, so a line that a third of all rows hold is merged early.
+    per_document = lines.groupBy("line", "doc_id").agg(F.lit(1).alias("one"))
+    return per_document.groupBy("line").agg(F.count("*").alias("n_docs")).where("n_docs >= 5")
+
+
+@query("SELECT o_orderkey, sum(l_extendedprice * (1 - l_discount)) AS revenue FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY 1 ORDER BY revenue DESC, o_orderkey LIMIT 5".replace("sum(l_extendedprice * (1 - l_discount)) AS", "round(sum(l_extendedprice * (1 - l_discount)), 4) AS"))
+def top_orders(t: Read) -> DataFrame:
+    orders = t("orders").where(F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz"))
+    revenue = F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue")
+    joined = orders.join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.groupBy("o_orderkey").agg(revenue).orderBy(F.desc("revenue"), "o_orderkey").limit(5)
