@@ -31,8 +31,8 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 STEPS = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 #: Other names of the roles.
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant", "developer": "system"}
-#: Turns in a segment at most.
-SEGMENT = 256
+#: Turns in a segment at most, and turn numbers that are dealt to one partition.
+SEGMENT, SPAN = 256, 4096
 INF = float("inf")
 
 
@@ -167,7 +167,9 @@ def format_chats(
     rows = turns.select(turns[id_col].alias("id"), turns[turn_col].alias("turn"), turns[role_col].alias("role"), turns[text_col].alias("text"))
     parts = turns.sparkSession.conf.get("spark.sql.shuffle.partitions")
     order = [F.col("id").asc(), F.col("turn").asc_nulls_last(), F.col("role").asc(), F.col("text").asc()]
-    dealt = rows.repartitionByRange(int(parts), *order).sortWithinPartitions(*order)
+    # Only spans of turn numbers are dealt apart, so that a common conversation stays whole.
+    span = F.floor(F.col("turn") / SPAN).asc_nulls_last()
+    dealt = rows.repartitionByRange(int(parts), F.col("id").asc(), span).sortWithinPartitions(*order)
     item = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
     kind = turns.schema[id_col].dataType.simpleString()
 
