@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 from .common import Numbers, pieces, strings
 
 #: Labelled rows that are used at most.
-MAX_LABELLED = 6000
+MAX_LABELLED = 3000
 BUCKETS, DIMENSIONS, EPOCHS, RATE = 1 << 17, 8, 8, 2.0
 SHORTEST, LONGEST = 2, 4
-#: Distinct words that a worker remembers before it starts afresh.
-MAX_REMEMBERED = 400_000
+#: Distinct words that a worker remembers before it starts afresh, and new words whose
+#: features are held at once.
+MAX_REMEMBERED, AT_ONCE = 300_000, 5000
 _SAME = xxhash.xxh32_intdigest(b"\x00\x00same") % BUCKETS
 
 
@@ -58,9 +59,9 @@ def _document(text: str, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.n
     parts = []
     for word in words:
         if word not in known:
-            known[word] = np.array(word_features(word), dtype=np.int64)
+            known[word] = np.array(word_features(word), dtype=np.int32)
         parts.append(known[word])
-    parts.append(np.full(sum(a == b for a, b in zip(words, words[1:])), _SAME, dtype=np.int64))
+    parts.append(np.full(sum(a == b for a, b in zip(words, words[1:])), _SAME, dtype=np.int32))
     buckets, counts = np.unique(np.concatenate(parts), return_counts=True)
     return buckets, (counts / counts.sum()).astype(np.float32) if len(counts) else counts
 
@@ -74,7 +75,12 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> Model:
     vectors = random.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     layer, bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
     known: dict[str, np.ndarray] = {}
-    documents = [(*_document(text, known), label) for text, label in rows]
+    documents = []
+    for text, label in rows:
+        if len(known) > MAX_REMEMBERED // 10:
+            known.clear()
+        documents.append((*_document(text, known), label))
+    known.clear()
     step, steps = 0, EPOCHS * len(documents)
     for _ in range(EPOCHS):
         for k in random.permutation(len(documents)):
@@ -136,11 +142,12 @@ class Scorer:
         at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         if fresh := self.numbers.fresh:
             self.numbers.fresh = []
-            features = [word_features(w) for w in fresh]
-            counts = np.array([len(f) for f in features], dtype=np.int64)
-            flat = self.model.weights[np.array([b for f in features for b in f], dtype=np.int64)].astype(float)
-            sums = np.add.reduceat(flat, np.cumsum(counts) - counts)
-            self.sums, self.counts = np.append(self.sums, sums), np.append(self.counts, counts)
+            for k in range(0, len(fresh), AT_ONCE):
+                features = [word_features(w) for w in fresh[k : k + AT_ONCE]]
+                counts = np.fromiter(map(len, features), np.int64, len(features))
+                flat = self.model.weights[np.fromiter(chain.from_iterable(features), np.int64, int(counts.sum()))].astype(float)
+                self.sums = np.append(self.sums, np.add.reduceat(flat, np.cumsum(counts) - counts))
+                self.counts = np.append(self.counts, counts)
         ends = np.cumsum([len(words) for words in split])
         same = np.append(False, (at[1:] == at[:-1])) if len(at) else np.zeros(0, bool)
         same[np.unique(ends[ends < len(at)])] = False  # the first word of a text follows none
