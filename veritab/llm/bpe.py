@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Numbers, pieces, strings
+from .common import Numbers, held, pieces, strings
 
 #: Distinct chunks that a worker remembers before it starts afresh; bounds its memory.
 MAX_REMEMBERED = 400_000
@@ -325,14 +325,9 @@ class WordEncoder:
         return " ".join(self.vocabulary.texts[ids].tolist())
 
 
-_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
-
-
 def encoder(path: str, by_library: bool = False) -> WordEncoder:
-    """This worker's encoder for a vocabulary file; workers serve many tasks."""
-    if (path, by_library) not in _ENCODERS:
-        _ENCODERS[path, by_library] = WordEncoder(path, by_library)
-    return _ENCODERS[path, by_library]
+    """This worker's encoder for a vocabulary file."""
+    return held(f"bpe {path} {by_library}", lambda: WordEncoder(path, by_library))
 
 
 def bpe_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

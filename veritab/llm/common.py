@@ -2,17 +2,49 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 #: Bytes of text that an operator holds as Python objects at once.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
+#: Rows that Spark sends to a Python worker at once, where the session says nothing else.
+BATCH_ROWS, _SPARK_ROWS = 1000, "10000"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Spark send fewer rows at once than its default, as texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, _SPARK_ROWS) == _SPARK_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+_HELD: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], T]) -> T:
+    """What this Python worker made for ``key``; it serves many tasks of a stage.
+
+    A worker holds one thing only: the next operator's takes the place of the last one's, and
+    the memory goes back to the system.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def shared_dir(spark: SparkSession) -> str:

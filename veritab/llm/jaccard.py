@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces, utf8
+from .common import held, materialize, pieces, utf8
 from .components import components
 
 #: The sketch has 2 ** SKETCH_BITS counters, sent in PARTS; a byte each when it is broadcast.
@@ -87,6 +87,11 @@ class Shingler:
             yield np.unique(_mix(h))
 
 
+def shingler_of(size: int) -> Shingler:
+    """This worker's shingler."""
+    return held(f"shingles {size}", lambda: Shingler(size))
+
+
 def least_overlap(n, percent: int):
     """The least overlap of a set of n shingles with a set that it links to."""
     return -(-n * percent // 100)
@@ -109,7 +114,7 @@ def sketch(docs: DataFrame, size: int, text_col: str = "text") -> np.ndarray:
     count, part = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // PARTS
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, total, seen = Shingler(size), np.zeros(count, np.uint32), False
+        shingler, total, seen = shingler_of(size), np.zeros(count, np.uint32), False
         for batch in pieces(batches, "text"):
             found = np.concatenate([*shingler.sets(utf8(batch, "text")), np.zeros(0, np.uint64)])
             if len(found):
@@ -146,7 +151,7 @@ def signatures(docs: DataFrame, levels: np.ndarray, size: int, percent: int, id_
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, level = Shingler(size), shared.value
+        shingler, level = shingler_of(size), shared.value
         for batch in pieces(batches, "text"):
             counts, hashes, prefixes, lasts = [], [], [], []
             for s in shingler.sets(utf8(batch, "text")):
@@ -176,7 +181,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_col: s
     """The whole sets (node, shingles) of the documents in ``ids`` (node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size)
+        shingler = shingler_of(size)
         for batch in pieces(batches, "text"):
             found = [s.view(np.int64) for s in shingler.sets(utf8(batch, "text"))]
             ends = np.cumsum([0, *map(len, found)])

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, strings
+from .common import held, pieces, strings
 
 #: Labelled texts that are gathered for each language, about; the bound of the sample.
 SAMPLE_PER_LANGUAGE = 400
@@ -138,9 +139,10 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_m
 
 def _runner(model: Model, min_margin: float, id_col: str | None, text_col: str | None):
     """Results by row, or with ``text_col`` the rows that stay."""
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classifier = Classifier(model)
+        classifier = held(f"language {name}", lambda: Classifier(model))
         for batch in pieces(batches, text_col or "text"):
             column = batch.column(text_col or "text").to_pylist()
             found = [classifier.predict(t) for t in column]

@@ -12,6 +12,7 @@ then costs one lookup a word.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Numbers, pieces, strings
+from .common import Numbers, held, pieces, strings
 
 #: Labelled rows that are used at most.
 MAX_LABELLED = 3000
@@ -167,8 +168,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     not read.
     """
 
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = held(f"quality {name}", lambda: Scorer(model))
         for batch in pieces(batches, "text"):
             found = pa.array(scorer.score(strings(batch, "text")))
             predicted = pc.greater_equal(found, 0.5).cast(pa.int32())
@@ -181,8 +184,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows, with all their columns, whose score is at least ``least``."""
 
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = held(f"quality {name}", lambda: Scorer(model))
         for batch in pieces(batches, text_col):
             found = scorer.score(strings(batch, text_col))
             yield batch.filter(pa.array(found >= least))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, extract, jaccard, langid, media, pack, quality, search, urls
+from .common import bounded_batches
 
 #: Where the tokenizer is; the same path on every executor.
 TOKENIZER_VARIABLE, TOKENIZER = "VERITAB_TOKENIZER", "word_bpe_49k.json"
@@ -24,6 +25,7 @@ def tokenizer_path() -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
