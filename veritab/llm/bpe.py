@@ -1,7 +1,7 @@
 """BPE encoding and decoding by speculation and verification.
 
-Text is split into white-space chunks, chunks into words, and each distinct word is encoded
-once per Python worker:
+Text is split into words - by way of white-space chunks where it has unusual characters - and
+each distinct word is encoded once per Python worker:
 
 1. *Speculate*: greedy longest match proposes the tokens of every new word.
 2. *Verify*: a token sequence is the BPE result exactly if every two neighbours are what BPE
@@ -28,15 +28,19 @@ from pyspark.sql import DataFrame
 
 from .common import Numbers, held, pieces, strings
 
-#: Distinct chunks that a worker remembers before it starts afresh; bounds its memory.
+#: Distinct words and chunks that a worker remembers before it forgets the rare ones.
 MAX_REMEMBERED = 400_000
+#: New words that the library gets in one string.
+TOGETHER = 500
 _NO_RANK = int(np.iinfo(np.int64).max)
 _NO_MERGE = (_NO_RANK, -1)
 # Letters and digits up to U+017F whose lower-casing and classes are the same everywhere.
 _LETTERS = "a-zªµºß-öø-ſ"
 _DIGITS = "0-9²³¹¼½¾"
 _PLAIN = re.compile(f"[!-~¡-įı-ſ]+")
-_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
+_WORDS = re.compile(f"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+")
+# Texts of these characters alone, without special tokens, split into words in one go.
+_PLAIN_TEXT = re.compile("[\t-\r -~¡-įı-ſ]*")
 # str.split() also splits at these, which are no white space to the library.
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 _NOT_SPACE = re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -70,6 +74,7 @@ class Vocabulary:
         for text, i in [*self.ids.items(), *self.special.items()]:
             self.texts[i] = text
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
+        self.ends_word = np.array([bool(self.suffix) and t.endswith(self.suffix) for t in self.texts])
         self.letters = _byte_letters()
         self.table = {b: letter for b, letter in enumerate(self.letters)}
         self.longest = max(map(len, self.ids))
@@ -222,25 +227,28 @@ class WordEncoder:
         self.vocabulary = Vocabulary(path)
         self.by_library = by_library
         self.stats = {"words": 0, "repaired": 0}
-        self._start([])
+        self._start()
 
-    def _start(self, chunks: list[str]) -> None:
+    def _start(self) -> None:
         self.words: dict[str, list[int]] = {}
         self.pairs: dict[int, bool] = {}
         self.chunks = Numbers()
         self.starts, self.lengths, self.uses = (np.zeros(0, np.int64) for _ in range(3))
         self.pool = np.zeros(0, np.uint32)
-        for c in chunks:
-            self.chunks[c]
-        if chunks:
-            self._learn_chunks(chunks)
-            self.chunks.fresh = []
 
     def _forget_rare(self) -> None:
-        """Keep the chunks that came more than once, a third of the bound at most."""
+        """Keep what came more than once, a third of the bound at most, with its ids."""
         order = np.argsort(-self.uses, kind="stable")[: MAX_REMEMBERED // 3]
-        keep = set(order[self.uses[order] > 1].tolist())
-        self._start([c for c, number in self.chunks.items() if number in keep])
+        keep = np.zeros(len(self.uses), bool)
+        keep[order[self.uses[order] > 1]] = True
+        names = [c for c, kept in zip(self.chunks, keep.tolist()) if kept]
+        lengths, starts, pool = self.lengths[keep], self.starts[keep], self.pool
+        self._start()
+        for c in names:
+            self.chunks[c]
+        self.chunks.fresh = []
+        at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+        self._remember(lengths, pool[at])
 
     def _split(self, chunk: str) -> list[str | int]:
         """The words of a chunk in byte letters; ids for special tokens."""
@@ -282,11 +290,11 @@ class WordEncoder:
 
     def _learn_chunks(self, chunks: list[str]) -> None:
         if self.by_library:
-            made = self.vocabulary.library.encode(chunks, is_pretokenized=True, add_special_tokens=False)
-            lengths = np.bincount(np.array(made.word_ids, dtype=np.int64), minlength=len(chunks))
-            self._remember(lengths, np.array(made.ids, dtype=np.uint32))
+            self._remember(*self._by_library(chunks))
             return
         split = [self._split(c) for c in chunks]
+        if len(self.words) > MAX_REMEMBERED // 8:
+            self.words.clear()
         if new := [w for w in {w for words in split for w in words if isinstance(w, str)} if w not in self.words]:
             self._learn_words(new)
         known = self.words
@@ -294,22 +302,40 @@ class WordEncoder:
         lengths = np.array([len(i) for i in ids], dtype=np.int64)
         self._remember(lengths, np.array([i for x in ids for i in x], dtype=np.uint32))
 
+    def _by_library(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of chunks from the library; a single word's ids end where a word ends."""
+        v = self.vocabulary
+        single = np.fromiter((c == c.lower() and bool(_PLAIN.fullmatch(c)) and bool(_WORDS.fullmatch(c)) for c in chunks), bool, len(chunks))
+        if not v.suffix or not single.all():
+            made = v.library.encode(chunks, is_pretokenized=True, add_special_tokens=False)
+            return np.bincount(np.array(made.word_ids, dtype=np.int64), minlength=len(chunks)), np.array(made.ids, dtype=np.uint32)
+        made = v.library.encode_batch_fast([" ".join(chunks[i : i + TOGETHER]) for i in range(0, len(chunks), TOGETHER)], add_special_tokens=False)
+        ids = np.concatenate([np.array(m.ids, dtype=np.uint32) for m in made])
+        ends = np.flatnonzero(v.ends_word[ids])
+        return np.diff(ends, prepend=-1), ids
+
     def _remember(self, lengths: np.ndarray, ids: np.ndarray) -> None:
         starts = len(self.pool) + np.cumsum(lengths) - lengths
         self.starts, self.lengths = np.append(self.starts, starts), np.append(self.lengths, lengths)
         self.uses = np.append(self.uses, np.zeros_like(lengths))
         self.pool = np.append(self.pool, ids)
 
+    def _pieces(self, text: str) -> list[str]:
+        """The words of a plain text, else its chunks."""
+        if _PLAIN_TEXT.fullmatch(text) and not (self.vocabulary.cut is not None and self.vocabulary.cut.search(text)):
+            return _WORDS.findall(text.lower())
+        return _NOT_SPACE.findall(text) if any(c in text for c in _ODD_SPACE) else text.split()
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and where each text's ids end."""
         if len(self.chunks) > MAX_REMEMBERED:
             self._forget_rare()
-        split = [_NOT_SPACE.findall(t) if any(c in t for c in _ODD_SPACE) else t.split() for t in texts]
+        split = [self._pieces(t) for t in texts]
         chunks = list(chain.from_iterable(split))
         at = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
         if self.chunks.fresh:
-            self._learn_chunks(self.chunks.fresh)
-            self.chunks.fresh = []
+            fresh, self.chunks.fresh = self.chunks.fresh, []
+            self._learn_chunks(fresh)
         counts = np.fromiter(map(len, split), np.int64, len(split))
         self.uses += np.bincount(at, minlength=len(self.uses))
         lengths = self.lengths[at]
