@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import text as text_functions
-from .operators import combine, profile, stats
+from .operators import combine, insights, profile, stats, texts
+from .plans import guard
 from .plans import verdict as verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,6 +253,37 @@ def share_within_group(t: Read) -> DataFrame:
     return rounded(counts.withColumn("share", F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy("a"))))
 
 
+@query("WITH r AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS s, o_orderstatus AS a, o_orderpriority AS b, count(*) AS o FROM orders GROUP BY ALL), m AS (SELECT *, sum(o) OVER (PARTITION BY s, a) AS ra, sum(o) OVER (PARTITION BY s, b) AS rb, sum(o) OVER (PARTITION BY s) AS n FROM r) SELECT s AS stratum, CAST(any_value(n) AS BIGINT) AS n, round(sqrt(greatest(0, sum(o * o / (CAST(ra AS DOUBLE) * rb)) - 1) / nullif(least(count(DISTINCT a), count(DISTINCT b)) - 1, 0)), 6) AS v FROM m GROUP BY s")
+def confounder_strata(t: Read) -> DataFrame:
+    rows = t("orders").withColumn("y", F.year("o_orderdate"))
+    return rounded(insights.cramers_v_by_stratum(rows, "o_orderstatus", "o_orderpriority", "y"))
+
+
+@query("SELECT o_orderpriority AS stratum, count(*) AS n, round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O') - avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 4) AS effect FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1")
+def group_gap_orders(t: Read) -> DataFrame:
+    return rounded(insights.mean_gap_by_stratum(t("orders"), "o_totalprice", "o_orderstatus", "F", "O", "o_orderpriority"), 4)
+
+
+@query("SELECT l_returnflag AS \"group\", count(*) AS n, round(avg(CAST(l_discount = 0 AS DOUBLE)), 6) AS missing_rate FROM lineitem GROUP BY 1 HAVING count(*) >= 20")
+def missing_rates_lineitem(t: Read) -> DataFrame:
+    return rounded(insights.missing_rates(t("lineitem").withColumn("d", F.expr("nullif(l_discount, 0)")), "d", "l_returnflag"))
+
+
+def _terms_sql(table: str, key: str) -> str:
+    return f"SELECT {key}, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 3))) AS term FROM {table}"
+
+
+@query(f"WITH a AS ({_terms_sql('benchmark', 'item_id')}), d AS ({_terms_sql('documents', 'doc_id')}), s AS (SELECT item_id, count(*) AS terms FROM a GROUP BY 1), m AS (SELECT item_id, doc_id, count(*) AS matched FROM a JOIN d USING (term) GROUP BY 1, 2) SELECT item_id, doc_id, matched, round(matched / terms, 6) AS score FROM m JOIN s USING (item_id) WHERE matched >= greatest(2, ceil(0.3 * terms))")
+def related_documents(t: Read) -> DataFrame:
+    return rounded(texts.related(t("documents"), t("benchmark"), "doc_id", "text", "item_id", "text"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderstatus")
+def guarded_orders(t: Read) -> DataFrame:
+    orders = t("orders")
+    return guard.guarded(orders.sparkSession, "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderstatus;", {"orders": orders})
+
+
 @query("SELECT user_id, event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
 def usage_by_user(t: Read) -> DataFrame:
     out = t("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"))
