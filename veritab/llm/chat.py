@@ -16,9 +16,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ STEPS = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT:
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant", "developer": "system"}
 #: Turns in a segment at most, and turn numbers that are dealt to one partition.
 SEGMENT, SPAN = 256, 4096
+#: Rows of a plan that are sent on at once.
+PLANNED = 1000
 INF = float("inf")
 
 
@@ -52,6 +56,7 @@ def _given(role: str | None) -> int | None:
     return ROLES.index(name) + 1 if name in ROLES else None
 
 
+@lru_cache
 def _moves(costs: Costs) -> list[list[tuple[float, list[int]]]]:
     """The cheapest insertions that lead from each state to each other one."""
     table = [[(INF, []) for _ in range(4)] for _ in range(4)]
@@ -68,7 +73,12 @@ def _moves(costs: Costs) -> list[list[tuple[float, list[int]]]]:
 
 def turn_options(role: str | None, costs: Costs) -> list[list[tuple[float, str, list[int]]]]:
     """For one turn, from each state to each: cost, how (add or merge), roles inserted first."""
-    moves, given = _moves(costs), _given(role)
+    return _options(_given(role), costs)
+
+
+@lru_cache
+def _options(given: int | None, costs: Costs) -> list[list[tuple[float, str, list[int]]]]:
+    moves = _moves(costs)
     table = [[(INF, "", []) for _ in range(4)] for _ in range(4)]
     for a in range(4):
         for b in (SYSTEM, USER, ASSISTANT):
@@ -199,15 +209,29 @@ def format_chats(
 
     segments = materialize(dealt.mapInArrow(cut, f"id {kind}, place long, turns array<struct<role string, text string>>, costs array<double>"), "segments")
 
-    def plan(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("place")
-        states, cost, inserted = choose_states([np.array(c).reshape(4, 4) for c in frame["costs"]], costs)
-        last = np.arange(len(frame)) == len(frame) - 1
-        return pd.DataFrame(
-            {"place": frame["place"].to_numpy(), "segment": np.arange(len(frame)), "a": states[:-1], "b": states[1:], "repair_cost": cost, "inserted": [inserted if x else [] for x in last]}
-        )
-
-    plans = segments.select("id", "place", "costs").groupBy("id").applyInPandas(plan, "place long, segment int, a int, b int, repair_cost double, inserted array<int>")
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["place", "segment", "a", "b", "repair_cost", "inserted"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int32())]
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*planned), kinds)], names=names)
+
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("id", "place", "costs"))))
+        planned: list[tuple] = []
+        for _, own in groupby(rows, itemgetter(0)):
+            places, matrices = zip(*((place, np.array(cost).reshape(4, 4)) for _, place, cost in own))
+            states, total, inserted = choose_states(list(matrices), costs)
+            for i, place in enumerate(places):
+                planned.append((place, i, states[i], states[i + 1], total, inserted if i == len(places) - 1 else []))
+                if len(planned) == PLANNED:
+                    yield packed()
+                    planned.clear()
+        if planned:
+            yield packed()
+
+    # A number of partitions that is given is not lowered when the matrices are small.
+    by_id = segments.select("id", "place", "costs").repartition(int(parts), "id").sortWithinPartitions("id", "place")
+    plans = by_id.mapInArrow(plan, "place long, segment int, a int, b int, repair_cost double, inserted array<int>")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
