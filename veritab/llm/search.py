@@ -7,8 +7,8 @@ all code words form small tables; scanning a block of codes through them ranks i
 and the best of each block are reranked by exact inner products in double precision.
 
 Codebooks are fitted on a bounded sample; every vector is coded. Queries meet all vectors in
-blocks: the two sides are joined by block number, each task scanning one block of codes for
-one block of queries.
+blocks: blocks of vectors form strips and blocks of queries form groups, both of bounded size.
+Each strip meets each group once, and only the group's best of the whole strip are sent on.
 """
 
 from __future__ import annotations
@@ -29,6 +29,9 @@ MAX_SAMPLE = 20_000
 WORDS, WIDTH = 16, 2
 #: Vectors and queries in a block; candidates of a block that are reranked for each query.
 BLOCK, QUERIES, RERANK = 2048, 1024, 120
+#: Partitions of blocks in a strip or a group at most; strips that there are at least, if there
+#: are as many partitions, to spread few vectors.
+STRIP, SPREAD = 32, 12
 #: Inner products above this share of the norm are those whose error counts.
 THRESHOLD = 0.2
 _STEP = 128  # queries scanned at once
@@ -182,29 +185,41 @@ def nearest(
     asked = rows.where("asked").groupBy("id").agg(F.min("vector").alias("vector"))
     asks = _blocks(asked, counted["q"], QUERIES, "queries", None)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, own = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["asked_ids"], "<i8")
-                x = np.frombuffer(row["vectors"], "<f8").reshape(len(ids), -1)
-                q = np.frombuffer(row["asked_vectors"], "<f8").reshape(len(own), -1)
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
-                for a in range(0, len(own), _STEP):
-                    near = np.sort(scan(book, q[a : a + _STEP], codes, rerank + k), axis=1)
-                    exact = np.einsum("qrd,qd->qr", x[near], q[a : a + _STEP])
-                    exact[ids[near] == own[a : a + _STEP, None]] = -np.inf  # the query itself
-                    best = np.lexsort((ids[near], -exact), axis=1)[:, :k]
-                    score = np.take_along_axis(exact, best, 1)
-                    found = ids[np.take_along_axis(near, best, 1)]
-                    real = np.isfinite(score)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(own[a : a + _STEP], real.sum(1))), pa.array(found[real]), pa.array(score[real])], names=["query_id", "vec_id", "score"]
-                    )
-
-    # The few block numbers say which pairs of blocks meet; every pair does, once.
-    numbers = [r["block"] for r in index.select("block").orderBy("block").toLocalIterator()]
-    every = asks.select(F.col("ids").alias("asked_ids"), F.col("vectors").alias("asked_vectors"), F.explode(F.lit(numbers)).alias("block"))
-    met = every.join(index.hint("merge"), "block").mapInArrow(run, "query_id long, vec_id long, score double")
+    def meet(asking: pa.Table, having: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, ...]] = []
+        blocks = [
+            (ids := np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], "<f8").reshape(len(ids), -1), np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1))
+            for row in having.select(["ids", "vectors", "codes"]).to_pylist()
+        ]
+        for row in asking.select(["ids", "vectors"]).to_pylist() if blocks else []:
+            own = np.frombuffer(row["ids"], "<i8")
+            asked = np.frombuffer(row["vectors"], "<f8").reshape(len(own), -1)
+            for a in range(0, len(own), _STEP):
+                q, mine = asked[a : a + _STEP], own[a : a + _STEP]
+                best, names = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64)
+                for ids, x, codes in blocks:
+                    near = np.sort(scan(book, q, codes, rerank + k), axis=1)
+                    exact = np.einsum("qrd,qd->qr", x[near], q)
+                    exact[ids[near] == mine[:, None]] = -np.inf  # the query itself
+                    best, names = np.hstack([best, exact]), np.hstack([names, ids[near]])
+                    first = np.lexsort((names, -best), axis=1)[:, :k]
+                    best, names = np.take_along_axis(best, first, 1), np.take_along_axis(names, first, 1)
+                real = np.isfinite(best)
+                found.append((np.repeat(mine, real.sum(1)), names[real], best[real]))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pa.table(columns, names=["query_id", "vec_id", "score"])
+
+    parts, ask_parts = -(-counted["n"] // BLOCK), -(-counted["q"] // QUERIES)
+    strips, groups = max(-(-parts // STRIP), min(parts, SPREAD)), -(-ask_parts // STRIP)
+
+    def dealt(blocks: DataFrame, key: str, count: int, other: str, others: int) -> DataFrame:
+        """Blocks by their own strip or group, once for each of the other side."""
+        own = F.pmod(F.shiftright("block", 32), F.lit(count)).cast("long").alias(key)
+        return blocks.select("*", own, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other))
+
+    left = dealt(asks, "group", groups, "strip", strips).groupBy("group", "strip")
+    right = dealt(index, "strip", strips, "group", groups).groupBy("group", "strip")
+    met = left.cogroup(right).applyInArrow(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
