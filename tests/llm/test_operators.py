@@ -312,6 +312,27 @@ def test_extraction(html, want):
     assert extract.extract_text(html) == " ".join(want.split())
 
 
+@pytest.mark.parametrize(
+    "attributes",
+    ['class="content" style="overflow: hidden"', 'title="the hidden valley"', "class=no-sidebar", 'class="has-sidebar page"', "class='with-navbar'"]
+    + ["class=elementor-widget", "id=social-science", "class=related-work", "class=widget", 'data-x="class=sidebar"'],
+)
+def test_names_and_values_take_no_article_text(attributes):
+    page = f"<body><nav><a href=x>Menu</a></nav><div {attributes}><h1>T</h1><p>{P}</p><p>{P}</p></div><div class='site-footer'>f</div></body>"
+    assert extract.extract_text(page) == " ".join(f"T {P} {P}".split())
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "aria-hidden=true", "class='x related-posts'", "class=widget", "id=cookie-notice"])
+def test_furniture_by_name_goes(attributes):
+    page = f"<body><div><p>{P}</p><p>{P}</p></div><div {attributes}><a href=x>One more</a> <a href=y>Another</a></div></body>"
+    assert extract.extract_text(page) == " ".join(f"{P} {P}".split())
+
+
+def test_text_outside_the_article_is_selected_by_density():
+    page = f"<body><article><p>{P}</p><p>{P}</p></article><section><p>{P}</p><p>{P}</p></section><div><a href=x>One</a></div></body>"
+    assert extract.extract_text(page) == " ".join((P * 4).split())
+
+
 @given(st.text(alphabet="<>/pdiva b=\"'&;!-x", max_size=80))
 @settings(max_examples=200, deadline=None)
 def test_extraction_takes_any_text(html):

@@ -7,8 +7,11 @@ body is the threshold, and in every branch whose density reaches it the subtree
 largest sum is content.
 
 Page furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts)
-is known by tag, role and class and takes no part, inside an article neither. If the content
-lies in an ``article`` or ``main`` element, all of that element is content.
+is known by tag, role and class and takes no part, inside an article neither. A class or id
+counts only by whole names; doubtful names (``widget``, ``related``) count only where the text is
+sparse or mostly links, and no name where it would take the body of the page. If the content
+lies in an ``article`` or ``main`` element, all of that element is content, with the branches
+outside it that density selects.
 """
 
 from __future__ import annotations
@@ -24,17 +27,22 @@ from pyspark.sql import DataFrame
 from .common import pieces, strings
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_CLASS = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/=>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe svg math canvas object select".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _FURNITURE = frozenset("nav header footer aside form button dialog menu head input fieldset".split()) | _RAW
-#: Words of class, id and role that name furniture.
+#: Words that name furniture where they make up a whole class, id or role.
 _WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu menubar breadcrumb breadcrumbs "
-    "header masthead footer sidebar aside complementary contentinfo comment comments disqus respond replies cookie cookies consent notice gdpr popup modal newsletter subscribe "
-    "share sharing social related recommended login search toolbar pagination pager widget".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored nav navbar navigation menubar breadcrumb breadcrumbs "
+    "masthead footer sidebar aside complementary contentinfo comment comments disqus cookie cookies consent gdpr popup modal newsletter pagination pager".split()
 )
+#: Words that name furniture or content; the text decides.
+_DOUBTFUL = frozenset("promo banner menu header respond replies notice subscribe share sharing social related recommended login search toolbar widget".split())
+#: Words that may stand beside those in one name, as in ``site-footer`` or ``related-posts``.
+_BESIDE = frozenset("site page global main primary secondary top bottom left right area bar block box container form inner items links list outer policy posts section slot unit wrap wrapper".split())
+#: The share of the page's text outside links that no name of class or id may take away.
+_BODY_SHARE = 0.9
 _SPLIT = re.compile(r"[^a-z]+")
 _SPACE = re.compile(r"\s+")
 # A start tag ends these open elements if they stand in the way.
@@ -44,25 +52,40 @@ _SCOPES = frozenset("ul ol dl table article section div main body html nav heade
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "out", "chars", "links", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "out", "mark", "chars", "links", "tags", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
+        self.tag, self.parent, self.out, self.mark = tag, parent, out, ""
         self.children: list[Node | str] = []
 
 
-def _is_furniture(tag: str, attributes: str) -> bool:
+def _named(value: str) -> str:
+    """Whether a class, id or role names furniture: ``sure``, ``doubtful`` or empty."""
+    found = ""
+    for name in value.split():
+        words = {w for w in _SPLIT.split(name) if w}
+        if words <= _WORDS | _DOUBTFUL | _BESIDE:
+            if not _WORDS.isdisjoint(words):
+                return "sure"
+            if not _DOUBTFUL.isdisjoint(words):
+                found = "doubtful"
+    return found
+
+
+def _judge(tag: str, attributes: str) -> tuple[bool, str]:
+    """Whether an element is furniture for certain, and what its names say."""
     if tag in _FURNITURE:
-        return True
+        return True, ""
+    mark = ""
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    for name, *values in _CLASS.findall(attributes):
-        value = "".join(values).lower()
-        if name.lower() == "hidden" or (name.lower() == "aria-hidden" and value == "true"):
-            return True
-        if not _WORDS.isdisjoint(_SPLIT.split(value)):
-            return True
-    return False
+        return False, mark
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values).lower()
+        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+            return True, ""
+        if name in ("class", "id", "role") and mark != "sure":
+            mark = _named(value) or mark
+    return False, mark
 
 
 def parse(html: str) -> Node:
@@ -87,7 +110,9 @@ def parse(html: str) -> Node:
                     node = node.parent
                 if node.tag == other:
                     here = node.parent
-            node = Node(tag, here, here.out or _is_furniture(tag, token[3]))
+            furniture, mark = _judge(tag, token[3])
+            node = Node(tag, here, here.out or furniture)
+            node.mark = mark
             here.children.append(node)
             if tag in _RAW and tag not in ("svg", "math", "object", "canvas", "select"):
                 close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(html, at)
@@ -137,12 +162,32 @@ def _measure(order: list[Node]) -> None:
         node.total = sum(len("".join(x.split())) if isinstance(x, str) else x.density for x in node.children if isinstance(x, str) or not x.out)
 
 
+def _drop_named(root: Node) -> None:
+    """Take out the elements that are furniture by name."""
+    order = _walk(root)
+    if not any(n.mark for n in order):
+        return
+    _measure(order)
+    body = next((n for n in order if n.tag == "body"), root)
+    structured = set()  # elements with a paragraph, heading or article below them
+    for node in reversed(order):
+        if node.tag in ("p", "h1", "article", "main") or id(node) in structured:
+            structured.add(id(node.parent))
+    for node in order:
+        if not node.mark:
+            continue
+        whole = id(node) in structured and node.chars - node.links >= _BODY_SHARE * max(1, body.chars - body.links)
+        prose = node.mark == "doubtful" and 2 * node.links < node.chars and node.density >= body.density
+        node.out = not whole and not prose
+
+
 def _heart(order: list[Node]) -> Node:
     return max(order, key=lambda n: n.total)
 
 
 def _content(root: Node) -> set[int]:
     """The ids of the nodes whose subtrees are the main text."""
+    _drop_named(root)
     order = _walk(root)
     _measure(order)
     body = next((n for n in order if n.tag == "body"), root)
@@ -161,13 +206,12 @@ def _content(root: Node) -> set[int]:
                     branches.append(child)
                 else:
                     chosen.add(id(_heart(_walk(child))))
-    whole = heart
     node = heart
     while node is not None:
         if node.tag in ("article", "main"):
-            whole = node
+            chosen.add(id(node))
         node = node.parent
-    return {id(whole)} if whole.tag in ("article", "main") else chosen
+    return chosen
 
 
 def extract_text(html: str) -> str:
