@@ -164,6 +164,19 @@ def test_packing_uses_few_sequences(score):
     assert packer.opened <= 1.01 * -(-lengths.sum() // 4096)
 
 
+def test_every_sequence_stays_open_between_blocks():
+    packer = pack.Packer(pack.Capacities())
+    packer.place(np.full(3000, 2200))
+    packer.place(np.full(3000, 1896))
+    assert packer.opened == 3000
+
+
+def test_sequences_are_shared_between_scan_tasks(spark):
+    docs = spark.createDataFrame([(i, "one two three " * (i % 7)) for i in range(64)], "doc_id long, text string").repartition(8)
+    rows = pack.pack(docs, tokenizer_path()).collect()
+    assert len(rows) == 64 and len({r["sequence_id"] for r in rows}) == -(-sum(r["length"] for r in rows) // 4096)
+
+
 # 5: urls
 
 

@@ -5,9 +5,9 @@ piece lengths). Pieces go, longest first, into the open sequence that fits under
 capacity and leaves the least weighted residual norm (or has the largest weighted dot product
 of demand and residual); if none fits, a new sequence opens.
 
-Each scan task packs what it has tokenized, in blocks of ``BLOCK`` pieces, so nothing is
-shuffled. Sequences that are still open move to the next block; only a task's last ones stay
-partly filled.
+Tokenized pieces (ids and lengths, not texts) are dealt evenly over tasks of about
+``TASK_PIECES``, whatever order and file they came from. A task places all of its pieces
+together, longest first, and every sequence stays open as long as it has room.
 """
 
 from __future__ import annotations
@@ -20,14 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import pieces, strings
+from .common import materialize, pieces, strings
 
-#: Pieces that are sorted and placed together; bounds a task's memory.
-BLOCK = 8192
-#: Open sequences with the most room that the next block starts with.
-CARRY = 256
+#: Pieces that a task packs together, about; bounds its memory and the cost of a search.
+TASK_PIECES = 32768
 
 
 @dataclass
@@ -48,7 +47,7 @@ class Capacities:
 
 @dataclass
 class Packer:
-    """Places blocks of pieces; keeps the open sequences between blocks."""
+    """Places blocks of pieces; keeps every sequence with room between blocks."""
 
     caps: Capacities
     opened: int = 0
@@ -66,35 +65,28 @@ class Packer:
         number[:m] = self.number
         to, offset = np.zeros(n, np.int64), np.zeros(n, np.int64)
         order = np.argsort(-lengths, kind="stable")
-        smallest = int(lengths.min()) if n else 0
-        live = np.arange(m)  # sequences with room for the smallest piece
         for i in order.tolist():
             length = int(lengths[i])
             demand = (length, 1.0, float(length) * length)
             slot = -1
-            if len(live):
-                a, b, c = left[0, live], left[1, live], left[2, live]
-                fits = np.flatnonzero((a >= demand[0]) & (b >= 1) & (c >= demand[2]))
+            fits = np.flatnonzero(left[0, :m] >= length)
+            if len(fits):
+                fits = fits[(left[1, fits] >= 1) & (left[2, fits] >= demand[2])]
                 if len(fits):
-                    a, b, c = a[fits], b[fits], c[fits]
+                    a, b, c = left[:, fits]
                     if self.caps.score == "dot":
                         best = int(np.argmax(a * demand[0] * weights[0] + b * weights[1] + c * demand[2] * weights[2]))
                     else:
                         best = int(np.argmin((a - demand[0]) ** 2 * weights[0] + (b - 1) ** 2 * weights[1] + (c - demand[2]) ** 2 * weights[2]))
-                    slot = int(live[fits[best]])
+                    slot = int(fits[best])
             if slot < 0:
                 slot, m = m, m + 1
                 left[:, slot] = caps
                 number[slot] = self.opened
                 self.opened += 1
-                if caps[0] - length >= smallest:
-                    live = np.append(live, slot)
             to[i], offset[i] = number[slot], int(caps[0] - left[0, slot])
             left[:, slot] -= demand
-            if left[0, slot] < smallest or left[1, slot] < 1:
-                live = live[live != slot]
-        room = np.flatnonzero((left[0, :m] > 0) & (left[1, :m] >= 1))
-        room = room[np.argsort(-left[0, room], kind="stable")[:CARRY]]
+        room = np.flatnonzero((left[0, :m] > 0) & (left[1, :m] >= 1) & (left[2, :m] >= 1))
         self.number, self.used = number[room], (caps[:, None] - left[:, room]).T
         return to, offset
 
@@ -112,21 +104,8 @@ def pack(
     """
     caps = caps or Capacities()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, packer = encoder(tokenizer, by_library=True), Packer(caps)
-        base = TaskContext.get().partitionId() << 32
-        owners: list[pa.Array] = []
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def flush() -> pa.RecordBatch:
-            piece, start, length, crc = (np.concatenate(c) for c in zip(*held))
-            to, offset = packer.place(length)
-            out = [pa.concat_arrays(owners), piece, start, length, crc, base + to, offset]
-            owners.clear()
-            held.clear()
-            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], names=names)
-
-        waiting = 0
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(tokenizer, by_library=True)
         for batch in pieces(batches, "text"):
             ids, ends = coder.encode(strings(batch, "text"))
             full = np.insert(ids, ends, end_id).astype("<u4", copy=False)
@@ -140,19 +119,23 @@ def pack(
             at = stops[owner] - sizes[owner] + start
             crc = np.array([zlib.crc32(full[a:b]) for a, b in zip(at.tolist(), (at + length).tolist())], dtype=np.int64)
             kept = batch.column("id").take(pa.array(owner))
-            for a in range(0, len(owner), BLOCK):  # a few very long texts may make many pieces
-                part = slice(a, a + BLOCK)
-                owners.append(kept.slice(a, BLOCK))
-                held.append((piece[part].astype(np.int32), start[part], length[part], crc[part]))
-                waiting += len(held[-1][0])
-                if waiting >= BLOCK:
-                    yield flush()
-                    waiting = 0
+            yield pa.RecordBatch.from_arrays([kept, *map(pa.array, (piece.astype(np.int32), start, length, crc))], names=names[:5])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 32
+        held = list(batches)
         if held:
-            yield flush()
+            table = pa.Table.from_batches(held).combine_chunks()
+            to, offset = Packer(caps).place(table.column("length").to_numpy())
+            whole = table.append_column("sequence_id", pa.array(base + to)).append_column("offset", pa.array(offset))
+            yield from whole.to_batches()
 
     names = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(
-        run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    )
+    shape = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long"
+    found = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(cut, shape)
+    found = materialize(found, "pieces")
+    # Dealt round, not by a key: copies and repeated ids spread, and each task gets all lengths.
+    dealt = found.repartition(max(1, -(-found.count() // TASK_PIECES)))
+    order = [F.desc("length"), *(F.col(f"`{c}`") for c in names[:5])]
+    return dealt.sortWithinPartitions(*order).mapInArrow(fill, f"{shape}, sequence_id long, offset long")
