@@ -94,6 +94,31 @@ def test_language(spark, docs, empty):
     assert langid.identify(docs, langid.Model({})).where("lang_pred <> 'und'").count() == 0
 
 
+def test_mixed_texts_junk_and_ties_are_rejected(spark):
+    random.seed(2)
+    parts = {"aa": "ba da ga do be ke mi", "bb": "xi lu qu zu fy wo tz", "cc": "schr ung ach ein icht orst"}
+    words = {k: ["".join(random.choices(v.split(), k=random.randint(1, 4))) for _ in range(150)] for k, v in parts.items()}
+
+    def text(k, n=150):
+        return " ".join(random.choices(words[k], k=n))
+
+    rows = spark.createDataFrame([(i, text(k), k) for i, k in enumerate(["aa", "bb", "cc"] * 60)], "doc_id long, text string, lang string")
+    model = langid.train(rows, rows["doc_id"] >= 0)
+    pure = [text(k) for k in words for _ in range(10)]
+    junk = [" ".join("".join(random.choices("éèñøåþðß", k=6)) for _ in range(n)) for n in (3, 30, 200)]
+    odd = [*junk, *(f"{text(a, 75)} {text(b, 75)}" for a, b in (("aa", "bb"), ("bb", "cc"), ("cc", "aa"))), "é"]
+    found = langid.identify(spark.createDataFrame(list(enumerate(pure + odd)), "doc_id long, text string"), model).collect()
+    rejected = {r["doc_id"]: r["rejected"] for r in found}
+    assert model.min_margin > 0 and not any(rejected[i] for i in range(len(pure)))
+    assert all(rejected[len(pure) + i] for i in range(len(odd)))
+
+
+def test_dictionaries_draw_from_whole_texts_once():
+    copy = "the same line over again " * 40
+    content = langid._content([("a" * 4000) + " the end of it", copy, copy + " more"])
+    assert b"the end of it" in content and content.count(b"the same line over again") < 40
+
+
 # 3: encoding
 
 

@@ -2,7 +2,8 @@
 
 For each language a raw-content zstandard dictionary is filled with texts of that language.
 A text is compressed with every dictionary; the language whose dictionary makes it smallest
-wins. Texts whose two best languages are too close are marked as rejected.
+wins. Texts whose two best languages are too close are marked as rejected; how close that is
+comes from labelled texts that no dictionary holds.
 
 Dictionaries and texts are lower-cased and reduced to their letters. Long texts are compressed
 in pieces, each on its own, so that the dictionary rather than the text's own beginning
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,9 +35,11 @@ DICTIONARY_BYTES, CHUNK = 32 << 10, 4000
 #: Languages that one model may have.
 MAX_LANGUAGES = 500
 UNKNOWN = "und"
-#: Bits a character between the two best languages below which a text is rejected, and the
-#: letters that it must have: sizes are whole bytes, which tell nothing about a few words.
-MIN_MARGIN, MARGIN_LETTERS = 0.003, 40
+#: Characters of the chunks that fill a dictionary.
+DRAWN = 128
+#: Labelled texts, about one in ``HELD_EVERY`` of a sample and in all languages ``HELD_TEXTS`` at
+#: most, that set the margin: half of what all but ``HELD_SHARE`` of those told rightly have.
+HELD_EVERY, HELD_TEXTS, HELD_SHARE = 5, 400, 0.05
 #: Short matches tell languages apart.
 _ZSTD = {"strategy": zstandard.STRATEGY_LAZY2, "min_match": 3, "search_log": 4, "write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
 _OTHER = re.compile(r"[\W\d_]+")
@@ -48,16 +52,18 @@ def letters(text: str) -> str:
 
 @dataclass
 class Model:
-    """The dictionaries by language, the commonest language first."""
+    """The dictionaries by language, the commonest first, and the margin below which a text is rejected."""
 
     dictionaries: dict[str, bytes]
+    min_margin: float = 0.0
 
 
 def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Fill the dictionaries from a bounded sample of the ``usable`` labelled rows.
 
     Rows are drawn by a hash of their id and text, about ``SAMPLE_PER_LANGUAGE`` in each
-    language whatever its share. Copies count once. Rows with null text or language are not
+    language whatever its share. Copies count once. A part of them stays out of the
+    dictionaries and sets the margin. Rows with null text or language are not
     used; without any the model is empty and every text is unknown.
     """
     rows = docs.where(usable & docs[text_col].isNotNull() & docs[lang_col].isNotNull())
@@ -76,17 +82,40 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
     for row in drawn:
         texts[row["lang"]][row["text"]] = None
     order = sorted(texts, key=lambda lang: (-counts[lang], lang))
-    return Model({lang: _content([letters(t).encode("utf-8", "replace") for t in texts[lang]]) for lang in order})
+    model, held_out = Model({}), []
+    for lang in order:
+        aside = [t for t in texts[lang] if zlib.crc32(t.encode("utf-8", "replace")) % HELD_EVERY == 0]
+        if len(aside) == len(texts[lang]):
+            aside = []
+        held_out += [(zlib.crc32(t.encode("utf-8", "replace")), lang, t) for t in aside]
+        left = set(texts[lang]).difference(aside)
+        model.dictionaries[lang] = _content([letters(t) for t in left])
+    model.min_margin = _margin(model, sorted(held_out)[:HELD_TEXTS])
+    return model
+
+
+def _content(texts: list[str]) -> bytes:
+    """Fill a dictionary with chunks of whole texts by hash: the first of each text, then the second."""
+    ranked: dict[bytes, tuple[int, int]] = {}
+    for text in texts:
+        chunks = {text[i : i + DRAWN].encode("utf-8", "replace") for i in range(0, len(text), DRAWN)}
+        for k, key in enumerate(sorted((zlib.crc32(c), c) for c in chunks)):
+            ranked[key[1]] = min(ranked.get(key[1], (k, key[0])), (k, key[0]))
+    out, room = [], DICTIONARY_BYTES
+    for chunk in sorted(ranked, key=lambda c: (ranked[c], c)):
+        if room <= 0:
+            break
+        out.append(chunk)
+        room -= len(chunk) + 1
+    return b" ".join(reversed(out))[-DICTIONARY_BYTES:]
 
 
-def _content(texts: list[bytes]) -> bytes:
-    """Fill a dictionary: the same share from every text, shorter ones leaving room to others."""
-    out, room = [], DICTIONARY_BYTES
-    for k, text in enumerate(sorted(texts, key=len)):
-        part = text[: max(64, room // (len(texts) - k))]
-        out.append(part)
-        room -= len(part)
-    return b" ".join(out)[-DICTIONARY_BYTES:]
+def _margin(model: Model, held_out: list[tuple[int, str, str]]) -> float:
+    """Half the margin that nearly all texts have which the model tells rightly."""
+    classifier = Classifier(model)
+    found = [(lang, *classifier.predict(text)) for _, lang, text in held_out]
+    right = sorted(margin for lang, best, _, margin in found if lang == best and 0 < margin < math.inf)
+    return right[int(HELD_SHARE * len(right))] / 2 if right else 0.0
 
 
 class Classifier:
@@ -101,30 +130,31 @@ class Classifier:
             shared.precompute_compress(compression_params=plain)
             self.sizers.append(zstandard.ZstdCompressor(dict_data=shared, compression_params=plain))
 
-    def predict(self, text: str | None) -> tuple[str, float, float, int]:
-        """Language, score, margin in bits a character, and how many characters count."""
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """Language, score, and the margin as a share of the smallest size."""
         text = letters(text or "")
         if not text or not self.languages:
-            return UNKNOWN, 0.0, 0.0, 0
+            return UNKNOWN, 0.0, 0.0
         chunks = [text[i : i + CHUNK].encode("utf-8", "replace") for i in range(0, len(text), CHUNK)]
         sizes = [sum(len(s.compress(c)) for c in chunks) for s in self.sizers]
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
         if len(order) == 1:
-            return self.languages[0], 1.0, math.inf, len(text)
+            return self.languages[0], 1.0, math.inf
         best, gap = order[0], sizes[order[1]] - sizes[order[0]]
         # Sizes stand for log-likelihoods; a byte of difference counts as one nat, as short
         # texts are off by a few bytes and long ones differ by hundreds.
         score = 1.0 / sum(math.exp(max(-50.0, float(sizes[best] - s))) for s in sizes)
-        return self.languages[best], score, 8.0 * gap / len(text), len(text)
+        return self.languages[best], score, gap / sizes[best]
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", min_margin: float | None = None) -> DataFrame:
     """Classify every whole text: id, lang_pred, score (0 to 1), margin, rejected.
 
     ``und`` with score 0 if the text is null, empty or has no letter, or the model knows no
-    language; such rows are rejected, as are those of ``MARGIN_LETTERS`` or more whose margin is
-    below ``min_margin`` bits a character. Of equal sizes the commonest language wins. One row per input row, also for
-    null and repeated ids; other columns are not read.
+    language; such rows are rejected, as are those of any length whose margin, the two best
+    sizes' difference over the best, is zero or below ``min_margin`` (the model's if None). Of
+    equal sizes the commonest language wins. One row per input row, also for null and repeated
+    ids; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(
@@ -132,21 +162,21 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     )
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_margin: float | None = None) -> DataFrame:
     """The rows, with all their columns, whose language is not rejected."""
     return docs.mapInArrow(_runner(model, min_margin, None, text_col), docs.schema)
 
 
-def _runner(model: Model, min_margin: float, id_col: str | None, text_col: str | None):
+def _runner(model: Model, min_margin: float | None, id_col: str | None, text_col: str | None):
     """Results by row, or with ``text_col`` the rows that stay."""
-    name = uuid.uuid4().hex
+    name, least = uuid.uuid4().hex, model.min_margin if min_margin is None else min_margin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = held(f"language {name}", lambda: Classifier(model))
         for batch in pieces(batches, text_col or "text"):
             column = batch.column(text_col or "text").to_pylist()
             found = [classifier.predict(t) for t in column]
-            rejected = pa.array([p == UNKNOWN or (m < min_margin and n >= MARGIN_LETTERS) for p, _, m, n in found], pa.bool_())
+            rejected = pa.array([p == UNKNOWN or m <= 0 or m < least for p, _, m in found], pa.bool_())
             if text_col:
                 yield batch.filter(pc.invert(rejected))
             else:
