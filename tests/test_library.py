@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from veritab import registry
 from veritab.operators import insights, records, texts
 from veritab.plans import guard
 from veritab.sources import files
@@ -111,3 +112,10 @@ def test_quotes_and_passages(spark):
     assert sorted((r["quote"], r["exact"]) for r in texts.quoted(quotes, sources, "k", "quote", "text").collect()) == [('"all good" - now', True), ("all bad", False), ("x", False), ("x", False)]
     found = texts.passages(spark.createDataFrame([(1, "red fox\nblue\nred fox dog")], "k int, text string"), "k", "text", ["red", "dog"], k=1)
     assert [tuple(r) for r in found.collect()] == [(1, 2, 2)]
+
+
+def test_whole_rows_differ_by_text(spark, tmp_path):
+    rows = [(1, "ab", "en", "web", 2), (1, "cd", "en", "web", 2), (1, "cd", "en", "web", 2), (2, "cd", "en", "web", 2), (1, None, "en", "web", 2)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.QUERIES["duplicate_whole_rows_documents"](spark, str(tmp_path)).first()
+    assert (found["rows"], found["duplicates"]) == (5, 1)

@@ -116,6 +116,12 @@ def duplicate_rows_documents(t: Read) -> DataFrame:
     return profile.duplicate_rows(t("documents").select("lang", "source", "n_chars"))
 
 
+@query("SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM documents)) AS duplicates FROM documents")
+def duplicate_whole_rows_documents(t: Read) -> DataFrame:
+    # A digest stands in for the text in the shuffle; null stays null.
+    return profile.duplicate_rows(t("documents").withColumn("text", F.sha2("text", 256)))
+
+
 _CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
 
 
