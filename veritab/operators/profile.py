@@ -2,55 +2,70 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import column_quantiles, finite, quantiles, with_running
+
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+# Numeric codes that often stand for a missing value, and how often one must occur.
+SENTINEL_VALUES = (-99999.0, -9999.0, -999.0, -99.0, 999.0, 9999.0, 99999.0)
+SENTINEL_MIN_COUNT = 2
 
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A row per column: counts, extremes, moments, quantiles; all columns in one pass."""
+    """A row per column: counts, extremes, moments and exact quantiles of its finite values.
+
+    NaN and infinity count as no value. Moments of all columns take one pass; quantiles come
+    from counts of values.
+    """
     parts = []
     for c in columns:
-        x = F.col(c).cast("double")
+        x = finite(F.col(c))
         n = F.count(x)
         # Spark's skewness is the population's; this is the sample-corrected one.
         fix = F.when(n > 2, F.sqrt(n * (n - 1.0)) / (n - 2))
-        q = F.percentile(x, F.array(*map(F.lit, QUANTILES)))
         parts.append(
             F.struct(
-                F.lit(c).alias("column"), n.alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), q[2].alias("median"),
+                F.lit(c).alias("column"), n.alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"),
                 F.stddev_samp(x).alias("stddev"), (F.skewness(x) * fix).alias("skewness"), F.count_if(x == 0).alias("zeros"), F.count_if(x < 0).alias("negatives"),
-                q[0].alias("p05"), q[1].alias("p25"), q[3].alias("p75"), q[4].alias("p95"),
             )
         )
-    return df.agg(F.array(*parts).alias("rows")).select(F.inline("rows"))
+    moments = df.agg(F.array(*parts).alias("rows")).select(F.inline("rows"))
+    met = moments.join(F.broadcast(column_quantiles(df, columns, list(QUANTILES)).select("column", "q")), "column", "left")
+    q = F.col("q")
+    return met.select(
+        "column", "n", "min", "max", "mean", q[2].alias("median"), "stddev", "skewness", "zeros", "negatives", q[0].alias("p05"), q[1].alias("p25"), q[3].alias("p75"), q[4].alias("p95")
+    )
+
+
+def fences(df: DataFrame, column: str) -> DataFrame:
+    """Tukey fences of a column's finite values, low_fence and high_fence; one row, none without values."""
+    q = column_quantiles(df, [column], [0.25, 0.75]).select(F.col("q")[0].alias("a"), F.col("q")[1].alias("b"))
+    return q.select((F.col("a") - 1.5 * (F.col("b") - F.col("a"))).alias("low_fence"), (F.col("b") + 1.5 * (F.col("b") - F.col("a"))).alias("high_fence"))
 
 
 def outliers(df: DataFrame, column: str) -> DataFrame:
-    """Tukey fences and how many values lie outside; one row."""
-    x = F.col(column).cast("double")
-    q = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    low, high = F.col("q")[0], F.col("q")[1]
-    fences = q.select((low - 1.5 * (high - low)).alias("low_fence"), (high + 1.5 * (high - low)).alias("high_fence"))
-    found = df.select(x.alias("x")).crossJoin(F.broadcast(fences))  # one row of fences
+    """Tukey fences and how many finite values lie outside; one row."""
+    found = df.select(finite(F.col(column)).alias("x")).crossJoin(F.broadcast(fences(df, column)))  # one row of fences
     return found.groupBy("low_fence", "high_fence").agg(
         F.count("x").alias("n"), F.count_if((F.col("x") < F.col("low_fence")) | (F.col("x") > F.col("high_fence"))).alias("n_outside")
     )
 
 
-def sentinels(df: DataFrame, column: str, codes: list[float]) -> DataFrame:
-    """Codes such as -999 that occur twice or more outside the fences."""
+def sentinels(df: DataFrame, column: str, codes: tuple[float, ...] | list[float] = SENTINEL_VALUES) -> DataFrame:
+    """Codes such as -999 that occur twice or more outside the fences: code, n."""
     x = F.col(column).cast("double")
-    fences = F.broadcast(outliers(df, column).select("low_fence", "high_fence"))
-    counts = df.where(x.isin(codes)).groupBy(x.alias("code")).agg(F.count("*").alias("n")).where("n >= 2")
-    return counts.crossJoin(fences).where("code < low_fence or code > high_fence").select("code", "n")
+    counts = df.where(x.isin(list(codes))).groupBy(x.alias("code")).agg(F.count("*").alias("n")).where(F.col("n") >= SENTINEL_MIN_COUNT)
+    return counts.crossJoin(F.broadcast(fences(df, column))).where("code < low_fence or code > high_fence").select("code", "n")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """Counts over equal bins from minimum to maximum, empty bins too."""
-    x = F.col(column).cast("double")
+    x = finite(F.col(column))
     bounds = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
     at = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1))).otherwise(F.lit(0))
     counts = df.select(x.alias("x")).where("x is not null").crossJoin(F.broadcast(bounds)).groupBy(at.cast("long").alias("bin")).agg(F.count("*").alias("n"))
@@ -97,9 +112,13 @@ def text_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.array(*parts).alias("rows")).select(F.inline("rows"))
 
 
+# Fixed value: a number followed by a unit, such as "72 kg", "5.5ft" or "30%".
+UNIT_PATTERN = r"^[-+]?[0-9]*[.,]?[0-9]+\s*([A-Za-z%°µ][A-Za-z%°µ/²³0-9]*)$"
+
+
 def unit_histogram(df: DataFrame, column: str, k: int = 50) -> DataFrame:
-    """Units written after numbers, such as ``170 cm``: how many values have each."""
-    unit = F.lower(F.regexp_extract(F.col(column), r"^\s*[-+]?[0-9][0-9.,]*\s*([A-Za-z%]+)\s*$", 1))
+    """Units written after numbers, such as ``170 cm``: the ``k`` commonest with their counts."""
+    unit = F.regexp_extract(F.trim(F.col(column)), UNIT_PATTERN, 1)
     counts = df.select(unit.alias("unit")).where("unit <> ''").groupBy("unit").agg(F.count("*").alias("n"))
     return counts.orderBy(F.desc("n"), "unit").limit(k)
 
@@ -114,6 +133,49 @@ def modal_gap(df: DataFrame, column: str) -> DataFrame:
     return gaps.groupBy("gap").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gap").limit(1)
 
 
+PERIODS = ["day", "week", "month", "quarter", "year"]
+MAX_PERIODS = 400
+
+
+def granularity(gap: Column, has_time: Column) -> Column:
+    """What a column of dates records, from its modal gap in days."""
+    named = F.when(gap.isNull(), "single date").when(gap == 1, "daily").when(gap == 7, "weekly").when(gap.between(28, 31), "monthly").when(gap.between(89, 92), "quarterly")
+    named = named.when(gap.isin(365, 366), "yearly").otherwise(F.concat(F.lit("irregular (~"), gap.cast("string"), F.lit(" days)")))
+    return F.when(has_time, "sub-daily").otherwise(named)
+
+
+def date_profile(df: DataFrame, column: str) -> DataFrame:
+    """First and last date, granularity and the period to count by; one row.
+
+    The period follows the span, is never finer than the data's, and grows until no more than
+    ``MAX_PERIODS`` are counted. A column without dates gives nulls.
+    """
+    c = F.col(column)
+    timed = dict(df.dtypes)[column].startswith("timestamp")
+    has_time = F.coalesce(F.bool_or(c != c.cast("date").cast(dict(df.dtypes)[column])), F.lit(False)) if timed else F.lit(False)
+    span = df.agg(F.min(c.cast("date")).alias("first"), F.max(c.cast("date")).alias("last"), has_time.alias("has_time"))
+    gap = modal_gap(df, column).agg(F.min("gap").alias("gap"))  # one row, also without gaps
+    both = span.crossJoin(F.broadcast(gap)).withColumn("granularity", granularity(F.col("gap"), F.col("has_time")))
+    days = F.datediff("last", "first")
+    by_span = F.when(days > 20 * 366, 4).when(days <= 92, 0).when(days <= 731, 1).otherwise(2)
+    by_data = F.when(F.col("granularity") == "weekly", 1).when(F.col("granularity") == "monthly", 2).when(F.col("granularity") == "quarterly", 3).when(F.col("granularity") == "yearly", 4).otherwise(0)
+    counts = F.array(*(period_number(F.col("last"), p) - period_number(F.col("first"), p) + 1 for p in PERIODS))
+    start = F.greatest(by_span, by_data)
+    # Of the periods from there on the first with few enough counts, the year in any case.
+    fits = F.filter(F.sequence(start, F.lit(4)), lambda i: (F.element_at(counts, i + 1) <= MAX_PERIODS) | (i == 4))
+    name = F.element_at(F.array(*map(F.lit, PERIODS)), F.element_at(fits, 1) + 1)
+    return both.select("first", "last", F.when(F.col("first").isNotNull(), F.col("granularity")).alias("granularity"), F.when(F.col("first").isNotNull(), name).alias("period"))
+
+
+def period_number(day: Column, period: str) -> Column:
+    """Whole periods since a fixed day, so that differences count periods."""
+    if period in ("day", "week"):
+        days = F.datediff(F.date_trunc(period, day).cast("date"), F.lit("1970-01-05").cast("date"))
+        return days if period == "day" else F.floor(days / 7).cast("int")
+    months = F.year(day) * 12 + F.month(day) - 1
+    return F.floor(months / {"month": 1, "quarter": 3, "year": 12}[period]).cast("int")
+
+
 _STEPS = {"day": "interval 1 day", "week": "interval 7 days", "month": "interval 1 month", "quarter": "interval 3 months", "year": "interval 1 year"}
 
 
@@ -147,9 +209,76 @@ def column_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("uniqueness", F.when(known > 0, F.col("n_distinct") / known).otherwise(F.lit(0.0)))
 
 
+# Fixed value: names of identifiers.
+ID_NAME = r"(^|_)(id|uuid|guid|key)$|^id_"
+
+
 def candidate_keys(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns without missing values whose values are all different."""
-    return column_counts(df, columns).where("missing = 0 and n_distinct = rows and rows > 0").select("column")
+    """Identifiers without missing values whose values are all different.
+
+    Identifiers are integers with a telling name, and text of one word a value or with such a
+    name, in 20 rows or more.
+    """
+    kinds = dict(df.dtypes)
+    named = [c for c in columns if kinds[c] in ("tinyint", "smallint", "int", "bigint", "string") and re.search(ID_NAME, c)]
+    texts = [c for c in columns if kinds[c] == "string" and c not in named]
+    keys = column_counts(df, named + texts).where("missing = 0 and n_distinct = rows and rows > 0").select("column", "rows") if named or texts else None
+    if keys is None:
+        return df.sparkSession.createDataFrame([], "column string")
+    if not texts:
+        return keys.select("column")
+    words = text_stats(df, texts).select("column", "avg_words", "avg_length")
+    short = (F.col("rows") >= 20) & (F.col("avg_words") <= 1.5) & (F.col("avg_length") < 50)
+    return keys.join(F.broadcast(words), "column", "left").where(F.col("avg_words").isNull() | short).select("column")
+
+
+def table_summary(columns: DataFrame) -> DataFrame:
+    """Cells, missing cells and their share over a table's column counts; one row."""
+    out = columns.agg(F.count("*").alias("columns"), F.coalesce(F.sum("rows"), F.lit(0)).alias("cells"), F.coalesce(F.sum("missing"), F.lit(0)).alias("missing_cells"))
+    return out.withColumn("missing_share", F.when(F.col("cells") > 0, F.col("missing_cells") / F.col("cells")).otherwise(F.lit(0.0)))
+
+
+def chunk_medians(df: DataFrame, column: str, position: str, chunks: int = 10) -> DataFrame:
+    """Medians of equal chunks of the finite values in the order of ``position``: chunk (from 1), rows, first_position, median.
+
+    Positions are distinct numbers, as rows of a file have; chunks differ by one row at most,
+    the longer ones first. The place of a row is its running count, made by ranges.
+    """
+    rows = df.select(F.col(position).cast("long").alias("position"), finite(F.col(column)).alias("x"), F.lit(1).cast("long").alias("one")).where("position is not null and x is not null")
+    placed = with_running(rows, [], "position", ["one"])
+    total = rows.agg(F.count("*").alias("total"))
+    size, longer = F.floor(F.col("total") / chunks), F.col("total") % chunks
+    place = F.col("before_one")
+    chunk = F.when(place < longer * (size + 1), F.floor(place / (size + 1))).otherwise(longer + F.floor((place - longer * (size + 1)) / F.greatest(size, F.lit(1)))) + 1
+    cut = placed.crossJoin(F.broadcast(total)).select(chunk.cast("int").alias("chunk"), "x", "position")
+    firsts = cut.groupBy("chunk").agg(F.count("*").alias("rows"), F.min("position").alias("first_position"))
+    medians = quantiles(cut, "chunk", "x", [0.5]).select("chunk", F.col("q")[0].alias("median"))
+    return firsts.join(F.broadcast(medians), "chunk")
+
+
+UNIT_SHIFT_ROWS, UNIT_SHIFT_RATIO, UNIT_SHIFT_WITHIN = 300, 2.0, 1.3
+
+
+def unit_shift(df: DataFrame, column: str, position: str, chunks: int = 10) -> DataFrame:
+    """A lasting jump of scale partway through a file, such as from kg to lb: from_position, ratio, median_before, median_after.
+
+    Chunk medians must have one sign, differ by ``UNIT_SHIFT_RATIO`` across the jump, and by
+    ``UNIT_SHIFT_WITHIN`` at most on each side, of two chunks or more. The strongest jump is
+    given, the first of equal ones; no row if there is none or under ``UNIT_SHIFT_ROWS`` values.
+    """
+    found = chunk_medians(df, column, position, chunks)
+    listed = found.agg(F.sort_array(F.collect_list(F.struct("chunk", "median", "first_position"))).alias("c"), F.sum("rows").alias("n"))  # as many as chunks
+    m = F.transform("c", lambda x: x["median"])
+    one_sign = F.forall(m, lambda x: x > 0) | F.forall(m, lambda x: x < 0)
+    usable = listed.where((F.col("n") >= UNIT_SHIFT_ROWS) & (F.size("c") >= 4) & one_sign).select("c", m.alias("m"), F.explode(F.sequence(F.lit(2), F.size("c") - 2)).alias("k"))
+    half = lambda a: F.expr(f"(element_at(array_sort({a}), cast((size({a}) + 1) div 2 as int)) + element_at(array_sort({a}), cast(size({a}) div 2 + 1 as int))) / 2")
+    sides = usable.withColumns({"a": F.slice("m", F.lit(1), F.col("k")), "b": F.slice("m", F.col("k") + 1, F.size("m") - F.col("k"))})
+    spread = lambda s: F.greatest(F.abs(F.array_max(s)), F.abs(F.array_min(s))) / F.least(F.abs(F.array_max(s)), F.abs(F.array_min(s)))
+    judged = sides.withColumns({"median_before": half("a"), "median_after": half("b"), "within": F.greatest(spread("a"), spread("b"))})
+    judged = judged.withColumn("ratio", F.col("median_after") / F.col("median_before")).withColumn("jump", F.greatest("ratio", 1 / F.col("ratio")))
+    fits = judged.where((F.col("jump") >= UNIT_SHIFT_RATIO) & (F.col("within") <= UNIT_SHIFT_WITHIN))
+    from_position = F.element_at("c", F.col("k") + 1)["first_position"].alias("from_position")
+    return fits.orderBy(F.desc("jump"), "k").limit(1).select(from_position, "ratio", "median_before", "median_after")
 
 
 def match_rates(df: DataFrame, column: str, patterns: dict[str, str]) -> DataFrame:
