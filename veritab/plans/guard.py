@@ -1,18 +1,21 @@
 """Read-only SQL over named tables: what is checked, and how it runs.
 
 Spark parses the statement; nothing but queries over the allowed tables and built-in functions
-that cannot leave the session passes. Errors are returned as data.
+that cannot leave the data passes. The parsed plan that was checked is the one that runs, in a
+session of its own that holds the given tables as views and no functions of the caller's.
+Errors are returned as data.
 """
 
 from __future__ import annotations
 
-import re
 import threading
 import time
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MAX_ROWS, TIMEOUT_S = 200, 30.0
 # Plan nodes of queries. Whatever else a statement parses to is refused.
@@ -21,10 +24,15 @@ PLAN_NODES = set(
     "SubqueryAlias Tail Union Unpivot UnresolvedHaving UnresolvedInlineTable UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction UnresolvedWith Window WithWindowDefinition "
     "UnresolvedOrdinal AsOfJoin".split()
 )
-#: Functions that reach outside the data, by name.
-DENIED = re.compile(
-    r"(java_method|reflect|try_reflect|input_file_.*|current_(user|catalog|database|schema)|user|session_user|version|read_.*|.*_from_file|getenv|raise_error|assert_true|sleep|from_protobuf|to_protobuf)", re.I
+# Groups of built-in functions that compute on their arguments alone, and some of
+# the miscellaneous group, whose others call code, read files or tell of the system.
+FUNCTION_GROUPS = set(
+    "agg_funcs array_funcs bitwise_funcs collection_funcs conditional_funcs conversion_funcs csv_funcs datetime_funcs generator_funcs hash_funcs json_funcs lambda_funcs map_funcs math_funcs "
+    "predicate_funcs string_funcs struct_funcs url_funcs window_funcs".split()
 )
+OTHER_FUNCTIONS = {"typeof", "equal_null"}
+#: Settings that the own session takes over.
+SETTINGS = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.ansi.enabled")
 TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "inline", "inline_outer", "posexplode", "posexplode_outer", "stack"}
 
 
@@ -43,18 +51,24 @@ class Result:
     error: str | None = None
 
 
-def _plans(plan) -> list:
-    """The plan, its inputs, the queries it names and those inside its expressions."""
-    out, todo = [], [plan]
+def _scoped(plan, visible: frozenset[str]) -> list:
+    """The plan, its inputs, the queries it names and those inside its expressions, each with the names it may use.
+
+    A named query is visible to those named after it and to the statement, not to itself.
+    """
+    out, todo = [], [(plan, visible)]
     while todo:
-        node = todo.pop()
-        out.append(node)
+        node, names = todo.pop()
+        out.append((node, names))
         children = node.children()
-        todo += [children.apply(i) for i in range(children.size())]
+        inner = names
         if node.getClass().getSimpleName() == "UnresolvedWith":
             named = node.cteRelations()
-            todo += [named.apply(i)._2() for i in range(named.size())]
-        todo += [e.plan() for e in _expressions(node) if _holds_query(e)]
+            for i in range(named.size()):
+                todo.append((named.apply(i)._2(), inner))
+                inner = inner | {named.apply(i)._1().lower()}
+        todo += [(children.apply(i), inner) for i in range(children.size())]
+        todo += [(e.plan(), names) for e in _expressions(node) if _holds_query(e)]
     return out
 
 
@@ -79,47 +93,101 @@ def _parts(names) -> list[str]:
     return [names.apply(i) for i in range(names.size())]
 
 
-def check(spark: SparkSession, sql: str, tables: set[str]) -> None:
-    """Raise ``Refused`` unless the statement is one query over ``tables`` alone.
+def _allowed_function(spark: SparkSession, name: list[str]) -> bool:
+    """Whether a function is built in and computes on its arguments alone."""
+    if len(name) != 1:
+        return False
+    if name[0].lower() in OTHER_FUNCTIONS:
+        return True
+    jvm = spark._jvm
+    known = jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin().lookupFunction(jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name[0]))
+    return known.isDefined() and known.get().getGroup() in FUNCTION_GROUPS
+
+
+def _check_functions(spark: SparkSession, expressions: list) -> None:
+    for e in expressions:
+        kind = e.getClass().getSimpleName()
+        if kind in ("UnresolvedFunction", "UnresolvedGenerator"):
+            name = _parts(e.nameParts() if kind == "UnresolvedFunction" else e.name().nameParts())
+            if not _allowed_function(spark, name):
+                raise Refused(f"function {'.'.join(name)} is not allowed")
 
-    Names of common table expressions count as tables. Names are compared without case.
+
+def parsed(spark: SparkSession, sql: str, tables: set[str]):
+    """The plan of a statement that is one query over ``tables`` alone; raises ``Refused`` for any other.
+
+    Names of common table expressions count as tables where they are visible. Names are
+    compared without case.
     """
     text = sql.strip().rstrip(";").strip()
     if not text:
         raise Refused("no statement")
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-        nodes = _plans(plan)
+        nodes = _scoped(plan, frozenset(t.lower() for t in tables))
     except Exception as error:  # py4j wraps the parser's errors
         raise Refused(str(error).splitlines()[0]) from None
-    allowed = {t.lower() for t in tables}
-    for node in nodes:
-        if node.getClass().getSimpleName() == "UnresolvedWith":
-            named = node.cteRelations()
-            allowed |= {named.apply(i)._1().lower() for i in range(named.size())}
-    for node in nodes:
+    for node, visible in nodes:
         kind = node.getClass().getSimpleName().rstrip("$")
         if kind not in PLAN_NODES:
             raise Refused(f"{kind} is not allowed")
         if kind == "UnresolvedRelation":
             name = _parts(node.multipartIdentifier())
-            if len(name) != 1 or name[0].lower() not in allowed:
+            if len(name) != 1 or name[0].lower() not in visible:
                 raise Refused(f"table {'.'.join(name)} is not allowed")
         if kind == "UnresolvedTableValuedFunction" and ".".join(_parts(node.name())).lower() not in TABLE_FUNCTIONS:
             raise Refused(f"table function {'.'.join(_parts(node.name()))} is not allowed")
-        for e in _expressions(node):
-            if e.getClass().getSimpleName() in ("UnresolvedFunction", "UnresolvedGenerator"):
-                name = _parts(e.nameParts() if e.getClass().getSimpleName() == "UnresolvedFunction" else e.name().nameParts())
-                if len(name) != 1 or DENIED.fullmatch(name[0]):
-                    raise Refused(f"function {'.'.join(name)} is not allowed")
+        _check_functions(spark, _expressions(node))
+    return plan
 
 
-def guarded(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """The result of a checked query over the given tables, lazily."""
-    check(spark, sql, set(tables))
+def check(spark: SparkSession, sql: str, tables: set[str]) -> None:
+    """Raise ``Refused`` unless the statement is one query over ``tables`` alone."""
+    parsed(spark, sql, tables)
+
+
+def check_expression(df: DataFrame, text: str) -> Column:
+    """A condition or derived value over a table's columns, checked; raises ``Refused`` if it may not run.
+
+    Queries inside it and functions that reach outside are refused, and names that the table lacks.
+    """
+    spark = df.sparkSession
+    try:
+        tree = spark._jsparkSession.sessionState().sqlParser().parseExpression(text)
+    except Exception as error:
+        raise Refused(str(error).splitlines()[0]) from None
+    found, todo = [], [tree]
+    while todo:
+        node = todo.pop()
+        found.append(node)
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    if any(_holds_query(e) for e in found):
+        raise Refused("a query inside an expression is not allowed")
+    _check_functions(spark, found)
+    try:
+        df.select(F.expr(text)).schema  # noqa: B018 - resolves names, runs nothing
+    except PySparkException as error:
+        raise Refused(str(error).splitlines()[0]) from None
+    return F.expr(text)
+
+
+def own_session(spark: SparkSession, tables: dict[str, DataFrame]) -> SparkSession:
+    """A new session with the given tables as views: no other table, no function of the caller's."""
+    session = spark.newSession()
+    for name in SETTINGS:
+        session.conf.set(name, spark.conf.get(name))
+    of_rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows
     for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql.strip().rstrip(";").strip())
+        DataFrame(of_rows(session._jsparkSession, df._jdf.queryExecution().analyzed()), session).createOrReplaceTempView(name)
+    return session
+
+
+def guarded(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """The result of a checked query over the given tables, lazily: the checked plan itself is run."""
+    plan = parsed(spark, sql, set(tables))
+    session = own_session(spark, tables)
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, plan), session)
 
 
 def execute(spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_rows: int = MAX_ROWS, timeout: float = TIMEOUT_S) -> Result:
@@ -133,7 +201,7 @@ def execute(spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_row
         rows = df.limit(max_rows + 1).collect()
         count = len(rows) if len(rows) <= max_rows else df.count()
         return Result(df.columns, [list(r) for r in rows[:max_rows]], count, time.monotonic() - began)
-    except (Refused, PySparkException) as error:
+    except (Refused, PySparkException, Py4JJavaError) as error:
         return Result(seconds=time.monotonic() - began, error=str(error).splitlines()[0])
     finally:
         timer.cancel()
