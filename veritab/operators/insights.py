@@ -2,57 +2,191 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import stats
 from .stats import contingency, effect_magnitude, rank_score
 
-# Thresholds of the column rules.
+# Thresholds of the column and table rules.
 HIGH_MISSING, SEVERE_MISSING, IMBALANCE = 0.2, 0.5, 0.9
+UNIT_SHARE, UNIT_MIN_SHARE = 0.8, 0.01
+NEAR_PERFECT = {"spearman": 0.98, "cramers_v": 0.95, "eta": 0.95}
+DUPLICATE_SHARE, DEPENDENCY_V, DEPENDENCY_SMD = 0.98, 0.2, 0.5
+#: Associations that are kept: the strongest, of at least this size.
+KEEP_PAIRS, LEAST_ASSOCIATION = 50, 0.1
 #: Strata of a confounder check: rows each, and how many.
 STRATUM_ROWS, STRATA = 30, 2
-#: A difference that is this share of the crude one or less is weaker.
-WEAKER = 0.5
+#: A mean effect within strata under this share of the crude one is weaker; an effect that reverses has this size.
+WEAKER, REVERSING = 0.5, 0.1
+#: Effects with a sign.
+SIGNED = ("rho", "tau", "rank_biserial")
+#: Values of an ordered category at least, of a group at most, and of a confounder at most.
+ORDINAL_MIN, MAX_GROUPS, MAX_LEVELS = 6, 20, 6
+
+WARNING_FACTS = "column string, rows long, missing long, n_distinct long, semantic_type string, top_share double, n_sentinels long, empty_periods long, shifted boolean, unit_share double, n_units long, blank long"
+
 
+def column_warnings(facts: DataFrame) -> DataFrame:
+    """Rules over one row of facts per column (``WARNING_FACTS``): column, code, severity.
 
-def column_warnings(profile: DataFrame) -> DataFrame:
-    """Rules over column counts (column, rows, missing, n_distinct, uniqueness): column, code, severity."""
-    share = F.col("missing") / F.col("rows")
+    A fact that is null or a column that is absent fires no rule; an empty column gets no other.
+    """
+    have = set(facts.columns)
+    fact = lambda c: F.col(c) if c in have else F.lit(None)
     known = F.col("rows") - F.col("missing")
-    rule = lambda when, code, severity: F.when(when, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity")))
+    share = F.when(F.col("rows") > 0, F.col("missing") / F.col("rows")).otherwise(F.lit(0.0))
+    kind = fact("semantic_type")
+    unit, several = fact("unit_share") >= UNIT_SHARE, fact("n_units") >= 2
     rules = [
-        rule((F.col("rows") > 0) & (known == 0), "empty_column", "severe"),
-        rule((known > 0) & (share >= SEVERE_MISSING), "high_missing", "severe"),
-        rule((share >= HIGH_MISSING) & (share < SEVERE_MISSING), "high_missing", "warning"),
-        rule((known > 0) & (F.col("n_distinct") == 1), "constant", "warning"),
-        rule((known > 1) & (F.col("uniqueness") >= 1), "identifier", "info"),
+        ("high_missing", "severe", share >= SEVERE_MISSING),
+        ("high_missing", "warning", (share >= HIGH_MISSING) & (share < SEVERE_MISSING)),
+        ("constant", "warning", kind == "constant"),
+        ("identifier", "info", kind == "identifier"),
+        ("imbalance", "warning", kind.isin("categorical", "boolean") & (fact("top_share") >= IMBALANCE)),
+        ("placeholder_value", "warning", fact("n_sentinels") > 0),
+        ("date_gaps", "warning", fact("empty_periods") > 0),
+        ("unit_shift", "warning", fact("shifted").cast("boolean")),
+        ("mixed_units", "warning", unit & several),
+        ("numeric_with_unit", "info", unit & (fact("n_units") == 1)),
+        ("blank_strings", "info", fact("blank") > 0),
     ]
-    return profile.select("column", F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull())).alias("rule")).select("column", "rule.code", "rule.severity")
-
-
-def choose_test(outcome: Column, explanatory: Column, groups: Column) -> Column:
-    """The test for two kinds of column (numeric, category, datetime) and a number of groups."""
-    group_test = F.when(groups == 2, "mann_whitney").when(groups > 2, "kruskal_wallis")
-    return (
-        F.when((explanatory == "datetime") & (outcome == "numeric"), "trend")
-        .when((outcome == "numeric") & (explanatory == "numeric"), "spearman")
-        .when((outcome == "numeric") & (explanatory == "category"), group_test)
-        .when((outcome == "category") & (explanatory == "numeric"), group_test)
-        .when((outcome == "category") & (explanatory == "category"), "chi_square")
-    )
+    fired = [F.when((known > 0) & when, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for code, severity, when in rules]
+    empty = F.when((F.col("rows") > 0) & (known == 0), F.struct(F.lit("empty_column").alias("code"), F.lit("severe").alias("severity")))
+    return facts.select("column", F.explode(F.filter(F.array(empty, *fired), lambda r: r.isNotNull())).alias("rule")).select("column", "rule.code", "rule.severity")
+
+
+def table_warnings(rows: DataFrame, duplicates: DataFrame, same: DataFrame, associations: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """Rules over a table: code, severity, column, other.
+
+    ``rows`` and ``duplicates`` are rows, duplicates of a table; ``same`` a, b, share of equal
+    columns; ``associations`` a, b, measure, value; ``dependencies`` column, by, strength. Of a
+    column's missing-data dependencies the strongest counts.
+    """
+    def plain(df: DataFrame, code: str, severity: str, column: Column, other: Column) -> DataFrame:
+        return df.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), column.alias("column"), other.alias("other"))
+
+    none = F.lit(None).cast("string")
+    limit = F.create_map(*(F.lit(x) for kv in NEAR_PERFECT.items() for x in kv))
+    strongest_of = dependencies.groupBy("column").agg(F.max_by("by", F.struct("strength", "by")).alias("by"))
+    parts = [
+        plain(duplicates.where("duplicates > 0"), "duplicate_rows", "warning", none, none),
+        plain(rows.where("rows = 0"), "no_rows", "severe", none, none),
+        plain(same.where(F.col("share") >= DUPLICATE_SHARE), "near_duplicate_columns", "warning", F.col("b"), F.col("a")),
+        plain(associations.where(F.abs("value") >= limit[F.col("measure")]), "near_perfect_association", "warning", F.col("b"), F.col("a")),
+        plain(strongest_of, "missing_depends", "warning", F.col("column"), F.col("by")),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
+def pairwise_associations(df: DataFrame, numeric: list[str], categories: list[str], least: float = LEAST_ASSOCIATION, keep: int = KEEP_PAIRS) -> DataFrame:
+    """Associations of all pairs of columns over all rows: a, b, measure, value, n.
+
+    Spearman for two numbers, Cramer's V for two categories (50 values at most), eta for a
+    category and a number; the ``keep`` strongest of at least ``least``.
+    """
+    def row(found: DataFrame, a: str, b: str, measure: str, value: str) -> DataFrame:
+        return found.select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(measure).alias("measure"), F.col(value).alias("value"), F.col("n").cast("long").alias("n"))
+
+    parts = [row(stats.spearman(df, a, b), a, b, "spearman", "rho") for a, b in combinations(numeric, 2)]
+    parts += [row(stats.chi_square(df, a, b, stats.PAIR_ROWS), a, b, "cramers_v", "v") for a, b in combinations(categories, 2)]
+    parts += [row(stats.correlation_ratio(df, c, x), c, x, "eta", "eta") for c in categories for x in numeric if c != x]
+    if not parts:
+        return df.sparkSession.createDataFrame([], "a string, b string, measure string, value double, n long")
+    return strongest(reduce(DataFrame.union, parts).where("value is not null"), keep, least)
+
+
+def missing_dependencies(df: DataFrame, columns: list[str], categories: list[str], numeric: list[str]) -> DataFrame:
+    """Columns whose missing values depend on another one: column, by, kind, measure, strength, highest, lowest.
+
+    For a category Cramer's V of being missing, of ``DEPENDENCY_V`` or more, with the groups of
+    20 rows or more that miss most and least; for a number the standardised difference of
+    ``DEPENDENCY_SMD`` or more, with its means where missing and present.
+    """
+    parts = []
+    for c in columns:
+        for by in (b for b in categories if b != c):
+            gone = df.withColumn("__gone", F.col(c).isNull())
+            v = stats.chi_square(gone, "__gone", by, stats.PAIR_ROWS).select("v")
+            rates = missing_rates(df, c, by)
+            ends = rates.agg(F.max_by("group", F.struct("missing_rate", "group")).alias("highest"), F.min_by("group", F.struct("missing_rate", "group")).alias("lowest"), F.count("*").alias("k"))
+            both = v.crossJoin(F.broadcast(ends)).where((F.col("v") >= DEPENDENCY_V) & (F.col("k") >= 2))  # single rows
+            parts.append(both.select(F.lit(c).alias("column"), F.lit(by).alias("by"), F.lit("categorical").alias("kind"), F.lit("cramers_v").alias("measure"), F.col("v").alias("strength"), "highest", "lowest"))
+        for by in (b for b in numeric if b != c):
+            found = stats.missing_shift(df, c, by).where(F.abs("smd") >= DEPENDENCY_SMD)
+            means = [F.col(m).cast("string") for m in ("mean_when_missing", "mean_when_present")]
+            parts.append(found.select(F.lit(c).alias("column"), F.lit(by).alias("by"), F.lit("numeric").alias("kind"), F.lit("smd").alias("measure"), F.abs("smd").alias("strength"), means[0].alias("highest"), means[1].alias("lowest")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column string, by string, kind string, measure string, strength double, highest string, lowest string")
+    return reduce(DataFrame.union, parts)
+
+
+@dataclass(frozen=True)
+class ColumnFacts:
+    """What choosing a test needs to know of a column."""
+
+    name: str
+    semantic_type: str
+    n_distinct: int = 0
+    number: bool = False
+    integer: bool = False
+    uniqueness: float = 0.0
+    missing: int = 0
+    personal: bool = False
+
+    @property
+    def is_row_number(self) -> bool:
+        """A complete integer column with another value in each row."""
+        return self.integer and self.uniqueness == 1.0 and self.missing == 0
+
+    @property
+    def usable(self) -> bool:
+        """Whether a column may be analysed: no identifier, constant, free text or personal data."""
+        return not (self.personal or self.is_row_number or self.semantic_type in ("identifier", "constant", "free_text"))
+
+    @property
+    def is_ordinal(self) -> bool:
+        """A number with few values, but enough to rank."""
+        return self.semantic_type == "categorical" and self.number and self.n_distinct >= ORDINAL_MIN
+
+    @property
+    def is_numeric(self) -> bool:
+        return self.semantic_type == "numeric" or self.is_ordinal
+
+    @property
+    def is_grouping(self) -> bool:
+        return not self.is_ordinal and self.semantic_type in ("categorical", "boolean") and 2 <= self.n_distinct <= MAX_GROUPS
+
+
+def choose_test(outcome: ColumnFacts, explanatory: ColumnFacts) -> tuple[str, str, str] | None:
+    """The test for two columns and its x and y, None if none fits: ordered categories count as numbers."""
+    if outcome.is_numeric and explanatory.semantic_type == "datetime":
+        return "trend", explanatory.name, outcome.name
+    if outcome.is_numeric and explanatory.is_numeric:
+        return "spearman", explanatory.name, outcome.name
+    for value, group in ((outcome, explanatory), (explanatory, outcome)):
+        if value.is_numeric and group.is_grouping:
+            return ("mann_whitney" if group.n_distinct == 2 else "kruskal_wallis"), value.name, group.name
+    if outcome.is_grouping and explanatory.is_grouping:
+        return "chi_square", explanatory.name, outcome.name
+    return None
 
 
 def rank_findings(results: DataFrame) -> DataFrame:
-    """Scores of test results (test, effect, n, relevance, p_adjusted), with magnitude and status."""
+    """Scores of test results (test, effect, n, relevance, p_adjusted), with magnitude and status.
+
+    Without evidence (p of .05 or more) no_evidence; a negligible effect is weak, any other a
+    finding.
+    """
     score = rank_score(F.col("test"), F.col("effect"), F.col("n"), F.col("relevance"), F.col("p_adjusted"))
-    return results.withColumns(
-        {
-            "magnitude": effect_magnitude(F.col("test"), F.col("effect")),
-            "score": score,
-            "status": F.when(F.col("p_adjusted") < 0.05, "evidence").otherwise("no_evidence"),
-        }
-    )
+    size = effect_magnitude(F.col("test"), F.col("effect"))
+    status = F.when(F.col("p_adjusted") >= 0.05, "no_evidence").when(size == "negligible", "weak").otherwise("finding")
+    return results.withColumns({"magnitude": size, "score": score, "status": status})
 
 
 def cramers_v_by_stratum(df: DataFrame, a: str, b: str, stratum: str) -> DataFrame:
@@ -76,19 +210,22 @@ def mean_gap_by_stratum(df: DataFrame, value: str, group: str, first: str, secon
     return found.where("effect is not null")
 
 
-def confounder_verdict(strata: DataFrame, crude: float) -> DataFrame:
-    """Does an effect hold within strata (stratum, n, effect)? One row: mean effect and verdict.
+def confounder_verdict(strata: DataFrame, crude: float, signed: bool = True) -> DataFrame:
+    """Does an effect hold within strata (stratum, n, effect)? One row: strata, mean_effect, verdict.
 
     Strata under ``STRATUM_ROWS`` rows do not count; with fewer than ``STRATA`` the verdict is
-    ``unclear``. A weighted mean of the other sign reverses, one of half the size weakens.
+    ``unclear``. An effect with a sign reverses if any stratum has the other sign and an effect
+    of ``REVERSING`` or more. Else it weakens if the mean size within strata, weighted by rows,
+    is under half the crude one's, and holds otherwise.
     """
-    used = strata.where(F.col("n") >= STRATUM_ROWS)
-    mean = F.sum(F.col("effect") * F.col("n")) / F.sum("n")
-    out = used.agg(F.count("*").alias("strata"), mean.alias("mean_effect"))
+    used = strata.where((F.col("n") >= STRATUM_ROWS) & F.col("effect").isNotNull())
+    mean = F.sum(F.abs("effect") * F.col("n")) / F.sum("n")
+    other = F.coalesce(F.bool_or((F.col("effect") * F.lit(crude) < 0) & (F.abs("effect") >= REVERSING)), F.lit(False))
+    out = used.agg(F.count("*").alias("strata"), mean.alias("mean_effect"), other.alias("other_sign"))
     verdict = (
-        F.when(F.col("strata") < STRATA, "unclear").when(F.col("mean_effect") * F.lit(crude) < 0, "reverses").when(F.abs("mean_effect") <= WEAKER * abs(crude), "weakens").otherwise("holds")
+        F.when(F.col("strata") < STRATA, "unclear").when(F.lit(signed) & F.col("other_sign"), "reverses").when((F.lit(abs(crude)) > 0) & (F.col("mean_effect") < WEAKER * abs(crude)), "weakens").otherwise("holds")
     )
-    return out.withColumn("verdict", verdict)
+    return out.select("strata", "mean_effect", verdict.alias("verdict"))
 
 
 def missing_rates(df: DataFrame, column: str, group: str, least_rows: int = 20) -> DataFrame:
@@ -102,16 +239,47 @@ def strongest(edges: DataFrame, k: int = 50, least: float = 0.1) -> DataFrame:
     return edges.where(F.abs("value") >= least).orderBy(F.desc(F.abs("value")), "a", "b").limit(k)
 
 
-def confounders(edges: DataFrame, outcome: str, explanatory: str, least: float = 0.1, k: int = 2) -> DataFrame:
-    """Columns linked to both of two columns, by the weaker of the two links."""
+def confounders(edges: DataFrame, outcome: str, explanatory: str, levels: DataFrame | None = None, least: float = 0.1, k: int = 2) -> DataFrame:
+    """Grouping columns linked to both of two columns, the largest sum of links first: column, to_outcome, to_explanatory, strength.
+
+    ``levels`` (column, n_distinct) limits them to columns of 2 to ``MAX_LEVELS`` values.
+    """
+    both = edges.select("a", "b", "value").union(edges.select("b", "a", "value")).where(F.abs("value") >= least)
+    x = both.where(F.col("a") == outcome).groupBy(F.col("b").alias("column")).agg(F.max(F.abs("value")).alias("to_outcome"))
+    y = both.where(F.col("a") == explanatory).groupBy(F.col("b").alias("column")).agg(F.max(F.abs("value")).alias("to_explanatory"))
+    met = x.join(y, "column").where(~F.col("column").isin(outcome, explanatory)).withColumn("strength", F.col("to_outcome") + F.col("to_explanatory"))
+    if levels is not None:
+        met = met.join(levels.where(F.col("n_distinct").between(2, MAX_LEVELS)).select("column"), "column", "left_semi")
+    return met.orderBy(F.desc("strength"), F.desc("column")).limit(k)
+
+
+def possible_confounders(edges: DataFrame, outcome: str, explanatory: str, mapped: list[str], least: float = 0.1, k: int = 5) -> DataFrame:
+    """Columns outside a question linked to both of its variables, the first ``k`` by name: column."""
     both = edges.select("a", "b", "value").union(edges.select("b", "a", "value")).where(F.abs("value") >= least)
-    x = both.where(F.col("a") == outcome).select(F.col("b").alias("column"), F.abs("value").alias("to_outcome"))
-    y = both.where(F.col("a") == explanatory).select(F.col("b").alias("column"), F.abs("value").alias("to_explanatory"))
-    met = x.join(y, "column").withColumn("strength", F.least("to_outcome", "to_explanatory"))
-    return met.orderBy(F.desc("strength"), "column").limit(k)
+    found = both.where(F.col("a").isin(outcome, explanatory)).groupBy(F.col("b").alias("column")).agg(F.count_distinct("a").alias("k"))
+    return found.where((F.col("k") == 2) & ~F.col("column").isin(*mapped, outcome, explanatory)).select("column").orderBy("column").limit(k)
 
 
 def group_shares(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Counts of (a, b) and the percentage of each within its value of a."""
-    counts = contingency(df, a, b).where("observed > 0").select("a", "b", F.col("observed").alias("n"))
-    return counts.withColumn("share", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("a")))
+    """Counts of (a, b) and the percentage of each within its value of a: a, b, n, share."""
+    return contingency(df, a, b).select("a", "b", F.col("observed").alias("n"), (100.0 * F.col("observed") / F.col("row")).alias("share"))
+
+
+def share_series(df: DataFrame, a: str, b: str, k: int = 4) -> DataFrame:
+    """Shares within each value of a, a column ``% <value>`` for each of the ``k`` commonest values of b."""
+    shares = group_shares(df, a, b)
+    top = [r["b"] for r in shares.groupBy("b").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "b").limit(k).collect()]
+    return shares.groupBy("a").agg(*(F.round(F.max(F.when(F.col("b") == v, F.col("share"))), 1).alias(f"% {v}") for v in top))
+
+
+def trend_series(df: DataFrame, time: str, value: str, period: str | None = None) -> DataFrame:
+    """Mean and count of a value by time, or by calendar period: time, mean, n."""
+    at = F.col(time) if period is None else F.date_trunc(period, F.col(time)).cast("date")
+    x = F.col(value).cast("double")
+    return df.where(F.col(time).isNotNull() & x.isNotNull()).groupBy(at.alias("time")).agg(F.avg(x).alias("mean"), F.count("*").alias("n"))
+
+
+def sampled(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
+    """At most ``n`` rows, those with the smallest hash of ``keys`` (all columns if none) and seed; the same rows every time."""
+    order = F.xxhash64(*(keys or df.columns), F.lit(seed))
+    return df.orderBy(order, *(keys or df.columns)).limit(n)
