@@ -69,3 +69,14 @@ def appendix(df: DataFrame, key: str, name: str, page: str, value: str) -> DataF
         F.array_sort(F.collect_set(F.when(F.col(value).isNotNull(), F.col(page)))).alias("pages"),
         F.array_sort(F.collect_set(F.when(F.col(value).isNull(), F.col(name)))).alias("not_found"),
     )
+
+
+def searched(df: DataFrame, text: str, order: str, columns: list[str] | None = None, descending: bool = False) -> DataFrame:
+    """Rows with a text in any of the columns, without case, sorted by one column: numbers by value first, then text, nulls last."""
+    named = columns or df.columns
+    hit = F.lit(False)
+    for c in named:
+        hit = hit | F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(text.lower()))
+    number, plain = F.col(order).cast("string").try_cast("double"), F.col(order)
+    keys = [number.desc_nulls_last(), plain.desc_nulls_last()] if descending else [number.asc_nulls_last(), plain.asc_nulls_last()]
+    return df.where(hit).orderBy(*keys)

@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import tokens
+from ..functions.text import BARE_NAME_UNIQUENESS, NAME_RULES, VALUE_RULES, VALUE_SHARE, cosine, terms, words
 
 #: Share of a question's terms that a related text must hold, and how many at least.
 RELATED_SHARE, RELATED_TERMS = 0.3, 2
-#: Question terms that one run compares all texts with; they are sent to every task.
-MAX_QUESTIONS = 10_000
-_NUMBER = r"(?<![A-Za-z0-9_.])[-+]?[0-9][0-9,]*(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?%?(?![A-Za-z0-9_])"
 
 
 def related(texts: DataFrame, questions: DataFrame, text_id: str, text: str, question_id: str, question: str) -> DataFrame:
     """Texts that hold enough of a question's terms: question_id, text_id, matched, score.
 
-    Terms are joined, not texts with questions: only (term, text) rows of asked terms meet.
-    A question's terms are those of three letters or digits and more.
+    Terms are joined, not texts with questions. A text that holds m of a question's n terms
+    holds one of any n - m + 1 of them: only texts that share one of a question's rarest that
+    many terms are looked at, so a term that most texts hold makes no candidates alone.
     """
-    asked = questions.select(F.col(question_id).alias("q"), F.explode(tokens(F.col(question))).alias("term"))
-    sizes = asked.groupBy("q").agg(F.count("*").alias("terms"))
-    held = texts.select(F.col(text_id).alias("t"), F.explode(tokens(F.col(text))).alias("term"))
-    met = held.join(asked, "term").groupBy("q", "t").agg(F.count("*").alias("matched"))
-    least = F.greatest(F.lit(RELATED_TERMS), F.ceil(RELATED_SHARE * F.col("terms")))
-    out = met.join(sizes, "q").where(F.col("matched") >= least)
+    asked = questions.select(F.col(question_id).alias("q"), F.explode(terms(F.col(question))).alias("term"))
+    held = texts.select(F.col(text_id).alias("t"), F.explode(terms(F.col(text))).alias("term"))
+    often = held.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("k"))
+    of_question = Window.partitionBy("q")
+    sized = asked.join(often, "term", "left").withColumns(
+        {"terms": F.count("*").over(of_question), "place": F.row_number().over(of_question.orderBy(F.coalesce("k", F.lit(0)), "term"))}
+    )
+    sized = sized.withColumn("least", F.greatest(F.lit(RELATED_TERMS), F.ceil(RELATED_SHARE * F.col("terms"))).cast("int"))
+    rare = sized.where(F.col("place") <= F.col("terms") - F.col("least") + 1).select("q", "term")
+    pairs = held.join(rare, "term").select("q", "t").distinct()
+    met = pairs.join(sized.select("q", "term", "terms", "least"), "q").join(held, ["t", "term"], "left_semi")
+    out = met.groupBy("q", "t", "terms", "least").agg(F.count("*").alias("matched")).where(F.col("matched") >= F.col("least"))
     return out.select(F.col("q").alias(question_id), F.col("t").alias(text_id), "matched", (F.col("matched") / F.col("terms")).alias("score"))
 
 
@@ -34,66 +40,281 @@ def passages(texts: DataFrame, id_col: str, text: str, terms: list[str], k: int
     """The ``k`` lines of each text with most of the given terms, at least one: id, line, hits."""
     lines = texts.select(F.col(id_col), F.posexplode(F.split(text, "\n")).alias("line", "content"))
     wanted = F.array(*map(F.lit, sorted({t.lower() for t in terms})))
-    scored = lines.withColumn("hits", F.size(F.array_intersect(tokens(F.col("content")), wanted))).where("hits > 0")
+    scored = lines.withColumn("hits", F.size(F.array_intersect(words(F.col("content")), wanted))).where("hits > 0")
     place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("hits"), "line"))
     return scored.withColumn("place", place).where(F.col("place") <= k).select(id_col, "line", "hits")
 
 
 def normal(text: Column) -> Column:
-    """Text for comparing quotes: quotes and dashes folded, white space as one space, lower case."""
-    folded = F.translate(text, "‘’“”‐‑‒–—− ", "''\"\"------ ")
-    return F.lower(F.trim(F.regexp_replace(folded, r"\s+", " ")))
+    """Text for comparing quotes: quotes and hyphens gone, white space as one space, lower case, no dots at the ends."""
+    folded = F.lower(F.translate(text, "‐‑‒–—―−\u00a0\u00ad", "------- "))
+    joined = F.regexp_replace(F.regexp_replace(folded, r"-\s+", ""), "[-\"'`‘’‚‛“”„‟]", "")
+    return F.trim(F.regexp_replace(joined, r"\s+", " "), F.lit(" ."))
+
+
+#: Similarity of a quote that counts as found, and characters that it then needs.
+FUZZY, FUZZY_CHARS = 0.9, 20
+
+
+def quote_score(quote: Column, passage: Column) -> Column:
+    """1 if a passage holds a quote, else the similarity of the quote to the nearest stretch of words as long.
+
+    Similarity is 1 - edit distance over the longer length, three digits; 0 for quotes under
+    ``FUZZY_CHARS`` characters and for passages too short.
+    """
+    q, p = normal(quote), normal(passage)
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(p), F.lit(1))), lambda i: (i == 1) | (F.substr(p, i - 1, F.lit(1)) == " "))
+    windows = F.filter(F.transform(starts, lambda i: F.substr(p, i, F.length(q))), lambda w: F.length(w) * 10 >= F.length(q) * 8)
+    near = F.array_max(F.transform(windows, lambda w: 1 - F.levenshtein(q, w) / F.greatest(F.length(q), F.length(w))))
+    fuzzy = F.when((F.length(q) >= FUZZY_CHARS) & (F.length(p) * 10 >= F.length(q) * 8), F.round(F.coalesce(near, F.lit(0.0)), 3)).otherwise(0.0)
+    return F.when(q.isNull() | p.isNull() | (q == ""), 0.0).when(F.contains(p, q), 1.0).otherwise(fuzzy)
 
 
 def quoted(quotes: DataFrame, sources: DataFrame, key: str, quote: str, text: str) -> DataFrame:
-    """Quotes with whether their source, found by ``key``, holds them word for word."""
-    found = sources.select(key, normal(F.col(text)).alias("__source"))
-    met = quotes.join(found, key, "left")
-    return met.withColumn("exact", F.coalesce(F.contains(F.col("__source"), normal(F.col(quote))), F.lit(False))).drop("__source")
+    """Quotes with how well their source, found by ``key``, holds them: score, exact, verified."""
+    found = sources.select(key, F.col(text).alias("__source"))
+    met = quotes.join(found, key, "left").withColumn("score", quote_score(F.col(quote), F.col("__source"))).drop("__source")
+    return met.withColumns({"exact": F.col("score") == 1, "verified": F.col("score") >= FUZZY})
+
+
+# What a number in a text looks like, and what is no number: code and dates.
+_CODE, _DATE = "`[^`]*`", r"\b\d{4}-\d{2}(-\d{2})?([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?\b"
+_NUMBER = (
+    r"(?:([<>≤≥])=?\s*)?(?<![\w.])(-)?(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)"
+    r"(?:[eE]([-+]?\d+)|\s?[\u00d7x*]\s?10\^?([-\u2212+]?\d+))?"
+    r"(\s?%)?"
+    r"(?:\s?(thousand|million|billion|[kKMB])\b)?"
+    r"(?![\w.]*[A-Za-z_])"
+)
+_SCALES = {"thousand": 1e3, "k": 1e3, "K": 1e3, "million": 1e6, "M": 1e6, "billion": 1e9, "B": 1e9}
+#: Whole numbers up to this are counted in words and need no source.
+EXEMPT_MAX = 10
 
 
-def numbers(text: Column) -> Column:
-    """The numbers that a text states, as written, in order."""
-    return F.regexp_extract_all(text, F.lit(f"({_NUMBER})"), F.lit(1))
+def claims(text: Column) -> Column:
+    """The numbers that a text states: an array of (text, value, decimals, percent, scale, bound).
+
+    Code, dates and words with digits are none; small whole numbers without a unit are exempt.
+    ``bound`` is < or > where the text states a bound.
+    """
+    plain = F.regexp_replace(F.regexp_replace(text, _CODE, " "), _DATE, " ")
+    part = lambda m, i: F.regexp_extract(m, _NUMBER, i)
+    scales = F.create_map(*(F.lit(x) for kv in _SCALES.items() for x in kv))
 
+    def claim(m: Column) -> Column:
+        number = F.regexp_replace(part(m, 3), ",", "")
+        power = F.translate(F.concat(part(m, 4), part(m, 5)), "\u2212", "-").try_cast("int")
+        scale = F.coalesce(scales[part(m, 7)], F.lit(1.0)) * F.pow(F.lit(10.0), F.coalesce(power, F.lit(0)))
+        value = number.cast("double") * F.when(part(m, 2) == "-", -1.0).otherwise(1.0)
+        bound = F.when(part(m, 1).isin("<", "≤"), "<").when(part(m, 1).isin(">", "≥"), ">")
+        decimals = F.length(F.regexp_extract(number, r"\.(\d+)", 1))
+        fields = {"text": F.trim(m), "value": value, "decimals": decimals, "percent": part(m, 6) != "", "scale": scale, "bound": bound}
+        return F.struct(*(c.alias(k) for k, c in fields.items()))
 
-def number_value(written: Column) -> Column:
-    """The value of a number as written; a percentage as its share."""
-    plain = F.regexp_replace(written, "[,%]", "").try_cast("double")
-    return F.when(written.endswith("%"), plain / 100).otherwise(plain)
+    found = F.transform(F.regexp_extract_all(plain, F.lit(f"({_NUMBER})"), F.lit(0)), claim)
+    exempt = lambda c: c["bound"].isNull() & (c["decimals"] == 0) & (F.abs(c["value"]) <= EXEMPT_MAX) & ~c["percent"] & (c["scale"] == 1.0)
+    return F.filter(found, lambda c: ~exempt(c))
 
 
 def supported(claim: Column, pool: Column) -> Column:
-    """Whether a written number equals one of a pool to the precision it is written in."""
-    digits = F.length(F.regexp_extract(claim, r"\.([0-9]+)", 1)) + F.when(claim.endswith("%"), 2).otherwise(0)
-    half = 0.5 * F.pow(F.lit(10.0), -digits) * (1 + 1e-9)
-    return F.exists(pool, lambda x: F.abs(x - number_value(claim)) <= half)
+    """Whether a stated number equals one of a pool to half a unit of its last digit, sign aside, or keeps its bound.
+
+    A percentage equals a share too.
+    """
+    tolerance = 0.5 * F.pow(F.lit(10.0), -claim["decimals"]) * claim["scale"] * (1 + 1e-9)
+    target = claim["value"] * claim["scale"]
+    as_stated = lambda v: F.when(claim["percent"], v * 100).otherwise(v)
+    near = lambda v: F.abs(F.abs(v) - F.abs(target)) <= tolerance
+    equal = F.exists(pool, lambda v: near(v) | near(as_stated(v)))
+    below, above = F.exists(pool, lambda v: as_stated(v) < target + tolerance), F.exists(pool, lambda v: as_stated(v) > target - tolerance)
+    return F.coalesce(F.when(claim["bound"] == "<", below).when(claim["bound"] == ">", above).otherwise(equal), F.lit(False))
+
+
+def all_numbers(text: Column) -> Column:
+    """Every number written in a text or in JSON, as doubles."""
+    found = F.regexp_extract_all(F.regexp_replace(text, ",(?=[0-9]{3})", ""), F.lit(r"(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"), F.lit(1))
+    return F.transform(found, lambda n: n.cast("double"))
+
+
+def grounded(answers: DataFrame, sources: DataFrame, key: str, answer: str, source: str) -> DataFrame:
+    """Answers with the numbers that none of their sources (text or JSON by ``key``) holds: key, answer, checked, unsupported, ok."""
+    pools = sources.groupBy(key).agg(F.flatten(F.collect_list(all_numbers(F.col(source)))).alias("__pool"))
+    met = answers.join(pools, key, "left").withColumn("__claims", claims(F.col(answer)))
+    pool = F.coalesce(F.col("__pool"), F.array().cast("array<double>"))
+    bad = F.array_distinct(F.transform(F.filter("__claims", lambda c: ~supported(c, pool)), lambda c: c["text"]))
+    out = met.withColumns({"checked": F.size("__claims"), "unsupported": bad})
+    return out.withColumn("ok", F.size("unsupported") == 0).select(key, answer, "checked", "unsupported", "ok")
+
+
+def check_cells(cells: DataFrame, citations: DataFrame, passages_: DataFrame) -> DataFrame:
+    """Values with their citations checked: cell, n_citations, verified, missing_labels, unsupported, ok.
+
+    ``cells`` has cell, doc, value; ``citations`` cell, label, quote; ``passages_`` doc, label,
+    ordinal, text. A quote may run on into passages next to its own that the cell cites too.
+    Numbers of a value must be in its cited passages. A cell is ok with a citation, all of
+    them verified, and no other number.
+    """
+    cited = cells.select("cell", "doc").join(citations, "cell").join(passages_, ["doc", "label"], "left")
+    known = cited.where("ordinal is not null").select("cell", "ordinal", "text").distinct()
+    run = Window.partitionBy("cell")  # the citations of one cell
+    runs = known.withColumn("run", F.col("ordinal") - F.row_number().over(run.orderBy("ordinal")))
+    joined = runs.groupBy("cell", "run").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"])).alias("whole"))
+    around = runs.join(joined, ["cell", "run"]).select("cell", "ordinal", "whole")
+    scored = cited.join(around, ["cell", "ordinal"], "left").withColumn("score", F.greatest(quote_score(F.col("quote"), F.col("text")), quote_score(F.col("quote"), F.col("whole"))))
+    by_cell = scored.groupBy("cell").agg(
+        F.count("text").alias("n_citations"), F.count_if(F.col("score") >= FUZZY).alias("verified"), F.array_sort(F.collect_set(F.when(F.col("text").isNull(), F.col("label")))).alias("missing_labels"),
+        F.flatten(F.collect_list(all_numbers(F.col("text")))).alias("pool"),
+    )
+    met = cells.select("cell", "value").join(by_cell, "cell", "left").withColumn("__claims", claims(F.coalesce("value", F.lit(""))))
+    pool = F.coalesce(F.col("pool"), F.array().cast("array<double>"))
+    bad = F.array_distinct(F.transform(F.filter("__claims", lambda c: ~supported(c, pool)), lambda c: c["text"]))
+    out = met.select(
+        "cell", F.coalesce("n_citations", F.lit(0)).alias("n_citations"), F.coalesce("verified", F.lit(0)).alias("verified"), F.coalesce("missing_labels", F.array().cast("array<string>")).alias("missing_labels"), bad.alias("unsupported")
+    )
+    return out.withColumn("ok", (F.col("n_citations") > 0) & (F.col("verified") == F.col("n_citations")) & (F.size("missing_labels") == 0) & (F.size("unsupported") == 0))
+
+
+def coerce(value: Column, kind: str, options: list[str] | None = None) -> Column:
+    """A text value in the form of its kind, as (value, problem): list, number, category or text.
+
+    List items stand between line breaks or "; "; a number is the first one written; a
+    category is the option that reads alike.
+    """
+    problem = lambda bad, text: F.when(bad, text)
+    out = F.trim(value)
+    why = F.lit(None).cast("string")
+    if kind == "list":
+        items = F.filter(F.transform(F.split(value, "\n|;\\s"), F.trim), lambda x: x != "")
+        out = F.to_json(items)
+    elif kind == "number":
+        found = F.regexp_extract(value, r"(-?\d[\d,]*(?:\.\d+)?)", 1)
+        out = F.when(found == "", value).otherwise(F.regexp_replace(found, ",", "").cast("double").cast("string"))
+        why = problem(value.isNotNull() & (found == ""), F.concat(F.lit('"'), value, F.lit('" is not a number')))
+    elif kind == "category":
+        match = F.try_element_at(F.filter(F.array(*map(F.lit, options)), lambda o: normal(o) == normal(value)), F.lit(1)) if options else F.lit(None).cast("string")
+        out = F.coalesce(match, value)
+        why = problem(value.isNotNull() & match.isNull(), F.concat(F.lit('"'), value, F.lit('" is not one of the options')))
+    return F.struct(out.alias("value"), why.alias("problem"))
+
+
+# Abbreviations that end no sentence.
+ABBREVIATIONS = [
+    "al", "e.g", "i.e", "eg", "ie", "etc", "fig", "figs", "eq", "eqs", "sec", "secs", "tab",
+    "no", "nos", "vs", "cf", "dr", "mr", "ms", "prof", "approx", "resp", "ref", "refs", "vol",
+    "pp", "ch", "inc", "ltd", "jr", "sr", "st", "dept", "univ", "min", "max", "avg", "std",
+]
+_SHORT = "(?i:" + "|".join(a.replace(".", "[.]") for a in ABBREVIATIONS) + "|[a-z]|[a-z][.][a-z]|[a-z][.][a-z][.][a-z])"
 
 
 def sentences(text: Column) -> Column:
-    """Sentences: text cut after . ! or ? where a capital or digit follows, not after common abbreviations."""
-    # Abbreviations that end no sentence.
-    short = r"(?<!\b(?:[A-Z]|Dr|Mr|Ms|Mrs|Prof|Fig|Figs|Eq|Eqs|vs|etc|al|No|cf|approx|e\.g|i\.e)\.)"
-    parts = F.split(F.regexp_replace(F.trim(text), r"\s+", " "), rf"(?<=[.!?]){short} (?=[A-Z0-9\"'(])")
-    return F.filter(parts, lambda s: s != "")
+    """Sentences: text cut after . ! or ? where a capital, digit or opening mark follows, not after abbreviations or initials.
+
+    A fragment without three letters joins the sentence before it, and a sentence under 25
+    characters the next one.
+    """
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    cut = F.split(flat, rf"(?<=[.!?][\"'”’)\]]?)(?<!(?:^|[\s(\[\"']){_SHORT}[.!?]) (?=[\p{{Lu}}0-9\"'(“\[])")
+    few = lambda s: F.length(F.regexp_replace(s, r"[^\p{L}]", "")) < 3
+    last = lambda done: F.element_at(done, -1)
+    front = lambda done: F.slice(done, F.lit(1), F.size(done) - 1)
+    joined = F.aggregate(
+        cut,
+        F.array().cast("array<string>"),
+        lambda done, s: F.when(s == "", done)
+        .when(F.size(done) == 0, F.when(few(s), done).otherwise(F.array(s)))
+        .when(few(s) | (F.length(F.try_element_at(done, F.lit(-1))) < 25), F.concat(front(done), F.array(F.concat_ws(" ", F.try_element_at(done, F.lit(-1)), s))))
+        .otherwise(F.concat(done, F.array(s))),
+    )
+    return joined
+
+
+# Kinds of sections and the words of their headings, and how headings are numbered.
+SECTION_WORDS = [
+    ("abstract", r"abstract|summary"),
+    ("keywords", r"keywords|index terms"),
+    ("introduction", r"introduction|motivation"),
+    ("background", r"background|preliminaries"),
+    ("related_work", r"related work|related works|literature review|prior work|state of the art"),
+    (
+        "method",
+        r"methods?|methodology|approach|proposed (?:method|approach)|study design|materials and "
+        r"methods|research method(?:ology)?",
+    ),
+    ("experiments", r"experiments?|experimental setup|evaluation|experimental evaluation|setup"),
+    ("results", r"results?|findings|results and discussion"),
+    ("discussion", r"discussion"),
+    ("limitations", r"limitations?|threats to validity|validity threats"),
+    ("conclusion", r"conclusions?|concluding remarks|conclusion and future work"),
+    ("future_work", r"future work|future directions"),
+    ("acknowledgements", r"acknowledge?ments?"),
+    ("references", r"references|bibliography|works cited"),
+    ("appendix", r"appendix|appendices|supplementary material"),
+]
+NUMBERING = r"(?:\d+(?:\.\d+)*[.)]?\s*|(?:[IVXL]+|[A-Z])(?:[.)]\s*|\s+))?"
 
 
 def section_kind(heading: Column) -> Column:
-    """What a section is about, by the words of its heading."""
-    name = F.lower(F.regexp_replace(heading, r"^[0-9IVX.\s]+", ""))
-    rules = [
-        ("abstract", "abstract|summary"), ("introduction", "introduction|background|motivation"), ("methods", "method|material|data|procedure|design|participants"),
-        ("results", "result|finding|experiment|evaluation"), ("discussion", "discussion|limitation|implication"), ("conclusion", "conclusion|concluding|outlook"), ("references", "reference|bibliography"),
-    ]
-    out = F.when(name == "", "other")
-    for kind, words in rules:
-        out = out.when(name.rlike(words), kind)
+    """What a section is about: by its whole heading less the number, else by the words in it, else other."""
+    title = F.trim(F.regexp_replace(heading, r"\s+", " "))
+    bare = F.lower(F.regexp_replace(title, f"^{NUMBERING}", ""))
+    out = F.when(title.isNull() | (title == ""), "other")
+    for kind, pattern in SECTION_WORDS:
+        out = out.when(title.rlike(f"(?i)^{NUMBERING}(?:{pattern})\\s*[:.]?$"), kind)
+    for kind, pattern in SECTION_WORDS:
+        out = out.when(bare.rlike(rf"\b(?:{pattern})\b"), kind)
     return out.otherwise("other")
 
 
-def retrieve_columns(columns: DataFrame, question: list[str]) -> DataFrame:
-    """Columns (name, description) by shared words: 3 for each in the name, 1 in the description."""
-    wanted = F.array(*map(F.lit, sorted({w.lower() for w in question})))
-    in_name = F.size(F.array_intersect(F.split(F.lower("name"), "[^a-z0-9]+"), wanted))
-    in_text = F.size(F.array_intersect(tokens(F.coalesce(F.col("description"), F.lit(""))), wanted))
-    return columns.withColumn("score", 3 * in_name + in_text).where("score > 0").orderBy(F.desc("score"), "name")
+def running_lines(lines: DataFrame, doc: str, page: str, line: str, least: float = 0.5, pages: int = 2) -> DataFrame:
+    """Lines that repeat on ``least`` of a document's pages, digits aside, on ``pages`` at least: doc, line, n_pages.
+
+    ``lines`` are those in the margins of pages. Lines are counted by page first, so that a
+    line all pages hold is merged early.
+    """
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.col(line)), r"\d+", "#"), r"\s+", " "))
+    rows = lines.select(F.col(doc).alias("doc"), F.col(page).alias("page"), plain.alias("line")).distinct()
+    total = rows.groupBy("doc").agg(F.count_distinct("page").alias("total"))
+    counts = rows.where("line <> ''").groupBy("doc", "line").agg(F.count("*").alias("n_pages"))
+    return counts.join(total, "doc").where((F.col("n_pages") >= pages) & (F.col("n_pages") >= least * F.col("total"))).select(F.col("doc").alias(doc), F.col("line").alias(line), "n_pages")
+
+
+def retrieve_columns(columns: DataFrame, question: str, limit: int = 20, vector: list[float] | None = None) -> DataFrame:
+    """The best columns (name, label, description) for a question: all their fields, points and score.
+
+    3 points for each word of the question in name or label, 1 in the description, 1 for each
+    that begins a word of the name; with a ``vector`` of the question a tenth of the points is
+    added to the cosine with the column's ``embedding``. Columns without points and vector go.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    asked = words(F.lit(question))
+    named, described = words(F.concat_ws(" ", F.regexp_replace(text("name"), "_", " "), text("label"))), words(text("description"))
+    begins = F.size(F.filter(asked, lambda w: F.exists(named, lambda n: F.startswith(n, w))))
+    points = 3 * F.size(F.array_intersect(asked, named)) + F.size(F.array_intersect(asked, described)) + begins
+    near = cosine(F.col("embedding"), F.array(*map(F.lit, vector))) if vector else F.lit(None).cast("double")
+    out = columns.withColumns({"points": points, "score": F.coalesce(near + 0.1 * points, points.cast("double"))})
+    return out.where(F.col("points") > 0 if not vector else F.lit(True)).orderBy(F.desc("score"), "name").limit(limit)
+
+
+def personal_by_name(column: str, uniqueness: float = 0.0) -> str | None:
+    """Why a column holds personal data by its name; a bare ``name`` only if half its values differ."""
+    for reason, pattern in NAME_RULES:
+        if re.search(pattern, column):
+            return reason
+    return "person name" if column == "name" and uniqueness >= BARE_NAME_UNIQUENESS else None
+
+
+def personal_by_value(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Text columns of which half the values or more look like personal data: column, reason, share; one pass."""
+    rates = [
+        F.struct(F.lit(c).alias("column"), F.lit(reason).alias("reason"), F.lit(i).alias("place"), F.avg(F.trim(F.col(c)).rlike(pattern).cast("double")).alias("share"))
+        for c in columns
+        for i, (reason, pattern) in enumerate(VALUE_RULES)
+    ]
+    found = df.agg(F.array(*rates).alias("r")).select(F.inline("r")).where(F.col("share") >= VALUE_SHARE)
+    return found.groupBy("column").agg(F.min_by("reason", "place").alias("reason"), F.min_by("share", "place").alias("share"))
+
+
+def masked(df: DataFrame, personal: set[str]) -> DataFrame:
+    """A result with the columns that read personal data masked; any column whose name is one of theirs, and all text if a name is ``*``."""
+    hide = lambda c, kind: c in personal or ("*" in personal and kind == "string")
+    return df.select(*(F.when(F.col(c).isNotNull(), F.lit("<masked>")).alias(c) if hide(c, kind) else F.col(c) for c, kind in df.dtypes))
