@@ -6,9 +6,11 @@ shifts inner products most, costs ``eta`` times as much as the rest. A query's p
 all code words form small tables; scanning a block of codes through them ranks its vectors,
 and the best of each block are reranked by exact inner products in double precision.
 
-Codebooks are fitted on a bounded sample; every vector is coded. Queries meet all vectors in
-blocks: blocks of vectors form strips and blocks of queries form groups, both of bounded size.
-Each strip meets each group once, and only the group's best of the whole strip are sent on.
+Codebooks are fitted on a bounded sample, in one task; every vector is coded. Queries meet all
+vectors in blocks: blocks of vectors form strips and blocks of queries form groups, both of
+bounded bytes. Each strip meets each group once, and only the group's best of the whole strip
+are sent on. So the work is that of all queries against all codes, a byte for four components, and
+exact products are made for ``RERANK`` vectors of a block alone.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,12 +31,14 @@ MAX_SAMPLE = 20_000
 WORDS, WIDTH = 16, 2
 #: Vectors and queries in a block; candidates of a block that are reranked for each query.
 BLOCK, QUERIES, RERANK = 2048, 1024, 120
-#: Partitions of blocks in a strip or a group at most; strips that there are at least, if there
-#: are as many partitions, to spread few vectors.
-STRIP, SPREAD = 32, 12
+#: Partitions of blocks in a strip or a group at most, and the bytes of their vectors; strips that
+#: there are at least, if there are as many partitions, to spread few vectors.
+STRIP, STRIP_BYTES, SPREAD = 32, 64 << 20, 12
+#: Different lengths of vectors that are searched, each on its own; more raise an error.
+MAX_LENGTHS = 16
 #: Inner products above this share of the norm are those whose error counts.
 THRESHOLD = 0.2
-_STEP = 128  # queries scanned at once
+_STEP, _CODED = 128, 4096  # queries scanned and vectors coded at once
 
 
 @dataclass
@@ -85,7 +89,7 @@ def fit(x: np.ndarray, rounds: int = 6, seed: int = 5) -> Codebook:
     unit = parts / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None, None]
     more = book.eta - 1
     for _ in range(rounds):
-        codes = assign(book, x, 1)
+        codes = np.concatenate([assign(book, x[i : i + _CODED], 1) for i in range(0, n, _CODED)])
         chosen = book.words[np.arange(m)[None], codes]
         parallel = ((parts - chosen) * unit).sum(2)
         total = parallel.sum(1)
@@ -121,15 +125,30 @@ def scan(book: Codebook, queries: np.ndarray, codes: np.ndarray, keep: int) -> n
     return np.argpartition(keys, n - keep, axis=1)[:, n - keep :]
 
 
-def usable(vector: Column, dimension: int) -> Column:
-    """Whether a vector has the right length, only finite components, and one that is not 0."""
+def usable(vector: Column) -> Column:
+    """Whether a vector has only finite components and one that is not 0."""
     fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return F.coalesce((F.size(vector) == dimension) & fine & F.exists(vector, lambda v: v != 0), F.lit(False))
+    return F.coalesce(vector.isNotNull() & fine & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def _blocks(rows: DataFrame, count: int, size: int, name: str, book: Codebook | None) -> DataFrame:
+def _fitted(rows: DataFrame) -> Codebook:
+    """A codebook for the vectors of ``rows``, from at most ``MAX_SAMPLE`` of them by hash."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.stack(b.column("vector").to_numpy(zero_copy_only=False)).astype(float) for b in batches if b.num_rows]
+        book = fit(np.concatenate(found))
+        yield pa.RecordBatch.from_arrays([pa.array([book.words.astype("<f8").tobytes()]), pa.array([book.dimension], pa.int32())], names=["words", "dimension"])
+
+    sample = rows.select("vector", F.xxhash64("id", "vector").alias("draw")).orderBy("draw").limit(MAX_SAMPLE).select("vector")
+    row = sample.coalesce(1).mapInArrow(learn, "words binary, dimension int").first()
+    return Codebook(np.frombuffer(row["words"], "<f8").reshape(-1, WORDS, WIDTH), row["dimension"])
+
+
+def _blocks(rows: DataFrame, count: int, size: int, name: str, book: Codebook | None, kind: str) -> DataFrame:
     """Rows (id, vector) as numbered blocks (block, ids, vectors[, codes]) of ``size`` at most.
 
+    ``kind`` is the numpy type of the components.
+
     Rows are dealt by a hash of their id over one partition a block; a partition that gets
     more, for one very common id, makes several blocks.
     """
@@ -140,13 +159,12 @@ def _blocks(rows: DataFrame, count: int, size: int, name: str, book: Codebook |
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = batch.column("id").to_numpy()
-            flat = batch.column("vector").flatten().to_numpy().astype("<f8")
-            vectors = flat.reshape(len(ids), -1)
+            vectors = batch.column("vector").flatten().to_numpy().astype(kind).reshape(len(ids), -1)
             for a in range(0, len(ids), size):
                 part = vectors[a : a + size]
                 row = [pa.array([number]), pa.array([ids[a : a + size].astype("<i8").tobytes()]), pa.array([part.tobytes()])]
                 if book is not None:
-                    row.append(pa.array([packed(assign(book, part)).tobytes()]))
+                    row.append(pa.array([packed(assign(book, part.astype(float))).tobytes()]))
                 yield pa.RecordBatch.from_arrays(row, names=names)
                 number += 1
 
@@ -163,43 +181,51 @@ def nearest(
 
     Returns query_id, rank (from 1), vec_id, score: the inner product of the original vectors
     in double precision, nearest first, ties to the smaller id; a query's own id is not
-    among them; all other rows if they are fewer than ``k``. Vectors that are null, zero, of
-    another length than most, or that hold null or non-finite components take no part, nor do
-    null ids. A repeated query id counts once, with its smallest vector; repeated candidates
-    stay. An empty table gives no rows; other columns are not read.
+    among them; all other rows if they are fewer than ``k``. Vectors that are null, empty, zero,
+    or that hold null or non-finite components take no part, nor do null ids. Vectors of
+    different lengths have no inner product: each length is searched on its own, and more than
+    ``MAX_LENGTHS`` raise ValueError. A repeated query id counts once, with its smallest vector;
+    repeated candidates stay. An empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
-    rows = vectors.where(vectors[id_col].isNotNull() & vectors[vector_col].isNotNull())
-    lengths = rows.groupBy(F.size(vector_col).alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    out = "query_id long, rank int, vec_id long, score double"
-    if not lengths or not lengths[0]["d"]:
-        return spark.createDataFrame([], out)
-    rows = rows.where(usable(rows[vector_col], lengths[0]["d"]))
-    rows = rows.select(rows[id_col].cast("long").alias("id"), rows[vector_col].cast("array<double>").alias("vector"), is_query.alias("asked"))
-    counted = rows.agg(F.count("*").alias("n"), F.count_if("asked").alias("q")).first()
-    if not counted["q"]:
-        return spark.createDataFrame([], out)
-    sample = rows.select("vector", F.xxhash64("id", "vector").alias("draw")).orderBy("draw").limit(MAX_SAMPLE).select("vector").toPandas()
-    book = fit(np.stack(sample["vector"].to_numpy()))
-    index = _blocks(rows.select("id", "vector"), counted["n"], BLOCK, "index", book)
+    rows = vectors.where(vectors[id_col].isNotNull() & usable(vectors[vector_col]))
+    counts = rows.groupBy(F.size(vector_col).alias("d")).agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).orderBy("d").limit(MAX_LENGTHS + 1).collect()
+    if len(counts) > MAX_LENGTHS:
+        raise ValueError(f"vectors of more than {MAX_LENGTHS} lengths")
+    out: DataFrame | None = None
+    for row in counts:
+        if row["q"]:
+            found = _of_one_length(rows.where(F.size(vector_col) == row["d"]), is_query, row, k, id_col, vector_col, rerank)
+            out = found if out is None else out.union(found)
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def _of_one_length(found: DataFrame, is_query: Column, counted: Row, k: int, id_col: str, vector_col: str, rerank: int) -> DataFrame:
+    """The search over usable vectors of one length; ``counted`` has their length d, number n, and queries q."""
+    single = found.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind, width = ("<f4", 4) if single else ("<f8", 8)  # products are made in double precision
+    vector = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
+    rows = found.select(F.col(id_col).cast("long").alias("id"), vector.alias("vector"), is_query.alias("asked"))
+    book = _fitted(rows)
+    index = _blocks(rows.select("id", "vector"), counted["n"], BLOCK, "index", book, kind)
     asked = rows.where("asked").groupBy("id").agg(F.min("vector").alias("vector"))
-    asks = _blocks(asked, counted["q"], QUERIES, "queries", None)
+    asks = _blocks(asked, counted["q"], QUERIES, "queries", None, kind)
 
     def meet(asking: pa.Table, having: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, ...]] = []
         blocks = [
-            (ids := np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], "<f8").reshape(len(ids), -1), np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1))
+            (ids := np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], kind).reshape(len(ids), -1), np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1))
             for row in having.select(["ids", "vectors", "codes"]).to_pylist()
         ]
         for row in asking.select(["ids", "vectors"]).to_pylist() if blocks else []:
             own = np.frombuffer(row["ids"], "<i8")
-            asked = np.frombuffer(row["vectors"], "<f8").reshape(len(own), -1)
+            asked = np.frombuffer(row["vectors"], kind).reshape(len(own), -1).astype(float)
             for a in range(0, len(own), _STEP):
                 q, mine = asked[a : a + _STEP], own[a : a + _STEP]
                 best, names = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64)
                 for ids, x, codes in blocks:
                     near = np.sort(scan(book, q, codes, rerank + k), axis=1)
-                    exact = np.einsum("qrd,qd->qr", x[near], q)
+                    exact = np.einsum("qrd,qd->qr", x[near].astype(float), q)
                     exact[ids[near] == mine[:, None]] = -np.inf  # the query itself
                     best, names = np.hstack([best, exact]), np.hstack([names, ids[near]])
                     first = np.lexsort((names, -best), axis=1)[:, :k]
@@ -209,8 +235,9 @@ def nearest(
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table(columns, names=["query_id", "vec_id", "score"])
 
+    held = lambda size: max(1, min(STRIP, STRIP_BYTES // (size * counted["d"] * width)))
     parts, ask_parts = -(-counted["n"] // BLOCK), -(-counted["q"] // QUERIES)
-    strips, groups = max(-(-parts // STRIP), min(parts, SPREAD)), -(-ask_parts // STRIP)
+    strips, groups = max(-(-parts // held(BLOCK)), min(parts, SPREAD)), -(-ask_parts // held(QUERIES))
 
     def dealt(blocks: DataFrame, key: str, count: int, other: str, others: int) -> DataFrame:
         """Blocks by their own strip or group, once for each of the other side."""
