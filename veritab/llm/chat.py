@@ -7,13 +7,19 @@ the cheapest repair, and the repaired sequence is rendered.
 
 The automaton has four states, so what a run of turns can do is a 4 x 4 matrix of costs, and
 runs combine by min-plus products. Conversations are sorted over all partitions and cut into
-segments of bounded length; segments are reduced to matrices in parallel, a conversation's
-matrices choose the states between its segments, and the segments are then repaired and
-rendered in parallel. So a conversation with a third of all turns is no task's burden.
+segments of bounded length; segments are reduced to matrices in parallel, and up to ``CHUNK``
+matrices of a conversation to their product. The products choose the states between chunks, a
+chunk's matrices those between its segments, and the segments are then repaired and rendered in
+parallel. So a conversation with a third of all turns is no task's burden: one task holds a
+matrix for each 262,144 turns of it.
+
+A role mark inside a turn's text gets a backslash (``<\\|user|>``), a mark with backslashes one
+more, so that no text renders as a turn of its own and the text can be restored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import materialize
 
@@ -33,8 +40,9 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 STEPS = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 #: Other names of the roles.
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant", "developer": "system"}
-#: Turns in a segment at most, and turn numbers that are dealt to one partition.
-SEGMENT, SPAN = 256, 4096
+#: Turns in a segment at most, segments in a chunk, and turn numbers that are dealt to one partition.
+SEGMENT, CHUNK, SPAN = 256, 1024, 4096
+_MARK = re.compile(r"<(\\*)\|(?=(?:system|user|assistant)\|>)")
 #: Rows of a plan that are sent on at once.
 PLANNED = 1000
 INF = float("inf")
@@ -142,22 +150,41 @@ def finish(cost: np.ndarray, costs: Costs) -> tuple[int, float, list[int]]:
     return state, float(total[state]), moves[state][ASSISTANT][1]
 
 
-def choose_states(matrices: list[np.ndarray], costs: Costs) -> tuple[list[int], float, list[int]]:
-    """The states before, between and after a conversation's segments; cost; final insertions."""
-    reach = [np.where(np.arange(4) == START, 0.0, INF)]
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """The least costs of runs one after another."""
+    out = matrices[0]
+    for m in matrices[1:]:
+        out = (out[:, :, None] + m[None]).min(1)
+    return out
+
+
+def states_between(matrices: list[np.ndarray], start: int, end: int) -> list[int]:
+    """The states before, between and after runs on the cheapest way from one state to another."""
+    reach = [np.where(np.arange(4) == start, 0.0, INF)]
     for m in matrices:
         reach.append((reach[-1][:, None] + m).min(0))
-    state, cost, inserted = finish(reach[-1], costs)
-    states = [state]
+    states = [end]
     for i in range(len(matrices) - 1, -1, -1):
         states.append(int(np.argmin(reach[i] + matrices[i][:, states[-1]])))
-    return states[::-1], cost, inserted
+    return states[::-1]
+
+
+def choose_states(matrices: list[np.ndarray], costs: Costs) -> tuple[list[int], float, list[int]]:
+    """The states before, between and after a conversation's runs; cost; final insertions."""
+    state, cost, inserted = finish(product(matrices)[START] if matrices else np.where(np.arange(4) == START, 0.0, INF), costs)
+    return states_between(matrices, START, state), cost, inserted
+
+
+def escaped(text: str) -> str:
+    """Text in which no role mark stands as it is."""
+    return _MARK.sub(r"<\1\\|", text)
 
 
 def render(turns: list[tuple[int, str]], first: bool) -> str:
     """Turns as ``<|role|>`` blocks; role 0 continues the block before."""
     out = []
     for i, (role, text) in enumerate(turns):
+        text = escaped(text)
         out.append((f"\n{text}" if text else "") if role == 0 else f"{'' if first and i == 0 else chr(10)}<|{ROLES[role - 1]}|>\n{text}")
     return "".join(out)
 
@@ -177,9 +204,11 @@ def format_chats(
     rows = turns.select(turns[id_col].alias("id"), turns[turn_col].alias("turn"), turns[role_col].alias("role"), turns[text_col].alias("text"))
     parts = turns.sparkSession.conf.get("spark.sql.shuffle.partitions")
     order = [F.col("id").asc(), F.col("turn").asc_nulls_last(), F.col("role").asc(), F.col("text").asc()]
-    # Only spans of turn numbers are dealt apart, so that a common conversation stays whole.
+    # Only spans of turn numbers are dealt apart, so that a common conversation stays whole; turns
+    # without a number are dealt by what orders them.
     span = F.floor(F.col("turn") / SPAN).asc_nulls_last()
-    dealt = rows.repartitionByRange(int(parts), F.col("id").asc(), span).sortWithinPartitions(*order)
+    loose = [F.when(F.col("turn").isNull(), c) for c in (F.col("role"), F.substring("text", 1, 64))]
+    dealt = rows.repartitionByRange(int(parts), F.col("id").asc(), span, *(c.asc() for c in loose)).sortWithinPartitions(*order)
     item = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
     kind = turns.schema[id_col].dataType.simpleString()
 
@@ -209,29 +238,65 @@ def format_chats(
 
     segments = materialize(dealt.mapInArrow(cut, f"id {kind}, place long, turns array<struct<role string, text string>>, costs array<double>"), "segments")
 
+    def grouped(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], keys: int) -> Iterator[tuple]:
+        """Rows of sorted batches by their first ``keys`` columns, which groups share; the rest as lists."""
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in columns)))
+        for key, own in groupby(rows, itemgetter(*range(keys))):
+            yield (key, *(list(c) for c in list(zip(*own))[keys:]))
+
+    def sent(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+        held_rows: list[tuple] = []
+        for row in rows:
+            held_rows.append(row)
+            if len(held_rows) == PLANNED:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held_rows), kinds)], names=names)
+                held_rows.clear()
+        if held_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held_rows), kinds)], names=names)
+
+    id_kind = to_arrow_type(turns.schema[id_col].dataType)
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (
+            (key[0], key[1], len(matrices), product([np.array(m).reshape(4, 4) for m in matrices]).ravel().tolist())
+            for key, matrices in grouped(batches, ("id", "chunk", "costs"), 2)
+        )
+        yield from sent(found, ["id", "chunk", "n", "costs"], [id_kind, pa.int64(), pa.int32(), pa.list_(pa.float64())])
+
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["place", "segment", "a", "b", "repair_cost", "inserted"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int32())]
+        def rows() -> Iterator[tuple]:
+            for key, chunks, counts, matrices in grouped(batches, ("id", "chunk", "n", "costs"), 1):
+                states, total, inserted = choose_states([np.array(m).reshape(4, 4) for m in matrices], costs)
+                first = 0
+                for i, (chunk, n) in enumerate(zip(chunks, counts)):
+                    yield key, chunk, first, states[i], states[i + 1], total, inserted if i == len(chunks) - 1 else []
+                    first += n
+
+        kinds = [id_kind, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int32())]
+        yield from sent(rows(), ["id", "chunk", "first", "start", "end", "repair_cost", "inserted"], kinds)
+
+    def detail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ("id", "chunk", "place", "costs", "first", "start", "end", "repair_cost", "inserted")
+
+        def rows() -> Iterator[tuple]:
+            for _, places, matrices, firsts, starts, ends, totals, inserted in grouped(batches, columns, 2):
+                states = states_between([np.array(m).reshape(4, 4) for m in matrices], starts[0], ends[0])
+                for i, place in enumerate(places):
+                    yield place, firsts[0] + i, states[i], states[i + 1], totals[0], inserted[0] if i == len(places) - 1 else []
 
-        def packed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*planned), kinds)], names=names)
-
-        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("id", "place", "costs"))))
-        planned: list[tuple] = []
-        for _, own in groupby(rows, itemgetter(0)):
-            places, matrices = zip(*((place, np.array(cost).reshape(4, 4)) for _, place, cost in own))
-            states, total, inserted = choose_states(list(matrices), costs)
-            for i, place in enumerate(places):
-                planned.append((place, i, states[i], states[i + 1], total, inserted if i == len(places) - 1 else []))
-                if len(planned) == PLANNED:
-                    yield packed()
-                    planned.clear()
-        if planned:
-            yield packed()
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int32())]
+        yield from sent(rows(), ["place", "segment", "a", "b", "repair_cost", "inserted"], kinds)
 
     # A number of partitions that is given is not lowered when the matrices are small.
-    by_id = segments.select("id", "place", "costs").repartition(int(parts), "id").sortWithinPartitions("id", "place")
-    plans = by_id.mapInArrow(plan, "place long, segment int, a int, b int, repair_cost double, inserted array<int>")
+    costed = segments.select("id", F.expr(f"place div {CHUNK}").alias("chunk"), "place", "costs")
+    chunked = costed.repartition(int(parts), "id", "chunk").sortWithinPartitions("id", "chunk", "place")
+    chunks = chunked.mapInArrow(shrink, f"id {kind}, chunk long, n int, costs array<double>")
+    by_id = chunks.repartition(int(parts), "id").sortWithinPartitions("id", "chunk")
+    planned = materialize(by_id.mapInArrow(plan, f"id {kind}, chunk long, first int, start int, end int, repair_cost double, inserted array<int>"), "plans")
+    ends = planned.select(F.col("id").alias("__id"), F.col("chunk").alias("__chunk"), "first", "start", "end", "repair_cost", "inserted")
+    met = costed.join(ends, F.col("id").eqNullSafe(F.col("__id")) & (F.col("chunk") == F.col("__chunk"))).drop("__id", "__chunk")
+    inner = met.repartition(int(parts), "id", "chunk").sortWithinPartitions("id", "chunk", "place")
+    plans = inner.mapInArrow(detail, "place long, segment int, a int, b int, repair_cost double, inserted array<int>")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
