@@ -16,7 +16,6 @@ import math
 import re
 import uuid
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,18 +24,19 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import held, pieces, strings
+from .common import held, materialize, pieces, strings
 
 #: Labelled texts that are gathered for each language, about; the bound of the sample.
 SAMPLE_PER_LANGUAGE = 400
 #: Bytes in a dictionary, and characters of a text compressed at once.
 DICTIONARY_BYTES, CHUNK = 32 << 10, 4000
-#: Languages that one model may have.
+#: Languages that one model may have; more raise an error.
 MAX_LANGUAGES = 500
 UNKNOWN = "und"
-#: Characters of the chunks that fill a dictionary.
-DRAWN = 128
+#: Characters of the chunks that fill a dictionary, and bytes of those that are worth it.
+DRAWN, SHORTEST_DRAWN = 128, 16
 #: Labelled texts, about one in ``HELD_EVERY`` of a sample and in all languages ``HELD_TEXTS`` at
 #: most, that set the margin: half of what all but ``HELD_SHARE`` of those told rightly have.
 HELD_EVERY, HELD_TEXTS, HELD_SHARE = 5, 400, 0.05
@@ -63,8 +63,11 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
 
     Rows are drawn by a hash of their id and text, about ``SAMPLE_PER_LANGUAGE`` in each
     language whatever its share. Copies count once. A part of them stays out of the
-    dictionaries and sets the margin. Rows with null text or language are not
-    used; without any the model is empty and every text is unknown.
+    dictionaries and sets the margin. Whole texts are cut into chunks and classified in tasks;
+    the driver gets the chunks that a dictionary has room for, and margins. Rows with null text
+    or language are not used; without any the model is empty and every text is unknown. More
+    than ``MAX_LANGUAGES`` languages raise ValueError, as every text is compressed with each
+    dictionary.
     """
     rows = docs.where(usable & docs[text_col].isNotNull() & docs[lang_col].isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(docs[lang_col].alias("lang")).count().limit(MAX_LANGUAGES + 1).collect()}
@@ -76,33 +79,48 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
     for lang, n in counts.items():
         share = F.when(docs[lang_col] == lang, F.lit(SAMPLE_PER_LANGUAGE / n)).otherwise(share)
     draw = F.pmod(F.xxhash64(docs[id_col], docs[text_col]), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw < share).select(docs[lang_col].alias("lang"), docs[text_col].alias("text"), draw.alias("draw"))
-    drawn = sample.orderBy("draw", "text").limit(2 * SAMPLE_PER_LANGUAGE * len(counts)).collect()
-    texts: dict[str, dict[str, None]] = defaultdict(dict)
-    for row in drawn:
-        texts[row["lang"]][row["text"]] = None
-    order = sorted(texts, key=lambda lang: (-counts[lang], lang))
-    model, held_out = Model({}), []
-    for lang in order:
-        aside = [t for t in texts[lang] if zlib.crc32(t.encode("utf-8", "replace")) % HELD_EVERY == 0]
-        if len(aside) == len(texts[lang]):
-            aside = []
-        held_out += [(zlib.crc32(t.encode("utf-8", "replace")), lang, t) for t in aside]
-        left = set(texts[lang]).difference(aside)
-        model.dictionaries[lang] = _content([letters(t) for t in left])
-    model.min_margin = _margin(model, sorted(held_out)[:HELD_TEXTS])
+    sample = rows.where(draw < share).select(docs[lang_col].alias("lang"), docs[text_col].alias("text"))
+    sample = sample.withColumn("aside", F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(HELD_EVERY)) == 0)
+    sample = materialize(sample, "language-sample")
+    # Where a language has no text on one of the sides, all its texts fill its dictionary.
+    both = sample.groupBy("lang").agg((F.min("aside") != F.max("aside")).alias("both"))
+    sample = sample.join(F.broadcast(both), "lang").select("lang", "text", (F.col("aside") & F.col("both")).alias("aside"))
+    chunks = sample.where("not aside").mapInArrow(_chunks, "lang string, chunk binary, k int, crc long")
+    distinct = chunks.groupBy("lang", "chunk").agg(F.min(F.struct("k", "crc")).alias("place"))
+    order = Window.partitionBy("lang").orderBy("place", "chunk")
+    ranked = distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= DICTIONARY_BYTES // SHORTEST_DRAWN)
+    by_language: dict[str, list[bytes]] = {}
+    for row in ranked.orderBy("lang", "rank").select("lang", "chunk").collect():
+        by_language.setdefault(row["lang"], []).append(bytes(row["chunk"]))
+    model = Model({lang: fill(by_language.get(lang, [])) for lang in sorted(counts, key=lambda lang: (-counts[lang], lang))})
+    held_out = sample.where("aside").distinct().withColumn("crc", F.crc32(F.col("text").cast("binary"))).orderBy("crc", "lang", "text").limit(HELD_TEXTS)
+    told = identify(held_out, model, id_col="lang", min_margin=0.0).where("lang = lang_pred and margin > 0 and margin < double('infinity')")
+    right = sorted(r["margin"] for r in told.select("margin").collect())
+    # Half the margin that nearly all texts have which the model tells rightly.
+    model.min_margin = right[int(HELD_SHARE * len(right))] / 2 if right else 0.0
     return model
 
 
-def _content(texts: list[str]) -> bytes:
-    """Fill a dictionary with chunks of whole texts by hash: the first of each text, then the second."""
-    ranked: dict[bytes, tuple[int, int]] = {}
-    for text in texts:
-        chunks = {text[i : i + DRAWN].encode("utf-8", "replace") for i in range(0, len(text), DRAWN)}
-        for k, key in enumerate(sorted((zlib.crc32(c), c) for c in chunks)):
-            ranked[key[1]] = min(ranked.get(key[1], (k, key[0])), (k, key[0]))
+def drawn_chunks(text: str) -> list[tuple[bytes, int, int]]:
+    """Distinct chunks of a text's letters by their hash: (chunk, place, hash), as many as a dictionary has room for."""
+    small = letters(text)
+    found = {small[i : i + DRAWN].encode("utf-8", "replace") for i in range(0, len(small), DRAWN)}
+    ranked = sorted((zlib.crc32(c), c) for c in found if len(c) >= SHORTEST_DRAWN or len(found) == 1)
+    return [(c, k, crc) for k, (crc, c) in enumerate(ranked[: DICTIONARY_BYTES // SHORTEST_DRAWN])]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "text"):
+        rows = [(lang, *c) for lang, text in zip(batch.column("lang").to_pylist(), strings(batch, "text")) for c in drawn_chunks(text)]
+        columns = list(zip(*rows)) or [()] * 4
+        kinds = [pa.string(), pa.binary(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "chunk", "k", "crc"])
+
+
+def fill(chunks: list[bytes]) -> bytes:
+    """A dictionary of chunks, the first ones at its end, where matches are cheapest."""
     out, room = [], DICTIONARY_BYTES
-    for chunk in sorted(ranked, key=lambda c: (ranked[c], c)):
+    for chunk in chunks:
         if room <= 0:
             break
         out.append(chunk)
@@ -110,14 +128,6 @@ def _content(texts: list[str]) -> bytes:
     return b" ".join(reversed(out))[-DICTIONARY_BYTES:]
 
 
-def _margin(model: Model, held_out: list[tuple[int, str, str]]) -> float:
-    """Half the margin that nearly all texts have which the model tells rightly."""
-    classifier = Classifier(model)
-    found = [(lang, *classifier.predict(text)) for _, lang, text in held_out]
-    right = sorted(margin for lang, best, _, margin in found if lang == best and 0 < margin < math.inf)
-    return right[int(HELD_SHARE * len(right))] / 2 if right else 0.0
-
-
 class Classifier:
     """Compressors made from a model; one for each worker."""
 
@@ -163,7 +173,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_margin: float | None = None) -> DataFrame:
-    """The rows, with all their columns, whose language is not rejected."""
+    """The rows, with all their columns, whose language is not rejected.
+
+    Rows with null, empty or letterless texts go; repeated rows stay or go together; long
+    texts are judged whole; an empty table stays empty.
+    """
     return docs.mapInArrow(_runner(model, min_margin, None, text_col), docs.schema)
 
 
