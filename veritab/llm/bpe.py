@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -28,10 +29,13 @@ from pyspark.sql import DataFrame
 
 from .common import Numbers, held, pieces, strings
 
-#: Distinct words and chunks that a worker remembers before it forgets the rare ones.
-MAX_REMEMBERED = 400_000
+#: Distinct words and chunks that a worker remembers before it forgets the rare ones, and their
+#: characters, so that their memory is bounded too.
+MAX_REMEMBERED, MAX_CHARACTERS = 80_000, 2_000_000
 #: New words that the library gets in one string.
 TOGETHER = 500
+#: Bytes of text that are encoded at once.
+AT_ONCE = 1 << 18
 _NO_RANK = int(np.iinfo(np.int64).max)
 _NO_MERGE = (_NO_RANK, -1)
 # Letters and digits up to U+017F whose lower-casing and classes are the same everywhere.
@@ -43,6 +47,15 @@ _WORDS = re.compile(f"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_DIGITS}]|[^\\s{_L
 _PLAIN_TEXT = re.compile("[\t-\r -~¡-įı-ſ]*")
 # str.split() also splits at these, which are no white space to the library.
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+# The steps before and after the merges that a vocabulary file must name, as they
+# are written out here.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PRE_TOKENIZER = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+_PLAIN_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+_PLAIN_TOKEN = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
 _NOT_SPACE = re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
@@ -54,27 +67,52 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-class Vocabulary:
-    """A word-level BPE vocabulary file of the tokenizers library, prepared for the method."""
+def read_spec(path: str) -> dict:
+    """A vocabulary file's content; raises ValueError where its steps are not those of this module."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    steps = (spec.get("normalizer") or {}).get("normalizers"), (spec.get("pre_tokenizer") or {}).get("pretokenizers")
+    if steps != (_NORMALIZER, _PRE_TOKENIZER) or spec.get("decoder") is not None:
+        raise ValueError(f"{path}: another normalizer, pre-tokenizer or decoder than this module has")
+    if any(spec["model"].get(k) != v for k, v in _PLAIN_MODEL.items()) or spec["model"].get("continuing_subword_prefix") or not spec["model"].get("end_of_word_suffix"):
+        raise ValueError(f"{path}: not a plain BPE model with a mark at word ends")
+    if any(t.get(k) != v for t in spec.get("added_tokens", []) for k, v in _PLAIN_TOKEN.items()):
+        raise ValueError(f"{path}: added tokens that are not matched as they stand")
+    return spec
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+
+class Library:
+    """The library's own tokenizer, and which ids end a word."""
+
+    def __init__(self, path: str, spec: dict | None = None):
+        spec = spec or read_spec(path)
+        # One thread for a task: the cores belong to other tasks, and each thread keeps memory.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        model = spec["model"]
-        self.suffix = model.get("end_of_word_suffix") or ""
-        self.ids: dict[str, int] = model["vocab"]
+        self.suffix: str = spec["model"]["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        size = max([*self.ids.values(), *self.special.values()]) + 1
+        self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
+        known = spec["model"]["vocab"]
+        self.size = max([*known.values(), *self.special.values()]) + 1
+        self.ends_word = np.zeros(self.size, dtype=bool)
+        self.ends_word[[i for text, i in known.items() if text.endswith(self.suffix)]] = True
+
+
+class Vocabulary(Library):
+    """A word-level BPE vocabulary file of the tokenizers library, prepared for the method."""
+
+    def __init__(self, path: str):
+        spec = read_spec(path)
+        super().__init__(path, spec)
+        model, size = spec["model"], self.size
+        self.ids: dict[str, int] = model["vocab"]
         self.texts = np.full(size, "", dtype=object)
         for text, i in [*self.ids.items(), *self.special.items()]:
             self.texts[i] = text
-        self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self.ends_word = np.array([bool(self.suffix) and t.endswith(self.suffix) for t in self.texts])
         self.letters = _byte_letters()
         self.table = {b: letter for b, letter in enumerate(self.letters)}
         self.longest = max(map(len, self.ids))
@@ -82,7 +120,7 @@ class Vocabulary:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left = np.array([self.ids[a] for a, _ in pairs], dtype=np.int64)
         right = np.array([self.ids[b] for _, b in pairs], dtype=np.int64)
-        made = np.array([self.ids[self._joined(a, b)] for a, b in pairs], dtype=np.int64)
+        made = np.array([self.ids[a + b] for a, b in pairs], dtype=np.int64)
         rank = np.arange(len(pairs), dtype=np.int64)
         self.merges = {(a, b): (r, c) for r, (a, b, c) in enumerate(zip(left.tolist(), right.tolist(), made.tolist()))}
         self.made = made.tolist()
@@ -91,7 +129,6 @@ class Vocabulary:
         self.halves = np.full((size, 2), -1, dtype=np.int64)
         self.rank[made] = rank
         self.halves[made, 0], self.halves[made, 1] = left, right
-        self.size = size
         keys = left * size + right
         order = np.argsort(keys)
         self.keys, self.key_rank = keys[order], rank[order]
@@ -99,9 +136,6 @@ class Vocabulary:
         self.ordered = bool((self.rank[left] < rank).all() and (self.rank[right] < rank).all()) and len(set(made.tolist())) == len(made)
         self.whole = self._whole()
 
-    def _joined(self, a: str, b: str) -> str:
-        return a + b
-
     def _merge_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of merging a with b, a very large number where there is none."""
         key = a * self.size + b
@@ -224,7 +258,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, by_library: bool = False):
-        self.vocabulary = Vocabulary(path)
+        self.vocabulary = Library(path) if by_library else Vocabulary(path)
         self.by_library = by_library
         self.stats = {"words": 0, "repaired": 0}
         self._start()
@@ -232,21 +266,22 @@ class WordEncoder:
     def _start(self) -> None:
         self.words: dict[str, list[int]] = {}
         self.pairs: dict[int, bool] = {}
-        self.chunks = Numbers()
+        self.chunks, self.characters = Numbers(), 0
         self.starts, self.lengths, self.uses = (np.zeros(0, np.int64) for _ in range(3))
         self.pool = np.zeros(0, np.uint32)
 
     def _forget_rare(self) -> None:
-        """Keep what came more than once, a third of the bound at most, with its ids."""
-        order = np.argsort(-self.uses, kind="stable")[: MAX_REMEMBERED // 3]
+        """Keep what came more than once, half of the bounds at most, with its ids."""
+        order = np.argsort(-self.uses, kind="stable")[: MAX_REMEMBERED // 2]
+        sizes = np.fromiter(map(len, self.chunks), np.int64, len(self.chunks))
         keep = np.zeros(len(self.uses), bool)
-        keep[order[self.uses[order] > 1]] = True
+        keep[order[(self.uses[order] > 1) & (np.cumsum(sizes[order]) <= MAX_CHARACTERS // 2)]] = True
         names = [c for c, kept in zip(self.chunks, keep.tolist()) if kept]
         lengths, starts, pool = self.lengths[keep], self.starts[keep], self.pool
         self._start()
         for c in names:
             self.chunks[c]
-        self.chunks.fresh = []
+        self.chunks.fresh, self.characters = [], sum(map(len, names))
         at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
         self._remember(lengths, pool[at])
 
@@ -306,7 +341,7 @@ class WordEncoder:
         """Lengths and ids of chunks from the library; a single word's ids end where a word ends."""
         v = self.vocabulary
         single = np.fromiter((c == c.lower() and bool(_PLAIN.fullmatch(c)) and bool(_WORDS.fullmatch(c)) for c in chunks), bool, len(chunks))
-        if not v.suffix or not single.all():
+        if not single.all():
             made = v.library.encode(chunks, is_pretokenized=True, add_special_tokens=False)
             return np.bincount(np.array(made.word_ids, dtype=np.int64), minlength=len(chunks)), np.array(made.ids, dtype=np.uint32)
         made = v.library.encode_batch_fast([" ".join(chunks[i : i + TOGETHER]) for i in range(0, len(chunks), TOGETHER)], add_special_tokens=False)
@@ -328,13 +363,14 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and where each text's ids end."""
-        if len(self.chunks) > MAX_REMEMBERED:
+        if len(self.chunks) > MAX_REMEMBERED or self.characters > MAX_CHARACTERS:
             self._forget_rare()
         split = [self._pieces(t) for t in texts]
         chunks = list(chain.from_iterable(split))
         at = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
         if self.chunks.fresh:
             fresh, self.chunks.fresh = self.chunks.fresh, []
+            self.characters += sum(map(len, fresh))
             self._learn_chunks(fresh)
         counts = np.fromiter(map(len, split), np.int64, len(split))
         self.uses += np.bincount(at, minlength=len(self.uses))
@@ -366,7 +402,7 @@ def bpe_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", AT_ONCE):
             ids, ends = coder.encode(strings(batch, "text"))
             starts = np.concatenate([[0], ends[:-1]])
             little = ids.astype("<u4", copy=False)

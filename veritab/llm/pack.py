@@ -5,6 +5,11 @@ piece lengths). Pieces go, longest first, into the open sequence that fits under
 capacity and leaves the least weighted residual norm (or has the largest weighted dot product
 of demand and residual); if none fits, a new sequence opens.
 
+With the default capacities only tokens can close a sequence, as sequences are to be few: each
+piece has at least one token, and a sum of squares is at most the square of the sum. The other two
+weigh in the choice: of sequences with like room for tokens, a piece goes where less attention
+cost and fewer documents are left to spend. Smaller capacities bind, each for itself.
+
 Tokenized pieces (ids and lengths, not texts) are dealt evenly over tasks of about
 ``TASK_PIECES``, whatever order and file they came from. A task places all of its pieces
 together, longest first, and every sequence stays open as long as it has room.
@@ -22,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import AT_ONCE, encoder
 from .common import materialize, pieces, strings
 
 #: Pieces that a task packs together, about; bounds its memory and the cost of a search.
@@ -36,7 +41,7 @@ class Capacities:
     tokens: int = 4096
     documents: int = 4096
     attention: int = 4096 * 4096
-    weights: tuple[float, float, float] = (1.0, 0.001, 0.001)
+    weights: tuple[float, float, float] = (1.0, 0.1, 0.3)
     score: str = "norm"
 
     @property
@@ -106,7 +111,7 @@ def pack(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer, by_library=True)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", AT_ONCE):
             ids, ends = coder.encode(strings(batch, "text"))
             full = np.insert(ids, ends, end_id).astype("<u4", copy=False)
             sizes = np.diff(ends, prepend=0) + 1
