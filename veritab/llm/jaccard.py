@@ -7,27 +7,36 @@ one gives few candidates). Documents that link share a shingle in their *prefixe
 ``n - ceil(t * n) + 1`` of each set.
 
 1. Equal sets become one node. Shingles in the prefix of one node only are dropped.
-2. Each shingle's smallest node is its leader. Nodes are compared with their leaders - a star,
-   not all pairs - where they share enough of the shingles led, and linked nodes form
-   components.
-3. What may still link lies in different components. Nodes are partitioned into groups of
-   similar sets (by component or leader, and by size) with at most about ``GROUP`` members. The
-   token-group matrix has a row for each shingle and group: the group's token union. Joined
-   with itself it counts, for every two groups, the shingles their unions share, which bounds
-   the overlap of any of their members; only groups whose bound qualifies are opened.
-4. In two opened groups a product of their incidence matrices counts the shared prefix
+2. Nodes are partitioned into groups of similar sets: each shingle's smallest node is its leader,
+   and a node's home is the leader that leads most of its shingles and may link with it. A home's
+   nodes are cut into groups of about ``GROUP``, each with the leader as one more member.
+3. The first rows of the token-group matrix are those of each group with its own members: the
+   union of the group's sets bounds each member's overlap with the others, members whose bound
+   does not qualify stay closed, and the rest are compared exactly by a product of their
+   incidence matrix. Linked nodes form components.
+4. What may still link lies in different components. Nodes are partitioned anew (by component or
+   leader, and by size). The token-group matrix has a row for each shingle and group: the group's
+   token union. Joined with itself it counts, for every two groups, the shingles their unions
+   share, which bounds the overlap of any of their members; only groups whose bound qualifies
+   are opened. A shingle of very many groups is joined in blocks, so that no task gets all of it.
+5. In two opened groups a product of their incidence matrices counts the shared prefix
    shingles of all members at once, which bounds each pair; the pairs that qualify are compared
    exactly.
 
-Only pairs within a component are never compared, as they change no component.
+Only pairs within a component are never compared, as they change no component. Shingles are
+compared as 64-bit hashes: two different shingles of one pair of documents with 10,000 shingles
+each are taken for one with a chance of about 10 to the power of -11.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -38,12 +47,14 @@ from .components import components
 
 #: The sketch has 2 ** SKETCH_BITS counters, sent in PARTS; a byte each when it is broadcast.
 SKETCH_BITS, PARTS = 22, 64
-#: Members of a group, about.
-GROUP = 64
+#: Members of a group, about, and groups of one shingle that are joined in one block.
+GROUP, BLOCK = 64, 512
+#: Columns of an incidence matrix that are multiplied at once.
+COLUMNS = 1 << 16
 #: Ids (8 bytes each) that are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Distinct words whose hashes a worker remembers.
-MAX_REMEMBERED = 400_000
+#: Distinct words whose hashes a worker remembers, and bytes of text that it holds as words.
+MAX_REMEMBERED, AT_ONCE = 100_000, 1 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,11 +126,12 @@ def sketch(docs: DataFrame, size: int, text_col: str = "text") -> np.ndarray:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, total, seen = shingler_of(size), np.zeros(count, np.uint32), False
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", AT_ONCE):
             found = np.concatenate([*shingler.sets(utf8(batch, "text")), np.zeros(0, np.uint64)])
             if len(found):
                 seen = True
-                total += np.bincount((found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=count).astype(np.uint32)
+                bucket, times = np.unique((found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
+                total[bucket] += times.astype(np.uint32)
         if seen:
             press = zstandard.ZstdCompressor(level=1)
             for p in range(PARTS):
@@ -136,7 +148,7 @@ def sketch(docs: DataFrame, size: int, text_col: str = "text") -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([level.tobytes()])], names=["part", "counts"])
 
     kind = "part int, counts binary"
-    rows = docs.select(docs[text_col].alias("text")).mapInArrow(gather, kind).repartition(PARTS // 4, "part").mapInArrow(add, kind).collect()
+    rows = docs.select(docs[text_col].alias("text")).mapInArrow(gather, kind).repartition(PARTS, "part").mapInArrow(add, kind).collect()
     out = np.zeros(count, np.uint8)
     for row in rows:
         out[row["part"] * part : (row["part"] + 1) * part] = np.frombuffer(row["counts"], np.uint8)
@@ -152,7 +164,7 @@ def signatures(docs: DataFrame, levels: np.ndarray, size: int, percent: int, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, level = shingler_of(size), shared.value
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", AT_ONCE):
             counts, hashes, prefixes, lasts = [], [], [], []
             for s in shingler.sets(utf8(batch, "text")):
                 counts.append(len(s))
@@ -182,7 +194,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = shingler_of(size)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", AT_ONCE):
             found = [s.view(np.int64) for s in shingler.sets(utf8(batch, "text"))]
             ends = np.cumsum([0, *map(len, found)])
             sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
@@ -208,13 +220,89 @@ def _sizes_fit(n: str, m: str, percent: int):
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
+def group_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) between sorted sets of one group that connect all that its links connect.
+
+    A set that shares too few shingles with the union of the others is closed: it links with none.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    tokens, number, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = counts[number] > 1
+    bound = np.bincount(owner[shared], minlength=len(sets))
+    opened = np.flatnonzero(bound >= least_overlap(sizes, percent))
+    if len(opened) < 2:
+        return []
+    row = np.full(len(sets), -1)
+    row[opened] = np.arange(len(opened))
+    keep = shared & (row[owner] >= 0)
+    owner, column = row[owner[keep]], np.cumsum(counts > 1)[number[keep]] - 1
+    common = np.zeros((len(opened), len(opened)), np.int64)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for start in range(0, int(column[-1]) + 1, COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        matrix = np.zeros((len(opened), COLUMNS if column[-1] >= COLUMNS else int(column[-1]) + 1), np.float32)
+        matrix[owner[a:b], column[a:b] - start] = 1
+        common += np.rint(matrix @ matrix.T).astype(np.int64)
+    n = sizes[opened]
+    linked = 100 * common >= percent * (n[:, None] + n[None] - common)
+    root = list(range(len(opened)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    out = []
+    for i, j in zip(*map(np.ndarray.tolist, np.nonzero(np.triu(linked, 1)))):
+        if (x := top(i)) != (y := top(j)):
+            root[y] = x
+            out.append((int(opened[i]), int(opened[j])))
+    return out
+
+
+def _open_own(percent: int):
+    """The links within groups, from rows (grp, node, shingles) sorted by group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                lists = batch.column("shingles")
+                values = lists.flatten().to_numpy()
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+                for i, (grp, node) in enumerate(zip(batch.column("grp").to_pylist(), batch.column("node").to_pylist())):
+                    yield grp, node, values[ends[i] : ends[i + 1]].copy()
+
+        for _, members in groupby(rows(), itemgetter(0)):
+            _, nodes, sets = zip(*members)
+            if pairs := group_links(list(sets), percent):
+                a, b = zip(*((nodes[i], nodes[j]) for i, j in pairs))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return run
+
+
+def _own_links(docs: DataFrame, near: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links of nodes with others of their home; ``near`` has leader a, node b, led."""
+    homes = near.groupBy("b").agg(F.max_by("a", F.struct("led", -F.col("a"))).alias("home")).select(F.col("b").alias("node"), "home")
+    homes = materialize(homes, "homes")
+    cuts = homes.groupBy("home").agg(F.ceil(F.count("*") / GROUP).alias("cuts"))
+    cut = homes.join(cuts, "home").select("node", "home", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("cuts"))).alias("grp"))
+    members = materialize(cut.select("grp", "node").union(cut.select("grp", F.col("home").alias("node")).distinct()), "homed")
+    whole = sets_of(docs, members, size, id_col, text_col)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = members.join(whole, "node").select("grp", "node", "shingles").repartition(parts, "grp").sortWithinPartitions("grp", "node")
+    return rows.mapInArrow(_open_own(percent), "a long, b long")
+
+
 def _open_groups(percent: int):
     """Pairs of members of two groups that may still link, by their shared prefix shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for row in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):  # one pair of groups at a time
             a_out, b_out = [], []
-            for left, right, same in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("same").to_pylist()):
+            for left, right, same in zip(*(row.column(c).to_pylist() for c in ("x", "y", "same"))):
                 sides = []
                 number: dict[int, int] = {}
                 for members in (left, right):
@@ -274,10 +362,17 @@ def _residual(shared: DataFrame, found: DataFrame, percent: int) -> DataFrame |
     # The matrix: a row for each shingle and group that holds it.
     union = rows.select("token", "node").join(grouped.select("node", "grp"), "node").select("token", "grp").distinct()
     union = materialize(union.join(materialize(facts, "facts"), "grp"), "matrix")
-    one, two = union.alias("p"), union.alias("q")
+    # A token of many groups is joined block by block; one of few has a single block.
+    blocks = union.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    own = F.pmod(F.xxhash64("grp"), F.col("blocks"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    union = union.join(materialize(blocks, "blocks"), "token")
+    one = union.select("*", own.alias("i"), every.alias("j")).alias("p")
+    two = union.select("*", own.alias("j"), every.alias("i")).alias("q")
     apart = (F.col("p.c_lo") != F.col("q.c_lo")) | (F.col("p.c_lo") != F.col("p.c_hi")) | (F.col("q.c_lo") != F.col("q.c_hi"))
     fit = (F.col("p.n_hi") * 100 >= F.col("q.n_lo") * percent) & (F.col("q.n_hi") * 100 >= F.col("p.n_lo") * percent)
-    met = one.join(two, (F.col("p.token") == F.col("q.token")) & (F.col("p.grp") <= F.col("q.grp")) & apart & fit)
+    same = [F.col(f"p.{c}") == F.col(f"q.{c}") for c in ("token", "i", "j")]
+    met = one.join(two, same[0] & same[1] & same[2] & (F.col("p.grp") <= F.col("q.grp")) & apart & fit)
     bound = met.groupBy(F.col("p.grp").alias("g"), F.col("q.grp").alias("h")).agg(
         F.count("*").alias("common"), *(F.first(f"{s}.{c}").alias(f"{s}_{c}") for s in "pq" for c in ("n_lo", "n_hi"))
     )
@@ -318,18 +413,15 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_i
     leaders = rows.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("hi")).where("leader < hi").select("token", "leader")
     rows = materialize(rows.join(materialize(leaders, "leaders"), "token"), "led")
 
-    # A leader is compared with the nodes that the shingles it leads alone let through; what
-    # this leaves out stays a candidate of the token-group matrix.
-    stars = rows.where("node != leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(
+    # What a leader leads of a node bounds their overlap.
+    led = rows.where("node != leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(
         F.count("*").alias("led"), F.min("n").alias("n_b"), F.min("last").alias("last_b")
     )
     facts = materialize(rows.groupBy(F.col("node").alias("a")).agg(F.min("n").alias("n_a"), F.min("last").alias("last_a")), "facts")
     rest = F.when(F.col("last_a") <= F.col("last_b"), least_overlap_sql("n_a", percent)).otherwise(least_overlap_sql("n_b", percent)) - 1
     need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
-    stars = stars.join(facts, "a").where(_sizes_fit("n_a", "n_b", percent) & (F.col("led") + rest >= need))
-    stars = materialize(stars.select("a", "b"), "stars")
-    whole = sets_of(docs, stars.select(F.col("a").alias("node")).union(stars.select("b")), size, id_col, text_col)
-    edges = materialize(linked(stars, whole, percent).union(split), "links")
+    near = led.join(facts, "a").where(_sizes_fit("n_a", "n_b", percent) & (F.col("led") + rest >= need)).select("a", "b", "led")
+    edges = materialize(_own_links(docs, near, size, percent, id_col, text_col).union(split), "links")
     parts = materialize(components(edges), "components")
 
     pairs = _residual(rows, parts, percent)
