@@ -39,7 +39,7 @@ UNKNOWN = "und"
 DRAWN, SHORTEST_DRAWN = 128, 16
 #: Labelled texts, about one in ``HELD_EVERY`` of a sample and in all languages ``HELD_TEXTS`` at
 #: most, that set the margin: half of what all but ``HELD_SHARE`` of those told rightly have.
-HELD_EVERY, HELD_TEXTS, HELD_SHARE = 5, 400, 0.05
+HELD_EVERY, HELD_TEXTS, HELD_SHARE = 5, 400, 0.01
 #: Short matches tell languages apart.
 _ZSTD = {"strategy": zstandard.STRATEGY_LAZY2, "min_match": 3, "search_log": 4, "write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
 _OTHER = re.compile(r"[\W\d_]+")
