@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,11 +20,14 @@ T = TypeVar("T")
 #: Bytes of text that an operator holds as Python objects at once.
 PIECE_BYTES = 2 << 20
 #: Rows that Spark sends to a Python worker at once, where the session says nothing else.
-BATCH_ROWS, _SPARK_ROWS = 1000, "10000"
+BATCH_ROWS, _SPARK_ROWS = 300, "10000"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Have Spark send fewer rows at once than its default, as texts may be long."""
+    """Have Spark send fewer rows at once than its default, as texts may be long.
+
+    The setting stays in the session, as results are computed later; a number that a user has set is left.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name, _SPARK_ROWS) == _SPARK_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
@@ -50,10 +54,13 @@ def held(key: str, make: Callable[[], T]) -> T:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is made and set.
+    Only where the session names none and runs on one machine, as tests do, a temporary folder
+    is made and set; on a cluster executors would not see it, and ValueError is raised.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="veritab-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -63,11 +70,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends here.
 
     A lost executor then costs a reread, never a recomputation, and later plans read only
-    the columns that they need. The files stay until the folder's owner clears it.
+    the columns that they need. The files go when the session's process ends; until then a
+    result may still be read again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    written = jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(written)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -35,10 +35,12 @@ def fold(id_col: Column, n: int) -> Column:
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document kept as media, read back and described; null text is empty, each row counts."""
     return media.texts_as_media(_table(spark, sf_dir, "documents"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, score, margin and rejection of every document; `und` without letters, and everywhere if nothing can be learned."""
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs, fold(docs["doc_id"], 5) != 0)
     found = langid.identify(docs, model)
@@ -47,41 +49,55 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document and back, as digests; null and empty texts have none."""
     return bpe.bpe_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in packed sequences of at most 4096 tokens; a null or empty text is one end token."""
     return pack.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page; null urls and those without `://` have no host and pass."""
     return urls.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under 85 % shared shingles of four words; texts without words stand alone."""
     return jaccard.link(_table(spark, sf_dir, "documents"))
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every 20th vector; unusable vectors take no part, an empty table gives no rows."""
     vectors = _table(spark, sf_dir, "embeddings")
     return search.nearest(vectors, vectors["vec_id"] % 20 == 0)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; null and empty pages have empty text."""
     return extract.main_text(_table(spark, sf_dir, "pages"))
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation repaired and rendered; turns without id are one conversation, null texts empty."""
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and class of every document; empty texts too, by the offset alone; 0.5 if there are no labels."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = quality.train(docs, labels, fold(labels["doc_id"], 3) != 1)
     held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def interleaved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered texts and media references of every page; pages without any give no rows."""
+    pages = _table(spark, sf_dir, "pages")
+    return media.interleave(pages, pages["html"], "page_id").select("page_id", F.inline("items"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -95,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_extraction,
         op9_chat_formatting,
         op10_quality_classifier,
+        interleaved_pages,
     )
 }
 
