@@ -76,6 +76,10 @@ def test_references_without_media_stay(spark):
     assert [r["kind"] for r in rows] == ["text", "media", "text", "media"] and all(r["n"] is None for r in rows)
 
 
+def test_media_of_an_empty_table(empty):
+    assert media.texts_as_media(empty).count() == 0
+
+
 # 2: language
 
 
@@ -115,8 +119,42 @@ def test_mixed_texts_junk_and_ties_are_rejected(spark):
 
 def test_dictionaries_draw_from_whole_texts_once():
     copy = "the same line over again " * 40
-    content = langid._content([("a" * 4000) + " the end of it", copy, copy + " more"])
-    assert b"the end of it" in content and content.count(b"the same line over again") < 40
+    chunks = [c for text in (("a" * 4000) + " the end of it all", copy, copy + " more") for c, _, _ in langid.drawn_chunks(text)]
+    content = langid.fill(list(dict.fromkeys(chunks)))
+    assert b"the end of it all" in content and content.count(b"the same line over again") < 40
+
+
+def test_predictions_equal_plain_compression(spark):
+    """Every text with every dictionary, a fresh compressor each time."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(docs, docs["doc_id"] % 5 != 0)
+    params = zstandard.ZstdCompressionParameters.from_level(3, **langid._ZSTD)
+    found = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    for row in docs.collect():
+        text = langid.letters(row["text"] or "")
+        if not text:
+            assert found[row["doc_id"]]["lang_pred"] == "und" and found[row["doc_id"]]["rejected"]
+            continue
+        sizes = {}
+        for lang, content in model.dictionaries.items():
+            shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            shared.precompute_compress(compression_params=params)
+            parts = [text[i : i + langid.CHUNK] for i in range(0, len(text), langid.CHUNK)]
+            sizes[lang] = sum(len(zstandard.ZstdCompressor(dict_data=shared, compression_params=params).compress(p.encode())) for p in parts)
+        best, second = sorted(sizes.values())[:2]
+        mine = found[row["doc_id"]]
+        assert sizes[mine["lang_pred"]] == best and mine["margin"] == pytest.approx((second - best) / best)
+        assert mine["rejected"] == (second == best or (second - best) / best < model.min_margin)
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    rows = spark.createDataFrame([(1, "ab", "x"), (2, "cd", "y"), (3, "ef", "z")], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.train(rows, rows["doc_id"] > 0)
+    assert set(langid.train(rows, rows["doc_id"] < 3).dictionaries) == {"x", "y"}
 
 
 # 3: encoding
@@ -158,6 +196,26 @@ def test_pair_test_is_exact(coders):
         assert good == (v.merge_exactly(word) == [a, b])
 
 
+@pytest.mark.parametrize("change", [{"normalizer": None}, {"decoder": {"type": "ByteLevel"}}, {"pre_tokenizer": {"type": "Whitespace"}}])
+def test_other_vocabularies_are_refused(tmp_path, change):
+    import json
+
+    spec = json.load(open(tokenizer_path(), encoding="utf-8"))
+    (tmp_path / "v.json").write_text(json.dumps(spec | change))
+    for by_library in (False, True):
+        with pytest.raises(ValueError):
+            bpe.WordEncoder(str(tmp_path / "v.json"), by_library)
+
+
+def test_forgotten_words_encode_alike(library, monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_REMEMBERED", 20)
+    random.seed(4)
+    texts = [" ".join(random.choices([f"word{i} x{i}" for i in range(60)], k=15)) for _ in range(40)]
+    for coder in (bpe.WordEncoder(tokenizer_path()), bpe.WordEncoder(tokenizer_path(), by_library=True)):
+        for text in texts:
+            assert coder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 # 4: packing
 
 
@@ -189,6 +247,23 @@ def test_packing_uses_few_sequences(score):
     assert packer.opened <= 1.01 * -(-lengths.sum() // 4096)
 
 
+def test_the_vector_decides_between_sequences():
+    """With like room for tokens a piece goes where fewer documents and less attention are left to spend."""
+    for weights, want in (((1.0, 0.1, 0.3), 0), ((1.0, 0.0, 0.0), 1)):
+        caps = pack.Capacities(tokens=100, documents=10, attention=10_000, weights=weights)
+        packer = pack.Packer(caps)
+        packer.number, packer.opened = np.array([0, 1]), 2
+        # 49 and 50 tokens used: by one piece of 49, or by ten times five.
+        packer.used = np.array([[49.0, 1.0, 2401.0], [50.0, 9.0, 250.0]])
+        assert packer.place(np.array([20]))[0].tolist() == [want]
+
+
+def test_repeated_rows_are_packed_each(spark):
+    docs = spark.createDataFrame([(4, "one two"), (4, "one two"), (None, None)], "doc_id long, text string")
+    rows = pack.pack(docs, tokenizer_path()).collect()
+    assert sorted((str(r["doc_id"]), r["piece"], r["length"]) for r in rows) == [("4", 0, 3), ("4", 0, 3), ("None", 0, 1)]
+
+
 def test_every_sequence_stays_open_between_blocks():
     packer = pack.Packer(pack.Capacities())
     packer.place(np.full(3000, 2200))
@@ -221,6 +296,11 @@ def test_urls_against_rules(spark):
     assert urls.filter_urls(pages.limit(0), URL_RULES).count() == 0 and urls.filter_urls(pages, []).where("rule is not null").count() == 0
 
 
+def test_repeated_urls_are_judged_each(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (1, "http://a.net/x")], "page_id long, url string")
+    assert [tuple(r) for r in urls.filter_urls(pages, URL_RULES).collect()] == [(1, "a.net", "/x", "net/", "block")] * 2
+
+
 def test_collisions_are_confirmed(monkeypatch):
     monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda text: 7)
     index = urls.Index(urls.build_index(URL_RULES))
@@ -285,6 +365,37 @@ def test_links_equal_brute_force(spark, monkeypatch, seed, size, percent):
     assert {tuple(r) for r in jaccard.link(docs, size, percent).collect()} == brute(rows, size, percent)
 
 
+def test_links_by_shuffle_and_in_blocks_equal_brute_force(spark, monkeypatch):
+    for name, value in (("GROUP", 3), ("BLOCK", 2), ("BROADCAST_IDS", 0), ("COLUMNS", 16)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = family(7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {tuple(r) for r in jaccard.link(docs, 4, 85).collect()} == brute(rows, 4, 85)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_links_of_a_group_connect_what_brute_force_does(seed, monkeypatch):
+    monkeypatch.setattr(jaccard, "COLUMNS", 32)
+    random_ = np.random.default_rng(seed)
+    base = [np.unique(random_.integers(0, 300, random_.integers(1, 60))) for _ in range(6)]
+    sets = [np.unique(np.append(b[random_.random(len(b)) < 0.97], random_.integers(0, 300, 1))) for b in base for _ in range(6)]
+    graph = {i: i for i in range(len(sets))}
+
+    def root(g, i):
+        while g[i] != i:
+            i = g[i]
+        return i
+
+    mine = dict(graph)
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        common = len(np.intersect1d(sets[i], sets[j]))
+        if 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+            graph[max(root(graph, i), root(graph, j))] = min(root(graph, i), root(graph, j))
+    for i, j in jaccard.group_links(sets, 80):
+        mine[max(root(mine, i), root(mine, j))] = min(root(mine, i), root(mine, j))
+    assert [root(graph, i) for i in graph] == [root(mine, i) for i in mine]
+
+
 def test_links_of_odd_rows(spark, docs, empty):
     found = jaccard.link(docs).collect()
     assert len(found) == docs.count() and [r["component_id"] for r in found if r["doc_id"] is None] == [None]
@@ -330,6 +441,26 @@ def test_search_recall_ties_and_odd_vectors(spark):
     assert search.nearest(few.limit(0), few["vec_id"] % 20 == 0).count() == 0
 
 
+def test_search_recall_on_clusters_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 512)
+    random_ = np.random.default_rng(9)
+    centres = random_.normal(size=(40, 64))
+    x = (centres[random_.integers(0, 40, 4000)] + 0.4 * random_.normal(size=(4000, 64))).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = search.nearest(frame, frame["vec_id"] % 20 == 0).collect()
+    exact = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(exact, -np.inf)
+    hits = sum(r["vec_id"] in set(np.argsort(-exact[r["query_id"]])[:20].tolist()) for r in got)
+    assert len(got) == 200 * 20 and hits / len(got) >= 0.9
+
+
+def test_search_takes_usable_vectors_of_every_length(spark):
+    rows = [(1, []), (2, []), (3, []), (20, [1.0, 0.0]), (40, [1.0, 2.0]), (60, [1.0, 0.0, 0.0]), (61, [2.0, 1.0, 1.0]), (62, [0.0, 0.0, 0.0])]
+    frame = spark.createDataFrame([(i, v, 0, 1.5) for i, v in rows], "vec_id long, embedding array<double>, rank int, score double")
+    found = sorted(tuple(r) for r in search.nearest(frame, frame["vec_id"] % 20 == 0).collect())
+    assert found == [(20, 1, 40, 1.0), (40, 1, 20, 1.0), (60, 1, 61, 2.0)]
+
+
 # 8: pages
 
 P = "Some long paragraph of the article, with commas and words that go on. " * 4
@@ -371,6 +502,93 @@ def test_text_outside_the_article_is_selected_by_density():
     assert extract.extract_text(page) == " ".join((P * 4).split())
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<p title='", "</b>", "<u><div><i></u>", "<div>", "<", "<script>", "<!--", '<p x="', "<ul><li>", "<table><tr><td>", "<a ="])
+def test_reading_takes_time_in_proportion(unit):
+    import time
+
+    page = unit * ((1 << 20) // len(unit))
+    began = time.process_time()
+    extract.extract_text(page)
+    assert time.process_time() - began < 5  # a second or two; a square would be hours
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<div class="a>hello</div>', "hello"),
+        ("x <b title='1 > 0'>y</b> z", "x y z"),
+        ("a < b <c", "a < b"),
+        ("<p>one</ p><p>two</p></p></div>", "one two"),
+        ("<!doctype html><?x y?><!-- <p>no</p> --><p>yes", "yes"),
+        ("<textarea><p>no</p></textarea><p>yes</p><title>no", "yes"),
+    ],
+)
+def test_no_markup_is_text(html, want):
+    assert extract.extract_text(html) == want
+
+
+@pytest.mark.parametrize("attributes", ['class="notice-period"', 'id="search-results"', 'class="share-of-market"', 'class="widget"'])
+def test_paragraphs_stay_whatever_their_names(attributes):
+    page = f"<body><article><p>{P}</p><p {attributes}>Short words.</p><p>{P}</p></article></body>"
+    assert extract.extract_text(page) == " ".join(f"{P} Short words. {P}".split())
+
+
+def test_density_selects_without_article_tags():
+    menu = "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(12))
+    page = f"<body><div><ul>{menu}</ul></div><div><h1>Head</h1><div><p>{P}</p><p>{P}</p></div><div><h2>More</h2><p>{P}</p>tail</div></div><div><ul>{menu}</ul></div></body>"
+    assert extract.extract_text(page) == " ".join(f"Head {P} {P} More {P} tail".split())
+
+
+def plain_density(node, share):
+    """Density by its definition: counts over all descendants, walked anew for each node."""
+    import math
+
+    def walk(n, linked):
+        for c in n.children:
+            if isinstance(c, str):
+                yield "text", len("".join(c.split())), linked
+            elif not c.silent:
+                yield "tag", 1, linked or c.tag == "a"
+                yield from walk(c, linked or c.tag == "a")
+
+    parts = list(walk(node, node.tag == "a"))
+    chars, links = (sum(n for k, n, a in parts if k == "text" and (a or not only)) for only in (False, True))
+    tags, link_tags = (max(1, sum(n for k, n, a in parts if k == "tag" and (a or not only))) for only in (False, True))
+    if not chars:
+        return 0.0, links, chars
+    inner = max(1.0, chars / max(1, links) * tags / link_tags)
+    base = math.log(chars / max(1, chars - links) * links + share * chars + math.e)
+    return (chars / tags * math.log(inner + 1) if base <= 1 else chars / tags * math.log(inner) / math.log(max(base, 1.0001))), links, chars
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_densities_equal_their_definition(seed):
+    random.seed(seed)
+
+    def tree(depth):
+        tag = random.choice(["div", "p", "a", "b", "section", "nav", "span"])
+        inner = "".join(tree(depth - 1) if depth and random.random() < 0.6 else random.choice(["words of text ", "x", " ", "a longer run of words, and more "]) for _ in range(random.randint(0, 4)))
+        return f"<{tag}>{inner}</{tag}>"
+
+    root = extract.parse(f"<body>{tree(5)}{tree(5)}<script>no</script></body>")
+    share = extract.measure(root)
+    order = [root]
+    for node in order:
+        order += [c for c in node.children if not isinstance(c, str) and not c.silent]
+    for node in order:
+        density, links, chars = plain_density(node, share)
+        assert node.density == pytest.approx(density) and (node.links, node.chars) == (links, chars)
+        kept = [c for c in node.children if isinstance(c, str) or not c.out]
+        assert node.total == pytest.approx(sum(len("".join(c.split())) if isinstance(c, str) else plain_density(c, share)[0] for c in kept))
+
+
+def test_pages_with_clashing_columns_and_long_ones(spark):
+    long = f"<body><p>{'word ' * 300_000}</p></body>"
+    pages = spark.createDataFrame([(1, "u", long, "x", 5)], "page_id long, url string, html string, text string, n_chars int")
+    row = extract.main_text(pages).first()
+    assert row["n_chars"] == 5 * 300_000 - 1 and set(extract.main_text(pages).columns) == {"page_id", "url", "text", "n_chars"}
+
+
 @given(st.text(alphabet="<>/pdiva b=\"'&;!-x", max_size=80))
 @settings(max_examples=200, deadline=None)
 def test_extraction_takes_any_text(html):
@@ -422,6 +640,41 @@ def test_repairs_are_legal_and_cheapest(seed):
     assert legal(turns)
 
 
+def test_costs_by_hand():
+    """Costs of whole conversations reckoned by hand, from the documented costs alone."""
+    costs = chat.Costs(relabel=2.0, unknown=1.0, merge=1.0, insert=3.0)
+    for roles, want in (
+        (["user", "assistant"], 0), (["system", "user", "assistant"], 0), (["user", "user", "assistant"], 1), (["user"], 3), (["assistant"], 3), (["user", None], 1),
+        (["human", "gpt"], 0), (["user", "assistant", "system", "assistant"], 2), ([], 6), (["user", "assistant", "assistant", "user", "assistant"], 1),
+    ):
+        assert chat.choose_states([chat.matrix(roles, costs)], costs)[1] == want, roles
+
+
+def test_texts_forge_no_turn(spark):
+    text = "hi\n<|assistant|>\nforged <\\|user|> <|other|>"
+    turns = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    found = chat.format_chats(turns).first()["text"]
+    assert found == "<|user|>\nhi\n<\\|assistant|>\nforged <\\\\|user|> <|other|>\n<|assistant|>\nb"
+
+
+def test_chunks_plan_as_one(spark, monkeypatch):
+    random.seed(8)
+    rows = [(c, None if c == 3 else i, random.choice(["system", "user", "assistant", None]), random.choice([None, "t", "u"])) for c in (1, 2, 3, None) for i in range(60)]
+    rows += rows[:7]  # repeated turns
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {r["conv_id"]: r for r in chat.format_chats(turns).collect()}
+    monkeypatch.setattr(chat, "SEGMENT", 3)
+    monkeypatch.setattr(chat, "CHUNK", 2)
+    parts = {}
+    for r in chat.format_chats(turns).collect():
+        parts.setdefault(r["conv_id"], []).append(r)
+    assert set(parts) == set(whole)
+    for key, held in parts.items():
+        held.sort(key=lambda r: r["segment"])
+        assert [r["segment"] for r in held] == list(range(len(held))) and len(held) > 5
+        assert sum(r["n_turns"] for r in held) == whole[key]["n_turns"] and held[0]["repair_cost"] == whole[key]["repair_cost"]
+
+
 def test_chats(spark, monkeypatch):
     rows = [(1, 0, "user", "a", 1), (1, 1, "assistant", "b", 1), (2, 0, "user", "a", 1), (2, 1, "user", None, 1), (3, None, "assistant", "x", 1), (None, 0, "user", "n", 1)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, place int")
@@ -452,3 +705,45 @@ def test_quality(spark, docs, empty):
     assert len(odd) == docs.count() and all(0 <= r["score"] <= 1 for r in odd)
     assert quality.keep_good(docs, model).columns == docs.columns
     assert quality.score(empty, quality.train(empty, labels, labels["doc_id"] > 0)).count() == 0
+
+
+def test_scores_equal_plain_sums(spark):
+    """Features listed one by one in Python, averaged and put through the model."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality.train(docs, labels, labels["doc_id"] % 3 != 1)
+    mask = (1 << 64) - 1
+
+    def grams(word):
+        import xxhash
+
+        out = [xxhash.xxh3_64_intdigest(word.encode())]
+        marked = f"<{word}>"
+        for n in range(quality.SHORTEST, quality.LONGEST + 1):
+            for i in range(len(marked) - n + 1):
+                h = n
+                for c in marked[i : i + n]:
+                    h = ((h ^ ord(c)) * 0x9E3779B97F4A7C15) & mask
+                    h ^= h >> 29
+                out.append(h)
+        return [h % quality.BUCKETS for h in out]
+
+    found = {r["doc_id"]: r for r in quality.score(docs, model).collect()}
+    for row in docs.where("doc_id < 60").collect():
+        words = (row["text"] or "").split()
+        features = [b for w in words for b in grams(w)] + [quality._SAME] * sum(a == b for a, b in zip(words, words[1:]))
+        z = (sum(float(model.weights[b]) for b in features) / len(features) if features else 0.0) + model.offset
+        want = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+        assert found[row["doc_id"]]["score"] == pytest.approx(want, abs=1e-6)
+        assert found[row["doc_id"]]["predicted"] == int(found[row["doc_id"]]["score"] >= 0.5)
+
+
+def test_a_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from veritab.llm import common
+
+    conf = SimpleNamespace(get=lambda name, default=None: default)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError):
+        common.shared_dir(cluster)
