@@ -328,3 +328,26 @@ def test_stacking_is_noted(spark):
     a, b = spark.createDataFrame([(1, 2)], "id int, age int"), spark.createDataFrame([(1, 2, 3)], "id int, age int, score int")
     assert combine.stack_notes({"a": a, "b": b}) == [("stack_partial_columns", "warning", ["score"]), ("combined_stack", "info", ["a", "b"])]
     assert combine.stackable({"a": a, "b": b}) and not combine.stackable({"a": a})
+
+
+def test_plans_drop_repeats_and_aliases(spark):
+    edges = spark.createDataFrame([("a", "b", 0.99), ("b", "c", -0.96), ("d", "e", 0.5), ("f", "g", 0.97), ("g", "c", 0.95)], "a string, b string, value double")
+    assert insights.aliases(edges) == {c: "a" for c in "abcfg"}
+    rows = [(1, "a", "d", "profile"), (2, "d", "b", "rq"), (3, "a", "c", "rq"), (4, "e", "d", "llm"), (5, "d", "e", "llm"), (6, "e", "h", "profile")]
+    analyses = spark.createDataFrame(rows, "position int, x string, y string, source string")
+    assert [r["position"] for r in insights.combined_plan(analyses, edges).collect()] == [2, 4, 6]
+    assert [r["position"] for r in insights.combined_plan(analyses, edges.limit(0), 2).collect()] == [2, 3]
+    fact = insights.ColumnFacts
+    assert insights.grouping_column(fact("n", "numeric", 5), "comparative") and not insights.grouping_column(fact("n", "numeric", 5), "causal") and insights.grouping_column(fact("c", "boolean"), "causal")
+
+
+def test_placeholders_are_told(spark):
+    findings = spark.createDataFrame([(1, "a", "b"), (2, "c", "c")], "id int, x string, y string")
+    codes = spark.createDataFrame([("b", -999.0, 3), ("b", -99.0, 2)], "column string, code double, n long")
+    assert [tuple(r) for r in insights.placeholder_caveats(findings, codes).collect()] == [(1, "b", [-999.0, -99.0])]
+
+
+def test_reading_order(spark):
+    df = spark.createDataFrame([(1, None), (2, 5), (3, 7)], "id int, score int")
+    assert [r["id"] for r in records.reading_order(df, "score desc", "id").collect()] == [3, 2, 1]
+    assert [r["id"] for r in records.reading_order(df, "score first").collect()] == [1, 2, 3]

@@ -283,3 +283,50 @@ def sampled(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
     """At most ``n`` rows, those with the smallest hash of ``keys`` (all columns if none) and seed; the same rows every time."""
     order = F.xxhash64(*(keys or df.columns), F.lit(seed))
     return df.orderBy(order, *(keys or df.columns)).limit(n)
+
+
+#: Association from which two columns are one under two names; analyses of a plan at most.
+ALIAS, MAX_ANALYSES = 0.95, 20
+#: Sources of analyses in order of precedence.
+SOURCES = ("rq", "llm", "profile")
+
+
+def aliases(edges: DataFrame) -> dict[str, str]:
+    """Columns that are one under several names, each with the first of its names.
+
+    Of associations (at most ``KEEP_PAIRS`` rows) those of ``ALIAS`` or more link.
+    """
+    group: dict[str, str] = {}
+    for row in edges.where(F.abs("value") >= ALIAS).select("a", "b").orderBy("a", "b").limit(KEEP_PAIRS).collect():
+        one, other = group.get(row["a"], row["a"]), group.get(row["b"], row["b"])
+        first, last = min(one, other), max(one, other)
+        group |= {c: first for c, g in group.items() if g == last} | {row["a"]: first, row["b"]: first}
+    return group
+
+
+def combined_plan(analyses: DataFrame, edges: DataFrame, k: int = MAX_ANALYSES) -> DataFrame:
+    """Analyses (position, x, y, source) without repeats, the ``k`` first by source and position.
+
+    Two analyses repeat if their columns are the same in any order, aliases counted as one; a
+    pair of two names of one column is none.
+    """
+    group = aliases(edges)
+    name = lambda c: F.coalesce(F.create_map(*(F.lit(v) for kv in group.items() for v in kv))[F.col(c)], F.col(c)) if group else F.col(c)
+    rank = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source"))
+    keyed = analyses.withColumns({"__a": F.least(name("x"), name("y")), "__b": F.greatest(name("x"), name("y")), "__rank": rank}).where("__a <> __b")
+    best = keyed.groupBy("__a", "__b").agg(F.min(F.struct("__rank", "position", "x", "y", "source")).alias("m"))
+    return best.select("m.*").orderBy("__rank", "position").limit(k).select("position", "x", "y", "source")
+
+
+def grouping_column(column: ColumnFacts, kind: str) -> bool:
+    """Whether an explanatory column splits rows into groups: categories do, numbers of few values in comparisons only."""
+    if column.semantic_type in ("categorical", "boolean"):
+        return True
+    return column.semantic_type == "numeric" and kind == "comparative" and 0 < column.n_distinct <= MAX_GROUPS
+
+
+def placeholder_caveats(findings: DataFrame, codes: DataFrame) -> DataFrame:
+    """Findings (id, x, y) over columns that hold codes for missing values (column, code, n): id, column, codes."""
+    used = findings.select("id", F.explode(F.array_distinct(F.array("x", "y"))).alias("column"))
+    listed = codes.groupBy("column").agg(F.array_sort(F.collect_set("code")).alias("codes"))  # seven codes at most
+    return used.join(F.broadcast(listed), "column").select("id", "column", "codes")

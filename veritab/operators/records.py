@@ -80,3 +80,10 @@ def searched(df: DataFrame, text: str, order: str, columns: list[str] | None = N
     number, plain = F.col(order).cast("string").try_cast("double"), F.col(order)
     keys = [number.desc_nulls_last(), plain.desc_nulls_last()] if descending else [number.asc_nulls_last(), plain.asc_nulls_last()]
     return df.where(hit).orderBy(*keys)
+
+
+def reading_order(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by keys such as ``score desc`` or ``folder first``: descending and ascending with nulls last, or ascending with nulls first."""
+    how = {"desc": "desc_nulls_last", "asc": "asc_nulls_last", "first": "asc_nulls_first"}
+    parts = [(k.split() + ["asc"])[:2] for k in keys]
+    return df.orderBy(*(getattr(F.col(c), how[o])() for c, o in parts))
