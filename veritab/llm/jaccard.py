@@ -291,6 +291,8 @@ def _own_links(docs: DataFrame, near: DataFrame, size: int, percent: int, id_col
     cut = homes.join(cuts, "home").select("node", "home", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("cuts"))).alias("grp"))
     members = materialize(cut.select("grp", "node").union(cut.select("grp", F.col("home").alias("node")).distinct()), "homed")
     whole = sets_of(docs, members, size, id_col, text_col)
+    # A set goes once to each of its groups; few pairs of group and node are broadcast.
+    members = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = members.join(whole, "node").select("grp", "node", "shingles").repartition(parts, "grp").sortWithinPartitions("grp", "node")
     return rows.mapInArrow(_open_own(percent), "a long, b long")
@@ -331,10 +333,10 @@ def _open_groups(percent: int):
     return run
 
 
-def _residual(shared: DataFrame, found: DataFrame, percent: int) -> DataFrame | None:
+def _residual(shared: DataFrame, found: DataFrame, facts: DataFrame, percent: int) -> DataFrame | None:
     """Pairs of nodes in different components that the token-group matrix lets through.
 
-    ``shared`` has token, node, n, last, leader; ``found`` node, component.
+    ``shared`` has token, node, leader; ``found`` node, component; ``facts`` node, n, last.
     """
     rows = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = materialize(rows, "by-component")
@@ -343,7 +345,7 @@ def _residual(shared: DataFrame, found: DataFrame, percent: int) -> DataFrame |
     if rows.isEmpty():
         return None
     # Groups: large components of their own, the other nodes by leader; each by size class.
-    members = rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ("n", "last", "component", "leader")))
+    members = rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ("component", "leader"))).join(facts, "node")
     members = materialize(members, "members")
     large = members.groupBy("component").count().where(F.col("count") >= GROUP).select("component", F.lit(True).alias("large"))
     step = float(np.log(100 / percent)) if percent < 100 else 1e-9
@@ -362,20 +364,28 @@ def _residual(shared: DataFrame, found: DataFrame, percent: int) -> DataFrame |
     # The matrix: a row for each shingle and group that holds it.
     union = rows.select("token", "node").join(grouped.select("node", "grp"), "node").select("token", "grp").distinct()
     union = materialize(union.join(materialize(facts, "facts"), "grp"), "matrix")
-    # A token of many groups is joined block by block; one of few has a single block.
-    blocks = union.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    own = F.pmod(F.xxhash64("grp"), F.col("blocks"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    union = union.join(materialize(blocks, "blocks"), "token")
-    one = union.select("*", own.alias("i"), every.alias("j")).alias("p")
-    two = union.select("*", own.alias("j"), every.alias("i")).alias("q")
     apart = (F.col("p.c_lo") != F.col("q.c_lo")) | (F.col("p.c_lo") != F.col("p.c_hi")) | (F.col("q.c_lo") != F.col("q.c_hi"))
     fit = (F.col("p.n_hi") * 100 >= F.col("q.n_lo") * percent) & (F.col("q.n_hi") * 100 >= F.col("p.n_lo") * percent)
-    same = [F.col(f"p.{c}") == F.col(f"q.{c}") for c in ("token", "i", "j")]
-    met = one.join(two, same[0] & same[1] & same[2] & (F.col("p.grp") <= F.col("q.grp")) & apart & fit)
-    bound = met.groupBy(F.col("p.grp").alias("g"), F.col("q.grp").alias("h")).agg(
-        F.count("*").alias("common"), *(F.first(f"{s}.{c}").alias(f"{s}_{c}") for s in "pq" for c in ("n_lo", "n_hi"))
-    )
+    facts_of = ("n_lo", "n_hi")
+
+    def meet(one: DataFrame, two: DataFrame, keys: list[str]) -> DataFrame:
+        one, two = one.alias("p"), two.alias("q")
+        same = F.lit(True)
+        for k in keys:
+            same = same & (F.col(f"p.{k}") == F.col(f"q.{k}"))
+        found = one.join(two, same & (F.col("p.grp") <= F.col("q.grp")) & apart & fit)
+        return found.select(F.col("p.grp").alias("g"), F.col("q.grp").alias("h"), *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "pq" for c in facts_of))
+
+    hot = materialize(union.groupBy("token").count().where(F.col("count") > BLOCK).select("token", F.ceil(F.col("count") / BLOCK).alias("blocks")), "hot")
+    if hot.isEmpty():
+        met = meet(union, union, ["token"])
+    else:
+        # A token of very many groups is joined block by block.
+        split = union.join(hot, "token")
+        own, every = F.pmod(F.xxhash64("grp"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        rest = union.join(hot, "token", "left_anti")
+        met = meet(rest, rest, ["token"]).union(meet(split.select("*", own.alias("i"), every.alias("j")), split.select("*", own.alias("j"), every.alias("i")), ["token", "i", "j"]))
+    bound = met.groupBy("g", "h").agg(F.count("*").alias("common"), *(F.first(f"{s}_{c}").alias(f"{s}_{c}") for s in "pq" for c in facts_of))
     top = F.greatest("p_n_hi", "q_n_hi")
     need = F.ceil((F.col("p_n_lo") + F.col("q_n_lo")) * percent / (100 + percent))
     opened = bound.where(F.col("common") + F.ceil(top * percent / 100) - 1 >= need).select("g", "h", (F.col("g") == F.col("h")).alias("same"))
@@ -405,26 +415,26 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_i
     own = materialize(full.select("id", "n", "last", "set_hash").join(nodes, "set_hash").select("id", "node", "n", "last"), "own")
     split = own.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")
 
-    prefixes = full.select(F.explode("prefix").alias("token"), "id")
-    several = prefixes.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("token")
-    rows = prefixes.join(materialize(several, "several"), "token")
-    rows = rows.join(own.hint("merge"), "id").select("token", "node", "n", "last").distinct()
-    rows = materialize(rows, "shared")
-    leaders = rows.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("hi")).where("leader < hi").select("token", "leader")
-    rows = materialize(rows.join(materialize(leaders, "leaders"), "token"), "led")
+    facts = materialize(own.where("id = node").groupBy("node").agg(F.min("n").alias("n"), F.min("last").alias("last")), "facts")
+
+    # Copies take no part: of equal sets the smallest id stands for all.
+    copies = materialize(own.where("id != node").select("id").distinct().join(own.where("id = node").select("id"), "id", "left_anti"), "copies")
+    small = copies.count() <= BROADCAST_IDS
+    first = full.join(F.broadcast(copies) if small else copies, "id", "left_anti")
+    tokens = first.select(F.explode("prefix").alias("token"), F.col("id").alias("node"))
+    leaders = tokens.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("hi")).where("leader < hi").select("token", "leader")
+    rows = materialize(tokens.join(materialize(leaders, "leaders"), "token"), "led")
 
     # What a leader leads of a node bounds their overlap.
-    led = rows.where("node != leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(
-        F.count("*").alias("led"), F.min("n").alias("n_b"), F.min("last").alias("last_b")
-    )
-    facts = materialize(rows.groupBy(F.col("node").alias("a")).agg(F.min("n").alias("n_a"), F.min("last").alias("last_a")), "facts")
+    led = rows.where("node != leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("led"))
+    of = lambda s: facts.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("last").alias(f"last_{s}"))
     rest = F.when(F.col("last_a") <= F.col("last_b"), least_overlap_sql("n_a", percent)).otherwise(least_overlap_sql("n_b", percent)) - 1
     need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
-    near = led.join(facts, "a").where(_sizes_fit("n_a", "n_b", percent) & (F.col("led") + rest >= need)).select("a", "b", "led")
+    near = led.join(of("a"), "a").join(of("b"), "b").where(_sizes_fit("n_a", "n_b", percent) & (F.col("led") + rest >= need)).select("a", "b", "led")
     edges = materialize(_own_links(docs, near, size, percent, id_col, text_col).union(split), "links")
     parts = materialize(components(edges), "components")
 
-    pairs = _residual(rows, parts, percent)
+    pairs = _residual(rows, parts, facts, percent)
     if pairs is not None and not pairs.isEmpty():
         whole = sets_of(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), size, id_col, text_col)
         more = materialize(linked(pairs, whole, percent), "more-links")
