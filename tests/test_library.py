@@ -312,6 +312,17 @@ def test_verdict_rules(spark, question, codes, answer):
     assert verdict.verdict(facts).first()["verdict"] == answer
 
 
+def test_measured_expressions_are_guarded(spark):
+    df = spark.createDataFrame([("a", 1.0)] * 40 + [("b", 2.0)] * 40, "g string, y double")
+    lost = verdict.Question("descriptive", [verdict.Construct("dependent", "derivable", "nothing / y")])
+    assert verdict.verdict(verdict.measure(df, lost)).first()["verdict"] == "not_answerable"
+    kept = verdict.Question("descriptive", [verdict.Construct("dependent", "derivable", "y / 2")])
+    assert verdict.measure(df, kept).first()["outcome_distinct"] == 2
+    for scope, expression in (("reflect('java.lang.System', 'exit') > 1", "y"), ("y in (select 1)", "y"), (None, "java_method('a', 'b')")):
+        with pytest.raises(guard.Refused):
+            verdict.measure(df, verdict.Question("descriptive", [verdict.Construct("dependent", "direct", expression)], scope))
+
+
 def test_join_discovery(spark):
     customers = spark.createDataFrame([(i, f"n{i}") for i in range(1, 51)], "id bigint, name string")
     orders = spark.createDataFrame([(n, n % 40 + 1, float(n)) for n in range(1, 201)], "order_id bigint, customer_id bigint, amount double")

@@ -252,7 +252,7 @@ def chunk_medians(df: DataFrame, column: str, position: str, chunks: int = 10) -
     chunk = F.when(place < longer * (size + 1), F.floor(place / (size + 1))).otherwise(longer + F.floor((place - longer * (size + 1)) / F.greatest(size, F.lit(1)))) + 1
     cut = placed.crossJoin(F.broadcast(total)).select(chunk.cast("int").alias("chunk"), "x", "position")
     firsts = cut.groupBy("chunk").agg(F.count("*").alias("rows"), F.min("position").alias("first_position"))
-    medians = quantiles(cut, "chunk", "x", [0.5]).select("chunk", F.col("q")[0].alias("median"))
+    medians = quantiles(cut, "chunk", "x", [0.5], few=True).select("chunk", F.col("q")[0].alias("median"))
     return firsts.join(F.broadcast(medians), "chunk")
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ranges of values that are summed in parallel, at least.
-RANGES = 64
+#: Ranges of values that may be summed in parallel, at least, and distinct values that make one worth while.
+RANGES, RANGE_ROWS = 64, 50_000
 #: Groups whose cuts and totals are broadcast; with more, groups are small enough to be sorted.
 MAX_GROUPS = 2000
 _ACCURACY = 10_000
@@ -29,13 +29,16 @@ def ranges(df: DataFrame) -> int:
     return max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def with_running(counts: DataFrame, by: list[str], value: str, weights: list[str]) -> DataFrame:
+def with_running(counts: DataFrame, by: list[str], value: str, weights: list[str], spread: DataFrame | None = None) -> DataFrame:
     """Add ``before_<w>`` for every weight: its sum over smaller values within ``by``.
 
-    ``counts`` has one row for each (by, value), values not null.
+    ``counts`` has one row for each (by, value), values not null. Ranges are cut by the values of
+    ``spread``, if it is a cheaper table with the same ones; few values make a single range.
     """
     n = ranges(counts)
-    cuts = counts.select(F.percentile_approx(value, [i / n for i in range(1, n)], _ACCURACY)).first()[0] or []
+    found = (counts if spread is None else spread).select(F.count("*"), F.percentile_approx(value, [i / n for i in range(1, n)], _ACCURACY)).first()
+    wanted = min(n, -(-found[0] // RANGE_ROWS))
+    cuts = [found[1][i * n // wanted - 1] for i in range(1, wanted)] if found[1] else []
     at = F.lit(0)
     for cut in sorted(set(cuts)):
         at = at + (F.col(value) > cut).cast("int")
@@ -55,16 +58,16 @@ def ranked_counts(counts: DataFrame, value: str, ties: str) -> DataFrame:
     return found.withColumn("rank", F.col(f"before_{ties}") + (F.col(ties) + 1) / 2.0).drop(f"before_{ties}")
 
 
-def quantiles(rows: DataFrame, by: str, value: str, fractions: list[float]) -> DataFrame:
+def quantiles(rows: DataFrame, by: str, value: str, fractions: list[float], few: bool = False) -> DataFrame:
     """Exact interpolated quantiles of finite values: by, n, q (an array in the order of ``fractions``).
 
     Rows with a null key or value are not counted. Only the ranges that hold a wanted place are
-    summed value by value.
+    summed value by value. ``few`` says that there are at most ``MAX_GROUPS`` keys; else they are counted.
     """
     counts = rows.select(F.col(by).alias("by"), finite(F.col(value)).alias("value")).where("by is not null and value is not null").groupBy("by", "value").agg(F.count("*").alias("n"))
     n = ranges(rows)
     cuts = counts.groupBy("by").agg(F.percentile_approx("value", [i / n for i in range(1, n)], _ACCURACY).alias("cuts"))
-    if cuts.limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
+    if not few and rows.select(by).distinct().limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
         grouped = counts.groupBy("by").agg(F.sum("n").alias("n"), F.percentile("value", F.array(*map(F.lit, fractions)), F.col("n")).alias("q"))
         return grouped.withColumnRenamed("by", by)
     placed = counts.join(F.broadcast(cuts), "by").select("by", "value", "n", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("range"))
@@ -89,4 +92,4 @@ def quantiles(rows: DataFrame, by: str, value: str, fractions: list[float]) -> D
 def column_quantiles(df: DataFrame, columns: list[str], fractions: list[float]) -> DataFrame:
     """Exact quantiles of several columns in one go: column, n, q; columns without values give no row."""
     values = F.array(*(F.struct(F.lit(c).alias("column"), finite(F.col(f"`{c}`")).alias("value")) for c in columns))
-    return quantiles(df.select(F.explode(values).alias("p")).select("p.*"), "column", "value", fractions)
+    return quantiles(df.select(F.explode(values).alias("p")).select("p.*"), "column", "value", fractions, few=len(columns) <= MAX_GROUPS)

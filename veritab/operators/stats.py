@@ -162,13 +162,13 @@ def kendall_trend(df: DataFrame, x: str, y: str) -> DataFrame:
 
     values = cells.select("y").distinct().withColumn("one", F.lit(1).cast("long"))
     bits = max(1, (max(1, values.count()) - 1).bit_length())
-    numbers = with_running(values, [], "y", ["one"]).select("y", F.col("before_one").alias("number"))
+    numbers = with_running(values, [], "y", ["one"], spread=cells).select("y", F.col("before_one").alias("number"))
     parts = cells.join(numbers, "y").select("x", "c", "number", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
     upper = F.expr("shiftright(number, bit + 1)").alias("upper")
     one = F.expr("shiftright(number, bit) & 1")
     sides = parts.select("bit", upper, "x", F.when(one == 1, F.col("c")).otherwise(0).alias("ones"), F.when(one == 0, F.col("c")).otherwise(0).alias("zeros"))
     sides = sides.groupBy("bit", "upper", "x").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-    running = with_running(sides, ["bit", "upper"], "x", ["ones", "zeros"])
+    running = with_running(sides, ["bit", "upper"], "x", ["ones", "zeros"], spread=cells)
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     s = running.agg(F.coalesce(F.sum(wide("ones") * wide("before_zeros") - wide("zeros") * wide("before_ones")), F.lit(0)).cast("double").alias("s"))
     n = cells.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))

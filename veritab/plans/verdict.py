@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.stats import detectable_correlation, detectable_difference, margin_of_error
+from .guard import Refused, check_expression
 
 # Thresholds of the rules, and the roles that a question cannot do without.
 MIN_COMPLETE, SMALL_SAMPLE, HIGH_MISSING, MIN_GROUP_ROWS, SMALL_GROUP, UNBALANCED, NEAR_CONSTANT, TIME_COVERAGE = 10, 30, 0.30, 5, 20, 10.0, 0.95, 0.80
@@ -97,17 +98,33 @@ def time_coverage(first: Column, last: Column, wanted_first: Column, wanted_last
     return F.when(known, F.least(F.lit(1.0), overlap / (F.datediff(wanted_last, wanted_first) + 1)))
 
 
+def _resolved(df: DataFrame, construct: Construct) -> Construct:
+    """The construct, as a gap if it is a derived value that cannot be computed; raises ``Refused`` for others."""
+    if construct.match and construct.expression:
+        try:
+            check_expression(df, construct.expression)
+        except Refused:
+            if construct.match != "derivable":
+                raise
+            return replace(construct, match=None, expression=None)
+    return construct
+
+
 def measure(df: DataFrame, question: Question) -> DataFrame:
     """All that the rules need, in one row, from one pass over counts of (group, outcome) and one over the table.
 
-    Expressions are checked by the caller (see ``guard.check_expression``). Groups with fewer
-    than ``MIN_GROUP_ROWS`` complete rows do not count; the largest 51 are looked at. Time
-    coverage is measured before the scope is applied.
+    The scope and all expressions pass the guard (``guard.check_expression``) first; ``Refused``
+    is raised for those that may not run, but a derived value that cannot be computed is a gap.
+    Constructs of other tables than the outcome's are not measured. Groups with fewer than
+    ``MIN_GROUP_ROWS`` complete rows do not count; the largest 51 are looked at. Time coverage
+    is measured before the scope is applied.
     """
-    rows = df.where(F.expr(question.scope)) if question.scope else df
+    rows = df.where(check_expression(df, question.scope)) if question.scope else df
     if question.time_column:
         rows = rows.where(time_scope(df, question.time_column, question.time_start, question.time_end))
-    mapped = [c for c in question.constructs if c.match and c.expression]
+    home = next((c.table for c in question.constructs if c.role == "dependent"), None)
+    question = replace(question, constructs=[_resolved(df, c) if c.table in (None, home) else c for c in question.constructs])
+    mapped = [c for c in question.constructs if c.match and c.expression and c.table in (None, home)]
     first = lambda role: next((c for c in mapped if c.role == role), None)
     outcome, group = first("dependent"), first("independent") if question.groups else None
     values = [F.expr(c.expression) for c in mapped]

@@ -412,11 +412,6 @@ def _associations_sql(table: str, numeric: list[str], categories: list[str]) ->
     return f"SELECT a, b, measure, round(value, 5) AS value, n FROM ({' UNION ALL '.join(parts)}) WHERE abs(value) >= 0.1"
 
 
-@query(_associations_sql("lineitem", ["l_quantity", "l_extendedprice", "l_discount"], ["l_returnflag", "l_linestatus"]))
-def associations_lineitem(t: Read) -> DataFrame:
-    return rounded(insights.pairwise_associations(t("lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], ["l_returnflag", "l_linestatus"]), 5)
-
-
 _COPIED = "(SELECT *, l_discount AS copy, CASE WHEN l_quantity > 30 AND l_returnflag = 'A' THEN NULL ELSE l_tax END AS tax, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS code FROM lineitem)"
 
 
@@ -425,6 +420,15 @@ def _copied(t: Read) -> DataFrame:
     return t("lineitem").selectExpr(*columns)
 
 
+_RELATED = "(SELECT l_quantity, l_quantity * 2 + l_linenumber AS weight, l_extendedprice, l_returnflag, CASE WHEN l_quantity > 40 THEN 'big' WHEN l_quantity > 20 THEN 'mid' ELSE 'small' END AS size, l_linestatus FROM lineitem)"
+
+
+@query(_associations_sql(_RELATED, ["l_quantity", "weight", "l_extendedprice"], ["l_returnflag", "size", "l_linestatus"]))
+def associations_lineitem(t: Read) -> DataFrame:
+    rows = t("lineitem").selectExpr("l_quantity", "l_quantity * 2 + l_linenumber as weight", "l_extendedprice", "l_returnflag", "case when l_quantity > 40 then 'big' when l_quantity > 20 then 'mid' else 'small' end as size", "l_linestatus")
+    return rounded(insights.pairwise_associations(rows, ["l_quantity", "weight", "l_extendedprice"], ["l_returnflag", "size", "l_linestatus"]), 5)
+
+
 @query(f"""SELECT * FROM (
  SELECT 'near_duplicate_columns' AS code, 'warning' AS severity, 'copy' AS "column", 'l_discount' AS other FROM {_COPIED} HAVING avg(CAST(l_discount IS NOT DISTINCT FROM copy AS DOUBLE)) >= 0.98
  UNION ALL SELECT 'near_perfect_association', 'warning', 'code', 'l_returnflag'
