@@ -509,7 +509,7 @@ def test_reading_takes_time_in_proportion(unit):
     page = unit * ((1 << 20) // len(unit))
     began = time.process_time()
     extract.extract_text(page)
-    assert time.process_time() - began < 5  # a second or two; a square would be hours
+    assert time.process_time() - began < 20  # a second or two on an idle machine; a square would be hours
 
 
 @pytest.mark.parametrize(
@@ -662,17 +662,23 @@ def test_chunks_plan_as_one(spark, monkeypatch):
     rows = [(c, None if c == 3 else i, random.choice(["system", "user", "assistant", None]), random.choice([None, "t", "u"])) for c in (1, 2, 3, None) for i in range(60)]
     rows += rows[:7]  # repeated turns
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    whole = {r["conv_id"]: r for r in chat.format_chats(turns).collect()}
+
+    def by_conversation():
+        found = {}
+        for r in chat.format_chats(turns).collect():
+            found.setdefault(r["conv_id"], []).append(r)
+        return found
+
+    whole = by_conversation()
     monkeypatch.setattr(chat, "SEGMENT", 3)
     monkeypatch.setattr(chat, "CHUNK", 2)
-    parts = {}
-    for r in chat.format_chats(turns).collect():
-        parts.setdefault(r["conv_id"], []).append(r)
+    parts = by_conversation()
     assert set(parts) == set(whole)
     for key, held in parts.items():
         held.sort(key=lambda r: r["segment"])
         assert [r["segment"] for r in held] == list(range(len(held))) and len(held) > 5
-        assert sum(r["n_turns"] for r in held) == whole[key]["n_turns"] and held[0]["repair_cost"] == whole[key]["repair_cost"]
+        assert sum(r["n_turns"] for r in held) == sum(r["n_turns"] for r in whole[key])
+        assert {r["repair_cost"] for r in held} == {r["repair_cost"] for r in whole[key]} and len({r["repair_cost"] for r in held}) == 1
 
 
 def test_chats(spark, monkeypatch):
