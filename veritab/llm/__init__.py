@@ -1,4 +1,4 @@
-"""Operators for large training corpora: ten stages that stand on their own.
+"""Operators for large training corpora: thirteen stages that stand on their own.
 
 Nothing outside this subpackage imports it; ``queries.py`` holds the registered queries.
 """

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, extract, jaccard, langid, media, pack, quality, search, urls
-from .common import bounded_batches
+from . import bpe, chat, extract, jaccard, langid, manifest, media, naming, pack, quality, runs, search, urls
+from .common import bounded_batches, materialize
 
 #: Where the tokenizer is; the same path on every executor.
 TOKENIZER_VARIABLE, TOKENIZER = "VERITAB_TOKENIZER", "word_bpe_49k.json"
@@ -92,6 +93,48 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of its equal texts that stays; null counts as empty, each row as a document."""
+    return naming.same_texts(_table(spark, sf_dir, "documents")).drop("blocks")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the manifest, and whether what may be tampered with still proves; rows without id are not tampered with."""
+    docs = _table(spark, sf_dir, "documents")
+    fields = [docs[c] for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = manifest.leaf(*fields[:-1], F.replace(fields[-1], F.lit("\n"), F.lit("")))
+    leaves = docs.select("doc_id", "source", manifest.leaf(*fields).alias("leaf"), F.when(fold(docs["doc_id"], 2) == 0, tampered).alias("tampered"))
+    proofs = manifest.prove(materialize(leaves, "digests"), "source", ["doc_id"], "leaf", ["doc_id", "tampered"])
+    folded = proofs.withColumn("folded_root", manifest.fold(F.coalesce("tampered", "leaf"), F.col("lefts"), F.col("rights")))
+    proof = F.sha2(manifest.proof_text(F.col("lefts"), F.col("rights")), 256)
+    return folded.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def repeat_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a tenth of the documents, by their id, from some word on repeat what follows it; others stay."""
+    n, h = len(words), 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest run of every document, and digests of all runs and of the words left; no words, no runs."""
+    found = runs.periodic_runs(_table(spark, sf_dir, "documents"), rewrite=repeat_tail)
+    # The greatest length, then the smallest start, then the smallest period.
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("longest", longest)
+    length, period = F.col("longest.length"), -F.col("longest.p")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.s")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def interleaved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ordered texts and media references of every page; pages without any give no rows."""
     pages = _table(spark, sf_dir, "pages")
@@ -111,12 +154,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_extraction,
         op9_chat_formatting,
         op10_quality_classifier,
+        op11_exact_dedup,
+        op12_merkle_manifest,
+        op13_periodic_runs,
         interleaved_pages,
     )
 }
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
+#: crc32 of a decimal doc_id: a byte is mixed in, then eight bits are shifted out.
+_CRC32_SQL = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+  lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)))"""
+
 ORACLE_SQL = {
     "op5_url_filters": f"""
 WITH rules(rule_host, rule_path, verdict) AS (VALUES {_RULES_SQL}),
@@ -168,5 +218,64 @@ reach(doc_id, other) AS (
 )
 SELECT s.doc_id, s.n AS n_shingles, r.component_id
 FROM sizes s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) r ON r.doc_id = s.doc_id
+""",
+    "op11_exact_dedup": """
+WITH texts AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t,
+         row_number() OVER () AS row FROM documents
+)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST, row DESC) = 1 AS kept, sha256(t) AS text_sha256
+FROM texts WINDOW same AS (PARTITION BY t)
+""",
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, source, text, {" || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars"))} AS head,
+         regexp_replace(text, '\n', '', 'g') AS cut
+  FROM documents
+),
+digests AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) AS cut_leaf
+  FROM fields
+),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM digests
+),
+nodes(source, level, idx, n, digest) AS (
+  SELECT source, 0, idx, n, leaf FROM leaves
+  UNION ALL
+  SELECT source, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY source, level, idx // 3, n
+),
+subroots AS (
+  SELECT source, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1
+),
+tops(level, idx, n, digest) AS (
+  SELECT 0, place, n, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY level, idx // 3, n
+),
+low_steps AS (
+  SELECT a.source, a.level, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM nodes a JOIN nodes b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND a.idx // 3 = b.idx // 3 WHERE a.n > 1 GROUP BY ALL
+),
+top_steps AS (
+  SELECT a.level, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM tops a JOIN tops b ON a.level = b.level AND a.idx // 3 = b.idx // 3 WHERE a.n > 1 GROUP BY ALL
+),
+low(doc_id, leaf, source, level, idx, proof, folded) AS (
+  SELECT doc_id, leaf, source, 0, idx, '', CASE WHEN {_CRC32_SQL} % 2 = 0 THEN cut_leaf ELSE leaf END FROM leaves
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.source, w.level + 1, w.idx // 3, w.proof || s.l || s.r, sha256(s.l || w.folded || s.r)
+  FROM low w JOIN low_steps s ON s.source IS NOT DISTINCT FROM w.source AND s.level = w.level AND s.idx = w.idx
+),
+high(doc_id, leaf, subroot, level, idx, proof, folded) AS (
+  SELECT w.doc_id, w.leaf, u.digest, 0, u.place, w.proof, w.folded
+  FROM low w JOIN nodes t ON t.source IS NOT DISTINCT FROM w.source AND t.n = 1 AND t.level = w.level JOIN subroots u ON u.source IS NOT DISTINCT FROM w.source
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.subroot, w.level + 1, w.idx // 3, w.proof || s.l || s.r, sha256(s.l || w.folded || s.r)
+  FROM high w JOIN top_steps s ON s.level = w.level AND s.idx = w.idx
+)
+SELECT w.doc_id, w.leaf, w.subroot, t.digest AS root, sha256(w.proof) AS proof_sha256, w.folded AS folded_root, w.folded = t.digest AS verified
+FROM high w JOIN tops t ON t.n = 1 AND t.level = w.level
 """,
 }
