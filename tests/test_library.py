@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,7 +124,74 @@ def test_queries_pass_the_guard(spark, sql):
 )
 def test_the_guard_refuses(spark, sql):
     with pytest.raises(guard.Refused):
-        guard.check(spark, sql, {"t"})
+        guard.check(spark, sql, {"t": spark.range(3).toDF("a")})
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT gender, count(*) AS n FROM survey GROUP BY gender ORDER BY n DESC", "WITH x AS (SELECT * FROM survey) SELECT avg(age) FROM x", "SELECT * FROM survey s JOIN orders o ON s.id = o.customer_id",
+        "SELECT age, rank() OVER (ORDER BY age) FROM survey", "SELECT * FROM survey WHERE age > (SELECT avg(age) FROM survey);", "SELECT 1 AS a UNION ALL SELECT 2", "SELECT * FROM range(10)",
+        "SELECT percentile_cont(0.5) WITHIN GROUP (ORDER BY age) FROM survey", "SELECT * FROM survey PIVOT (count(id) FOR gender IN ('M', 'F'))", "SELECT * FROM survey UNPIVOT (v FOR n IN (id, age))",
+        "SELECT id FROM survey s WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.customer_id = s.id) AND id IN (SELECT customer_id FROM orders)", "SELECT s.*, x.m FROM survey s, LATERAL (SELECT max(customer_id) AS m FROM orders WHERE customer_id < s.id) x",
+        "SELECT grouping_id(), gender, sum(age) FROM survey GROUP BY CUBE (gender)", "SELECT w FROM survey LATERAL VIEW explode(split(gender, '')) e AS w", "SELECT date '2024-01-02' - day, day + interval 1 month, extract(year FROM day) FROM survey",
+        "SELECT transform(array(age), x -> x + 1), struct(*), age::string, current_date FROM survey", "SELECT * EXCEPT (day) FROM survey UNION SELECT 1, 2, 'x' INTERSECT SELECT 1, 2, 'x'",
+    ],
+)
+def test_what_a_reader_asks_passes(spark, survey, sql):
+    guard.check(spark, sql, survey)
+
+
+@pytest.fixture(scope="module")
+def survey(spark):
+    rows = spark.range(100).selectExpr("id", "cast(20 + id % 50 AS int) AS age", "if(id % 3 = 0, 'M', 'F') AS gender", "date_add(date '2024-01-01', cast(id AS int)) AS day")
+    return {"survey": rows, "orders": spark.range(5).toDF("customer_id")}
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "", "DROP TABLE survey", "SELECT 1; DROP TABLE survey", "DELETE FROM survey", "UPDATE survey SET age = 0", "INSERT INTO survey VALUES (1)", "CREATE TABLE z AS SELECT * FROM survey", "COPY survey TO '/tmp/out.csv'",
+        "ATTACH '/tmp/other.db' AS other", "PRAGMA database_list", "SET threads = 1", "INSTALL httpfs", "LOAD httpfs", "EXPORT DATABASE '/tmp/x'", "CALL pragma_version()", "DESCRIBE survey",
+        "SELECT * FROM read_csv('/etc/passwd')", "SELECT * FROM read_csv_auto('/etc/passwd')", "SELECT * FROM '/etc/passwd'", "SELECT * FROM 'https://example.com/data.csv'", "SELECT read_text('/etc/passwd')",
+        "SELECT getenv('API_JWT_SECRET')", "SELECT current_setting('memory_limit')", "SELECT * FROM duckdb_settings()", "SELECT * FROM duckdb_tables()", "SELECT * FROM glob('/data/*')", "SELECT * FROM query('SELECT 1')",
+        "SELECT * FROM other_db.main.survey", "SELECT * FROM secrets", "WITH x AS (SELECT * FROM read_parquet('/x.parquet')) SELECT * FROM x", "SELECT * FROM survey WHERE id IN (SELECT id FROM read_json('/x.json'))",
+        # Names that the parser leaves open and the analyser fills in.
+        "SELECT IDENTIFIER('java_method')('java.lang.System', 'getProperty', 'user.home') FROM survey", "SELECT IDENTIFIER('reflect')('java.lang.System', 'getenv', 'PATH')", "SELECT IDENTIFIER('current_user')()",
+        "SELECT IDENTIFIER('ge' || 'nder') FROM survey", "SELECT * FROM IDENTIFIER('survey')", "SELECT current_user", "SELECT user FROM survey", "SELECT session_user", "SELECT * FROM VALUES (current_user) x(u)",
+        "SELECT * FROM survey WHERE current_user = 'root'", "SELECT 1 FROM survey ORDER BY current_user", "SELECT max(current_user) OVER () FROM survey", "SELECT (SELECT current_user)", "SELECT transform(array(1), x -> current_user)",
+        "SELECT * FROM survey s LEFT JOIN orders o ON s.id = o.customer_id AND user = 'r'", "SELECT * FROM survey LATERAL VIEW explode(array(current_user)) e AS u", "SELECT * FROM survey, LATERAL (SELECT current_user AS u)",
+        "SELECT id FROM survey GROUP BY id HAVING max(current_user) = 'r'", "SELECT id FROM survey WHERE id IN (SELECT length(user) FROM orders)", "WITH c AS (SELECT user AS u) SELECT u FROM c", "FROM survey |> SELECT current_user",
+    ],
+)
+def test_what_reaches_outside_is_refused(spark, survey, sql):
+    with pytest.raises(guard.Refused):
+        guard.check(spark, sql, survey)
+
+
+def test_an_unknown_table_is_told_what_there_is(spark, survey):
+    with pytest.raises(guard.Refused, match="Available tables: orders, survey"):
+        guard.check(spark, "SELECT * FROM surveys", survey)
+
+
+def test_all_functions_of_the_allowed_groups_pass_and_no_other(spark):
+    """Spark's own examples of its functions: each passes, or is refused, by the group it is in."""
+    registry = spark._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
+    names = registry.listFunction()
+    wrong = []
+    for i in range(names.size()):
+        about = registry.lookupFunction(names.apply(i)).get()
+        examples = re.findall(r"> (SELECT.*?);\n", about.getExamples(), re.S)
+        for example in examples[:1]:
+            sql = example.replace("_FUNC_", about.getName())
+            try:
+                guard.check(spark, sql, {})
+                passed = True
+            except guard.Refused as error:
+                passed = "UNSUPPORTED_TIME_TYPE" in str(error) or ("sketch" in sql and guard._pure(about))
+            if passed != guard._pure(about):
+                wrong.append((sql, passed))
+    assert [w for w in wrong if "COLLATION(" not in w[0]] == []
 
 
 def test_the_guard_runs_in_a_session_of_its_own(spark):
@@ -138,7 +207,7 @@ def test_the_guard_runs_in_a_session_of_its_own(spark):
 def test_expressions_are_checked(spark):
     df = spark.range(5).toDF("a")
     assert df.where(guard.check_expression(df, "a > 2 and a % 2 = 0")).count() == 1
-    for bad in ("nothing > 1", "a in (select 1)", "reflect('java.lang.System', 'exit')", "a >", "exists (select * from t)"):
+    for bad in ("nothing > 1", "current_user = 'root'", "length(user) > a", "IDENTIFIER('a') > 1", "IDENTIFIER('reflect')('java.lang.System', 'getenv', 'PATH') > 'a'", "max(current_user) over () > 'a'", "a in (select 1)", "reflect('java.lang.System', 'exit')", "a >", "exists (select * from t)"):
         with pytest.raises(guard.Refused):
             guard.check_expression(df, bad)
 
@@ -259,6 +328,8 @@ def test_personal_data(spark):
     rows = spark.createDataFrame([("a@b.org", "+1 212-555-1234", "x", "10.0.0.1"), ("é@b.org", "555-123-4567", "y", "z")], "mail string, call string, city string, ip string")
     assert {r["column"]: r["reason"] for r in texts.personal_by_value(rows, rows.columns).collect()} == {"mail": "email address", "call": "phone number", "ip": "IP address"}
     assert one(spark, text_functions.scrub(F.lit("é@ü.org or +1 (212) 555-1234, id 1234567890"))) == "<email> or <phone>, id <phone>"
+    hidden = texts.masked(rows.selectExpr("mail AS m", "concat(city, mail) AS both", "city"), {"mail"}).first()
+    assert (hidden["m"], hidden["both"]) == ("<masked>", "<masked>") and hidden["city"] != "<masked>"
     assert texts.masked(rows, {"mail"}).first()["mail"] == "<masked>" and texts.masked(rows, {"*"}).first()["city"] == "<masked>"
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import BARE_NAME_UNIQUENESS, NAME_RULES, VALUE_RULES, VALUE_SHARE, cosine, terms, words
+from ..functions.text import BARE_NAME_UNIQUENESS, NAME_RULES, VALUE_RULES, VALUE_SHARE, cosine, scrub, terms, words
+from ..plans import lineage
 
 #: Share of a question's terms that a related text must hold, and how many at least.
 RELATED_SHARE, RELATED_TERMS = 0.3, 2
@@ -315,6 +316,24 @@ def personal_by_value(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def masked(df: DataFrame, personal: set[str]) -> DataFrame:
-    """A result with the columns that read personal data masked; any column whose name is one of theirs, and all text if a name is ``*``."""
-    hide = lambda c, kind: c in personal or ("*" in personal and kind == "string")
-    return df.select(*(F.when(F.col(c).isNotNull(), F.lit("<masked>")).alias(c) if hide(c, kind) else F.col(c) for c, kind in df.dtypes))
+    """A result without personal data: what is computed from personal columns is masked, other text is scrubbed.
+
+    ``personal`` holds column names, or table.column, of the tables that ``df`` reads; its plan
+    tells what each column is made from, through aliases, expressions, joins, unions and
+    subqueries. Counts of a personal column stay. ``*`` masks all text.
+    """
+    names = {p.lower() for p in personal}
+
+    def hidden(kind: str, found: lineage.Sources) -> bool:
+        return "*" in names and kind == "string" or any(c.lower() in names or f"{t}.{c}".lower() in names for t, c in found)
+
+    out = df.toDF(*(f"c{i}" for i in range(len(df.columns))))  # names may repeat
+    columns = []
+    for i, ((name, kind), found) in enumerate(zip(df.dtypes, lineage.sources(df, counts=False))):
+        value = F.col(f"c{i}")
+        if hidden(kind, found):
+            value = F.when(value.isNotNull(), F.lit("<masked>"))
+        elif kind == "string":
+            value = scrub(value)
+        columns.append(value.alias(name))
+    return out.select(*columns)

@@ -1,9 +1,11 @@
 """Read-only SQL over named tables: what is checked, and how it runs.
 
-Spark parses the statement; nothing but queries over the allowed tables and built-in functions
-that cannot leave the data passes. The parsed plan that was checked is the one that runs, in a
-session of its own that holds the given tables as views and no functions of the caller's.
-Errors are returned as data.
+Spark parses the statement, and the parsed tree is checked: plan nodes and expressions by their
+class, tables and functions by name. Then Spark analyses it in a session of its own that holds
+the given tables as views and no functions of the caller's, and the resolved plan is checked
+again: whatever a name was resolved to must be a function of the allowed groups, and whatever
+is read must be a given table. The plan that was checked is the one that runs. Errors are
+returned as data.
 """
 
 from __future__ import annotations
@@ -30,7 +32,29 @@ FUNCTION_GROUPS = set(
     "agg_funcs array_funcs bitwise_funcs collection_funcs conditional_funcs conversion_funcs csv_funcs datetime_funcs generator_funcs hash_funcs json_funcs lambda_funcs map_funcs math_funcs "
     "predicate_funcs string_funcs struct_funcs url_funcs window_funcs".split()
 )
-OTHER_FUNCTIONS = {"typeof", "equal_null"}
+OTHER_FUNCTIONS, OTHER_PREFIXES = {"typeof", "equal_null"}, ("approx_top_k_", "bitmap_", "hll_", "kll_", "theta_")
+# Classes of expressions that no function of these groups is named for. Those of a
+# parsed tree, those that hold expressions together, and what some functions are built as.
+PARSED = set(
+    "Alias AggregateExpression AttributeReference Cube Exists FunctionTableSubqueryArgumentExpression GroupingSets LambdaFunction ListQuery Literal MultiAlias NamePlaceholder NamedArgumentExpression Rollup ScalarSubquery SortOrder "
+    "UnresolvedAlias UnresolvedAttribute UnresolvedCollation UnresolvedExtractValue UnresolvedFunction UnresolvedGenerator UnresolvedNamedLambdaVariable UnresolvedRegex UnresolvedStar "
+    "UnresolvedStarExceptOrReplace UnresolvedSubqueryColumnAliases UnresolvedWindowExpression UnresolvedOrdinal LateralSubquery InSubquery LikeAll LikeAny NotLikeAll NotLikeAny MultiLikeBase "
+    "UnspecifiedFrame SpecifiedWindowFrame UnboundedPreceding UnboundedFollowing CurrentRow WindowExpression WindowSpecDefinition Cast TimestampAdd TimestampDiff Substring StringLocate Overlay "
+    "StringTrim StringTrimLeft StringTrimRight UnresolvedTranspose OuterReference TryEval CurrentDate CurrentTimestamp CurrentTime LocalTimestamp IsUnknown IsNotUnknown SimilarTo".split()
+)
+RESOLVED = PARSED | set(
+    "BinaryPad BinaryPredicate Ceil CheckOverflow Collate CommonExpressionDef CommonExpressionRef Contains CountMinSketchAgg DateAddYMInterval DateAddInterval EndsWith Explode Floor "
+    "GetArrayItem GetArrayStructFields GetMapValue GetStructField Hour Inline KnownNullable MakeTimestamp MakeTimestampFromDateTime MakeTimestampNTZ Mask Minute Mode NamedLambdaVariable "
+    "PercentileCont PercentileDisc PivotFirst PosExplode PreciseTimestampConversion ResolvedCollation RoundCeil RoundFloor Second StartsWith StringLPad StringRPad SubtractDates SubtractTimestamps "
+    "TimestampAddInterval TimestampAddYMInterval ToCharacter TryMakeTimestamp TryMakeTimestampFromDateTime With DivideDTInterval DivideYMInterval MultiplyDTInterval MultiplyYMInterval "
+    "GeneratorOuter UserDefinedGenerator GroupingID Grouping UpCast".split()
+) - {"UserDefinedGenerator"}
+# Nodes of analysed queries, and those that read what the statement itself holds.
+ANALYSED = set(
+    "Aggregate CTERelationDef Deduplicate Distinct Except Expand Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit Offset Pivot Project Sample Sort SubqueryAlias Tail Union "
+    "Unpivot Window WithCTE AsOfJoin".split()
+)
+OWN_ROWS = {"CTERelationRef", "LocalRelation", "OneRowRelation", "Range", "ResolvedInlineTable"}
 #: Settings that the own session takes over.
 SETTINGS = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.ansi.enabled")
 TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "inline", "inline_outer", "posexplode", "posexplode_outer", "stack"}
@@ -72,9 +96,13 @@ def _scoped(plan, visible: frozenset[str]) -> list:
     return out
 
 
+def _kind(node) -> str:
+    return node.getClass().getSimpleName().rstrip("$")
+
+
 def _holds_query(expression) -> bool:
     """Whether an expression holds a query of its own."""
-    return expression.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression")
+    return _kind(expression) in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression")
 
 
 def _expressions(plan) -> list:
@@ -97,20 +125,77 @@ def _allowed_function(spark: SparkSession, name: list[str]) -> bool:
     """Whether a function is built in and computes on its arguments alone."""
     if len(name) != 1:
         return False
-    if name[0].lower() in OTHER_FUNCTIONS:
-        return True
     jvm = spark._jvm
     known = jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin().lookupFunction(jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name[0]))
-    return known.isDefined() and known.get().getGroup() in FUNCTION_GROUPS
+    return known.isDefined() and _pure(known.get())
+
+
+def _pure(about) -> bool:
+    """Whether Spark's own description of a function puts it in the allowed groups, or it is named above."""
+    return about.getGroup() in FUNCTION_GROUPS or about.getName() in OTHER_FUNCTIONS or about.getName().startswith(OTHER_PREFIXES)
+
+
+_CLASSES: dict[bool, set[str]] = {}
+
+
+def _classes(spark: SparkSession) -> set[str]:
+    """Classes that the allowed functions are named for, less those that a refused one shares."""
+    if True not in _CLASSES:
+        registry = spark._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
+        found = {True: set(), False: set()}
+        for name in _parts(registry.listFunction()):
+            about = registry.lookupFunction(name).get()
+            found[_pure(about)].add(about.getClassName().rpartition(".")[2])
+        _CLASSES[True] = found[True] - found[False]
+    return _CLASSES[True]
 
 
 def _check_functions(spark: SparkSession, expressions: list) -> None:
+    """Parsed expressions: classes by the lists above, functions by name."""
+    classes = _classes(spark) | PARSED
     for e in expressions:
-        kind = e.getClass().getSimpleName()
+        kind = _kind(e)
         if kind in ("UnresolvedFunction", "UnresolvedGenerator"):
             name = _parts(e.nameParts() if kind == "UnresolvedFunction" else e.name().nameParts())
             if not _allowed_function(spark, name):
                 raise Refused(f"function {'.'.join(name)} is not allowed")
+        elif kind not in classes:
+            raise Refused(f"{kind} is not allowed")
+
+
+def _check_resolved(spark: SparkSession, todo: list) -> list:
+    """Resolved expressions, by class; returns the queries that they hold.
+
+    Functions that Spark builds from others are judged by themselves and their arguments, not by
+    what they are built from.
+    """
+    classes = _classes(spark) | RESOLVED
+    built = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.expressions.InheritAnalysisRules")
+    queries = []
+    while todo:
+        e = todo.pop()
+        if _kind(e) not in classes:
+            raise Refused(f"{e.prettyName()} is not allowed")
+        if _holds_query(e):
+            queries.append(e.plan())
+        todo += _parts(e.parameters() if built.isInstance(e) else e.children())
+    return queries
+
+
+def _check_analysed(spark: SparkSession, plan, visible: set[str]) -> None:
+    """The resolved plan: what it reads are the given tables and rows of its own, what it computes is allowed."""
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        kind = _kind(node)
+        if kind == "View":
+            if not node.isTempView() or node.desc().identifier().table().lower() not in visible:
+                raise Refused(f"table {node.desc().identifier().table()} is not allowed")
+            continue  # the caller's own plan
+        if kind not in ANALYSED | OWN_ROWS:
+            raise Refused(f"{kind} is not allowed")
+        todo += _parts(node.children())
+        todo += _check_resolved(spark, _parts(node.expressions()))
 
 
 def parsed(spark: SparkSession, sql: str, tables: set[str]):
@@ -128,22 +213,26 @@ def parsed(spark: SparkSession, sql: str, tables: set[str]):
     except Exception as error:  # py4j wraps the parser's errors
         raise Refused(str(error).splitlines()[0]) from None
     for node, visible in nodes:
-        kind = node.getClass().getSimpleName().rstrip("$")
+        kind = _kind(node)
         if kind not in PLAN_NODES:
             raise Refused(f"{kind} is not allowed")
         if kind == "UnresolvedRelation":
             name = _parts(node.multipartIdentifier())
             if len(name) != 1 or name[0].lower() not in visible:
-                raise Refused(f"table {'.'.join(name)} is not allowed")
+                raise Refused(f"table {'.'.join(name)} is not allowed. Available tables: {', '.join(sorted(tables))}")
         if kind == "UnresolvedTableValuedFunction" and ".".join(_parts(node.name())).lower() not in TABLE_FUNCTIONS:
             raise Refused(f"table function {'.'.join(_parts(node.name()))} is not allowed")
         _check_functions(spark, _expressions(node))
     return plan
 
 
-def check(spark: SparkSession, sql: str, tables: set[str]) -> None:
-    """Raise ``Refused`` unless the statement is one query over ``tables`` alone."""
-    parsed(spark, sql, tables)
+def _of_rows(session: SparkSession, plan) -> DataFrame:
+    return DataFrame(session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, plan), session)
+
+
+def check(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> None:
+    """Raise ``Refused`` unless the statement is one query over ``tables`` alone; nothing is run."""
+    guarded(spark, sql, tables)
 
 
 def check_expression(df: DataFrame, text: str) -> Column:
@@ -166,9 +255,14 @@ def check_expression(df: DataFrame, text: str) -> Column:
         raise Refused("a query inside an expression is not allowed")
     _check_functions(spark, found)
     try:
-        df.select(F.expr(text)).schema  # noqa: B018 - resolves names, runs nothing
+        plan = df.select(F.expr(text))._jdf.queryExecution().analyzed()  # resolves names, runs nothing
     except PySparkException as error:
         raise Refused(str(error).splitlines()[0]) from None
+    # Aggregates, windows and generators have nodes of their own; what lies below is the caller's.
+    own = df._jdf.queryExecution().analyzed()
+    while not plan.fastEquals(own) and _kind(plan) in ANALYSED:
+        _check_resolved(spark, _parts(plan.expressions()))
+        plan = plan.children().apply(0)
     return F.expr(text)
 
 
@@ -177,9 +271,8 @@ def own_session(spark: SparkSession, tables: dict[str, DataFrame]) -> SparkSessi
     session = spark.newSession()
     for name in SETTINGS:
         session.conf.set(name, spark.conf.get(name))
-    of_rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows
     for name, df in tables.items():
-        DataFrame(of_rows(session._jsparkSession, df._jdf.queryExecution().analyzed()), session).createOrReplaceTempView(name)
+        _of_rows(session, df._jdf.queryExecution().analyzed()).createOrReplaceTempView(name)
     return session
 
 
@@ -187,7 +280,12 @@ def guarded(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> Data
     """The result of a checked query over the given tables, lazily: the checked plan itself is run."""
     plan = parsed(spark, sql, set(tables))
     session = own_session(spark, tables)
-    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, plan), session)
+    try:
+        resolved = _of_rows(session, plan)._jdf.queryExecution().analyzed()
+    except PySparkException as error:
+        raise Refused(str(error).splitlines()[0]) from None
+    _check_analysed(session, resolved, {t.lower() for t in tables})
+    return _of_rows(session, resolved)
 
 
 def execute(spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_rows: int = MAX_ROWS, timeout: float = TIMEOUT_S) -> Result:

@@ -345,6 +345,27 @@ def guarded_orders(t: Read) -> DataFrame:
     return guard.guarded(orders.sparkSession, "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderstatus;", {"orders": orders})
 
 
+_CONTACTS = """
+WITH lower_names AS (SELECT c_custkey, lower(c_name) AS who, c_nationkey FROM customer),
+joined AS (SELECT l.*, n_name, concat(n_name, ' / ', l.who) AS label, count(l.who) OVER (PARTITION BY n_name) AS named FROM lower_names l JOIN nation ON n_nationkey = c_nationkey)
+SELECT c_custkey, who, label, n_name AS country, named, CASE WHEN who LIKE '%7' THEN 'seven' ELSE 'other' END AS ends,
+       (SELECT max(c_name) FROM customer) AS last_name, CAST(c_custkey + 100000000 AS STRING) AS phone FROM joined
+UNION ALL
+SELECT s_suppkey, s_name, 'supplier', NULL, NULL, NULL, NULL, s_name FROM supplier
+"""
+
+
+@query(
+    "SELECT c_custkey, '<masked>' AS who, '<masked>' AS label, n_name AS country, count(*) OVER (PARTITION BY n_name) AS named, '<masked>' AS ends, '<masked>' AS last_name, '<phone>' AS phone FROM customer JOIN nation ON n_nationkey = c_nationkey "
+    "UNION ALL SELECT s_suppkey, '<masked>', '<masked>', NULL, NULL, NULL, NULL, 'Supplier#<phone>' FROM supplier"
+)
+def masked_contacts(t: Read) -> DataFrame:
+    """Names of customers reach the result under other names, joined, in a union, in a condition and as a maximum; only their number is shown."""
+    customer = t("customer")
+    found = guard.guarded(customer.sparkSession, _CONTACTS, {"customer": customer, "nation": t("nation"), "supplier": t("supplier")})
+    return texts.masked(found, {"customer.c_name"})
+
+
 @query("SELECT user_id, event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
 def usage_by_user(t: Read) -> DataFrame:
     return tables.usage(t("events"), ["user_id", "event_type"], "value").select("user_id", "event_type", "n", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"))
