@@ -1,7 +1,7 @@
 """Exact duplicates by deterministic block naming: equal texts, and only those, get one name.
 
 A text's bytes are cut into blocks of fixed size. All distinct blocks are sorted, and a block's
-name is its place there; then neighbouring names are paired, the distinct pairs are sorted and
+name is its place there, by its first bytes, a hash and all bytes; then neighbouring names are paired, the distinct pairs are sorted and
 named likewise, and so on until a text has a single name. Names are places in a sort, never
 hashes, so they cannot collide.
 
@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, pieces, utf8
@@ -43,11 +43,12 @@ _BLOCK_ROWS = "chunk long, local int, block binary"
 _PAIR_ROWS = "chunk long, local int, first long, second long"
 
 
-def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _named(rows: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
     """Sort distinct blocks or pairs; chunk, local, name. ``rows`` are to be read from files.
 
-    Equal keys are in one range, where names count up; a range has its own names, above those
-    of the ranges before it.
+    They are sorted by ``order``, if there is one, then by their keys; ranges are cut by the
+    former alone. Equal keys are in one range, where names count up; a range has its own names,
+    above those of the ranges before it.
     """
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +66,8 @@ def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
             rank = int(ranks[-1])
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("local"), pa.array(base + ranks)], names=["chunk", "local", "name"])
 
-    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    cut = order or [F.col(k) for k in keys]
+    placed = rows.repartitionByRange(*cut).sortWithinPartitions(*cut, *(keys if order else []))
     return placed.mapInArrow(name, "chunk long, local int, name long")
 
 
@@ -173,7 +175,9 @@ def same_texts(
     cut = materialize(_cut(docs, id_col, text_col, normalise, block_bytes), "blocks")
     texts = cut.where("row IS NOT NULL")
     pending = texts.select("chunk", "row", "names")
-    names = _named(cut.where("local IS NOT NULL").select("chunk", "local", "block"), ["block"])
+    # Spark looks at a sample of what it cuts ranges by on the driver: a few bytes of each block, not all.
+    by_start = [F.substring("block", 1, 8), F.xxhash64("block")]
+    names = _named(cut.where("local IS NOT NULL").select("chunk", "local", "block"), ["block"], by_start)
     finished, level = None, 0
     while True:
         step = materialize(_paired(pending, names), "pairs")
