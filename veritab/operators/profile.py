@@ -156,17 +156,20 @@ def date_profile(df: DataFrame, column: str) -> DataFrame:
     span = df.agg(F.min(c.cast("date")).alias("first"), F.max(c.cast("date")).alias("last"), has_time.alias("has_time"))
     gap = modal_gap(df, column).agg(F.min("gap").alias("gap"))  # one row, also without gaps
     both = span.crossJoin(F.broadcast(gap)).withColumn("granularity", granularity(F.col("gap"), F.col("has_time")))
-    days = F.datediff("last", "first")
-    by_span = F.when(days > 20 * 366, 4).when(days <= 92, 0).when(days <= 731, 1).otherwise(2)
-    by_data = F.when(F.col("granularity") == "weekly", 1).when(F.col("granularity") == "monthly", 2).when(F.col("granularity") == "quarterly", 3).when(F.col("granularity") == "yearly", 4).otherwise(0)
     counts = F.array(*(period_number(F.col("last"), p) - period_number(F.col("first"), p) + 1 for p in PERIODS))
-    start = F.greatest(by_span, by_data)
-    # Of the periods from there on the first with few enough counts, the year in any case.
-    fits = F.filter(F.sequence(start, F.lit(4)), lambda i: (F.element_at(counts, i + 1) <= MAX_PERIODS) | (i == 4))
-    name = F.element_at(F.array(*map(F.lit, PERIODS)), F.element_at(fits, 1) + 1)
+    name = F.element_at(F.array(*map(F.lit, PERIODS)), period_choice(F.datediff("last", "first"), F.col("granularity"), counts) + 1)
     return both.select("first", "last", F.when(F.col("first").isNotNull(), F.col("granularity")).alias("granularity"), F.when(F.col("first").isNotNull(), name).alias("period"))
 
 
+def period_choice(days: Column, grain: Column, counts: Column) -> Column:
+    """The place in ``PERIODS`` of the period to count by; ``counts`` has the number of each in the span."""
+    by_span = F.when(days > 20 * 366, 4).when(days <= 92, 0).when(days <= 731, 1).otherwise(2)
+    by_data = F.when(grain == "weekly", 1).when(grain == "monthly", 2).when(grain == "quarterly", 3).when(grain == "yearly", 4).otherwise(0)
+    # Of the periods from there on the first with few enough counts, the year in any case.
+    fits = F.filter(F.sequence(F.greatest(by_span, by_data), F.lit(4)), lambda i: (F.element_at(counts, i + 1) <= MAX_PERIODS) | (i == 4))
+    return F.element_at(fits, 1)
+
+
 def period_number(day: Column, period: str) -> Column:
     """Whole periods since a fixed day, so that differences count periods."""
     if period in ("day", "week"):
@@ -252,7 +255,7 @@ def chunk_medians(df: DataFrame, column: str, position: str, chunks: int = 10) -
     chunk = F.when(place < longer * (size + 1), F.floor(place / (size + 1))).otherwise(longer + F.floor((place - longer * (size + 1)) / F.greatest(size, F.lit(1)))) + 1
     cut = placed.crossJoin(F.broadcast(total)).select(chunk.cast("int").alias("chunk"), "x", "position")
     firsts = cut.groupBy("chunk").agg(F.count("*").alias("rows"), F.min("position").alias("first_position"))
-    medians = quantiles(cut, "chunk", "x", [0.5], few=True).select("chunk", F.col("q")[0].alias("median"))
+    medians = quantiles(cut, "chunk", "x", [0.5]).select("chunk", F.col("q")[0].alias("median"))
     return firsts.join(F.broadcast(medians), "chunk")
 
 
@@ -262,23 +265,30 @@ UNIT_SHIFT_ROWS, UNIT_SHIFT_RATIO, UNIT_SHIFT_WITHIN = 300, 2.0, 1.3
 def unit_shift(df: DataFrame, column: str, position: str, chunks: int = 10) -> DataFrame:
     """A lasting jump of scale partway through a file, such as from kg to lb: from_position, ratio, median_before, median_after.
 
-    Chunk medians must have one sign, differ by ``UNIT_SHIFT_RATIO`` across the jump, and by
+    See ``shifts``; no row if there is none.
+    """
+    return shifts(chunk_medians(df, column, position, chunks).withColumn("by", F.lit(0)), "by").drop("by")
+
+
+def shifts(medians: DataFrame, by: str) -> DataFrame:
+    """Lasting jumps among chunk medians (by, chunk, rows, first_position, median): by, from_position, ratio, median_before, median_after.
+
+    Medians must have one sign, differ by ``UNIT_SHIFT_RATIO`` across the jump, and by
     ``UNIT_SHIFT_WITHIN`` at most on each side, of two chunks or more. The strongest jump is
     given, the first of equal ones; no row if there is none or under ``UNIT_SHIFT_ROWS`` values.
     """
-    found = chunk_medians(df, column, position, chunks)
-    listed = found.agg(F.sort_array(F.collect_list(F.struct("chunk", "median", "first_position"))).alias("c"), F.sum("rows").alias("n"))  # as many as chunks
+    listed = medians.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("chunk", "median", "first_position"))).alias("c"), F.sum("rows").alias("n"))  # as many as chunks
     m = F.transform("c", lambda x: x["median"])
     one_sign = F.forall(m, lambda x: x > 0) | F.forall(m, lambda x: x < 0)
-    usable = listed.where((F.col("n") >= UNIT_SHIFT_ROWS) & (F.size("c") >= 4) & one_sign).select("c", m.alias("m"), F.explode(F.sequence(F.lit(2), F.size("c") - 2)).alias("k"))
+    usable = listed.where((F.col("n") >= UNIT_SHIFT_ROWS) & (F.size("c") >= 4) & one_sign).select(by, "c", m.alias("m"), F.explode(F.sequence(F.lit(2), F.size("c") - 2)).alias("k"))
     half = lambda a: F.expr(f"(element_at(array_sort({a}), cast((size({a}) + 1) div 2 as int)) + element_at(array_sort({a}), cast(size({a}) div 2 + 1 as int))) / 2")
     sides = usable.withColumns({"a": F.slice("m", F.lit(1), F.col("k")), "b": F.slice("m", F.col("k") + 1, F.size("m") - F.col("k"))})
     spread = lambda s: F.greatest(F.abs(F.array_max(s)), F.abs(F.array_min(s))) / F.least(F.abs(F.array_max(s)), F.abs(F.array_min(s)))
     judged = sides.withColumns({"median_before": half("a"), "median_after": half("b"), "within": F.greatest(spread("a"), spread("b"))})
     judged = judged.withColumn("ratio", F.col("median_after") / F.col("median_before")).withColumn("jump", F.greatest("ratio", 1 / F.col("ratio")))
     fits = judged.where((F.col("jump") >= UNIT_SHIFT_RATIO) & (F.col("within") <= UNIT_SHIFT_WITHIN))
-    from_position = F.element_at("c", F.col("k") + 1)["first_position"].alias("from_position")
-    return fits.orderBy(F.desc("jump"), "k").limit(1).select(from_position, "ratio", "median_before", "median_after")
+    best = fits.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("jump"), "k"))).where("place = 1")
+    return best.select(by, F.element_at("c", F.col("k") + 1)["first_position"].alias("from_position"), "ratio", "median_before", "median_after")
 
 
 def match_rates(df: DataFrame, column: str, patterns: dict[str, str]) -> DataFrame:

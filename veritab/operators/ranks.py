@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import written
+
 #: Ranges of values that may be summed in parallel, at least, and distinct values that make one worth while.
 RANGES, RANGE_ROWS = 64, 50_000
-#: Groups whose cuts and totals are broadcast; with more, groups are small enough to be sorted.
-MAX_GROUPS = 2000
 _ACCURACY = 10_000
 
 
@@ -58,38 +58,53 @@ def ranked_counts(counts: DataFrame, value: str, ties: str) -> DataFrame:
     return found.withColumn("rank", F.col(f"before_{ties}") + (F.col(ties) + 1) / 2.0).drop(f"before_{ties}")
 
 
-def quantiles(rows: DataFrame, by: str, value: str, fractions: list[float], few: bool = False) -> DataFrame:
-    """Exact interpolated quantiles of finite values: by, n, q (an array in the order of ``fractions``).
+def in_order(counts: DataFrame, by: str, value: str, *more: str) -> DataFrame:
+    """Counts of values (by, value, n) in order, with their range: by, value, n, more, range, before, total.
+
+    Rows are cut into ranges of (by, value), whatever the number of keys and however large one
+    is; ``before`` is the sum of n over the ranges of a key before this one, ``total`` that of
+    the key. They are written, so that ranges stay as they are.
+    """
+    placed = counts.select(by, value, "n", *more).repartitionByRange(by, value)
+    placed = written(placed.withColumn("range", F.spark_partition_id()), "ranges")
+    sums = placed.groupBy(by, "range").agg(F.sum("n").alias("sum"))
+    of_key = Window.partitionBy(by)  # a row for each range
+    before = F.sum("sum").over(of_key.orderBy("range")) - F.col("sum")
+    return placed.join(sums.select(by, "range", before.alias("before"), "sum", F.sum("sum").over(of_key).alias("total")), [by, "range"])
+
+
+def quantiles_of_counts(counts: DataFrame, by: str, value: str, fractions: list[float]) -> DataFrame:
+    """Exact interpolated quantiles from counts of values (by, value, n): by, n, q (an array in the order of ``fractions``).
 
-    Rows with a null key or value are not counted. Only the ranges that hold a wanted place are
-    summed value by value. ``few`` says that there are at most ``MAX_GROUPS`` keys; else they are counted.
+    Only the ranges that hold a wanted place are summed value by value.
     """
-    counts = rows.select(F.col(by).alias("by"), finite(F.col(value)).alias("value")).where("by is not null and value is not null").groupBy("by", "value").agg(F.count("*").alias("n"))
-    n = ranges(rows)
-    cuts = counts.groupBy("by").agg(F.percentile_approx("value", [i / n for i in range(1, n)], _ACCURACY).alias("cuts"))
-    if not few and rows.select(by).distinct().limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
-        grouped = counts.groupBy("by").agg(F.sum("n").alias("n"), F.percentile("value", F.array(*map(F.lit, fractions)), F.col("n")).alias("q"))
-        return grouped.withColumnRenamed("by", by)
-    placed = counts.join(F.broadcast(cuts), "by").select("by", "value", "n", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("range"))
-    totals = placed.groupBy("by", "range").agg(F.sum("n").alias("total"))
-    of_key = Window.partitionBy("by")  # a row for each range
-    bounds = totals.select("by", "range", (F.sum("total").over(of_key.orderBy("range")) - F.col("total")).alias("before"), "total", F.sum("total").over(of_key).alias("all"))
-    places = F.array(*(f((F.col("all") - 1) * F.lit(q)).cast("long") for q in fractions for f in (F.floor, F.ceil)))
-    wanted = bounds.withColumn("places", F.filter(F.array_distinct(places), lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("total")))).where("size(places) > 0")
-    end = F.col("before") + F.sum("n").over(Window.partitionBy("by", "range").orderBy("value"))
-    inside = placed.join(F.broadcast(wanted), ["by", "range"]).withColumn("end", end)
-    hit = inside.select("by", "all", "value", F.explode(F.filter("places", lambda p: (p >= F.col("end") - F.col("n")) & (p < F.col("end")))).alias("place"))
-    found = hit.groupBy("by", "all").agg(F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("at"))
+    placed = in_order(counts, by, value)
+    places = F.array_distinct(F.array(*(f((F.col("total") - 1) * F.lit(q)).cast("long") for q in fractions for f in (F.floor, F.ceil))))
+    inside = F.filter(places, lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("sum")))
+    wanted = placed.withColumn("places", inside).where("size(places) > 0")
+    wanted = wanted.withColumn("end", F.col("before") + F.sum("n").over(Window.partitionBy(by, "range").orderBy(value)))
+    hit = wanted.select(by, "total", value, F.explode(F.filter("places", lambda p: (p >= F.col("end") - F.col("n")) & (p < F.col("end")))).alias("place"))
+    found = hit.groupBy(by, "total").agg(F.map_from_entries(F.collect_list(F.struct("place", value))).alias("at"))  # two places for each fraction
 
     def pick(q: float) -> Column:
-        place = (F.col("all") - 1) * F.lit(q)
+        place = (F.col("total") - 1) * F.lit(q)
         low, high = (F.element_at("at", f(place).cast("long")) for f in (F.floor, F.ceil))
         return low + (place - F.floor(place)) * (high - low)
 
-    return found.select(F.col("by").alias(by), F.col("all").alias("n"), F.array(*map(pick, fractions)).alias("q"))
+    return found.select(by, F.col("total").alias("n"), F.array(*map(pick, fractions)).alias("q"))
+
+
+def quantiles(rows: DataFrame, by: str, value: str, fractions: list[float]) -> DataFrame:
+    """Exact interpolated quantiles of finite values: by, n, q (an array in the order of ``fractions``).
+
+    Rows with a null key or value are not counted.
+    """
+    read = rows.select(F.col(by).alias("by"), finite(F.col(value)).alias("value")).where("by is not null and value is not null")
+    counts = read.groupBy("by", "value").agg(F.count("*").alias("n"))
+    return quantiles_of_counts(counts, "by", "value", fractions).withColumnRenamed("by", by)
 
 
 def column_quantiles(df: DataFrame, columns: list[str], fractions: list[float]) -> DataFrame:
     """Exact quantiles of several columns in one go: column, n, q; columns without values give no row."""
     values = F.array(*(F.struct(F.lit(c).alias("column"), finite(F.col(f"`{c}`")).alias("value")) for c in columns))
-    return quantiles(df.select(F.explode(values).alias("p")).select("p.*"), "column", "value", fractions, few=len(columns) <= MAX_GROUPS)
+    return quantiles(df.select(F.explode(values).alias("p")).select("p.*"), "column", "value", fractions)

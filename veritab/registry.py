@@ -647,3 +647,5 @@ def sampled_orders(t: Read) -> DataFrame:
 
 
 query()(sampled_orders)
+
+from . import registry_profiles  # noqa: E402, F401 - registers its queries here
