@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.quotes import normal, normalise, quote_score
 from ..functions.text import BARE_NAME_UNIQUENESS, NAME_RULES, VALUE_RULES, VALUE_SHARE, cosine, scrub, terms, words
 from ..plans import lineage
 
@@ -46,33 +47,15 @@ def passages(texts: DataFrame, id_col: str, text: str, terms: list[str], k: int
     return scored.withColumn("place", place).where(F.col("place") <= k).select(id_col, "line", "hits")
 
 
-def normal(text: Column) -> Column:
-    """Text for comparing quotes: quotes and hyphens gone, white space as one space, lower case, no dots at the ends."""
-    folded = F.lower(F.translate(text, "‐‑‒–—―−\u00a0\u00ad", "------- "))
-    joined = F.regexp_replace(F.regexp_replace(folded, r"-\s+", ""), "[-\"'`‘’‚‛“”„‟]", "")
-    return F.trim(F.regexp_replace(joined, r"\s+", " "), F.lit(" ."))
+#: Similarity of a quote that counts as found.
+FUZZY = 0.9
 
 
-#: Similarity of a quote that counts as found, and characters that it then needs.
-FUZZY, FUZZY_CHARS = 0.9, 20
-
-
-def quote_score(quote: Column, passage: Column) -> Column:
-    """1 if a passage holds a quote, else the similarity of the quote to the nearest stretch of words as long.
+def quoted(quotes: DataFrame, sources: DataFrame, key: str, quote: str, text: str) -> DataFrame:
+    """Quotes with how well their source, found by ``key``, holds them: score, exact, verified.
 
-    Similarity is 1 - edit distance over the longer length, three digits; 0 for quotes under
-    ``FUZZY_CHARS`` characters and for passages too short.
+    See ``quotes.similarity``. A quote without a source scores 0.
     """
-    q, p = normal(quote), normal(passage)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(p), F.lit(1))), lambda i: (i == 1) | (F.substr(p, i - 1, F.lit(1)) == " "))
-    windows = F.filter(F.transform(starts, lambda i: F.substr(p, i, F.length(q))), lambda w: F.length(w) * 10 >= F.length(q) * 8)
-    near = F.array_max(F.transform(windows, lambda w: 1 - F.levenshtein(q, w) / F.greatest(F.length(q), F.length(w))))
-    fuzzy = F.when((F.length(q) >= FUZZY_CHARS) & (F.length(p) * 10 >= F.length(q) * 8), F.round(F.coalesce(near, F.lit(0.0)), 3)).otherwise(0.0)
-    return F.when(q.isNull() | p.isNull() | (q == ""), 0.0).when(F.contains(p, q), 1.0).otherwise(fuzzy)
-
-
-def quoted(quotes: DataFrame, sources: DataFrame, key: str, quote: str, text: str) -> DataFrame:
-    """Quotes with how well their source, found by ``key``, holds them: score, exact, verified."""
     found = sources.select(key, F.col(text).alias("__source"))
     met = quotes.join(found, key, "left").withColumn("score", quote_score(F.col(quote), F.col("__source"))).drop("__source")
     return met.withColumns({"exact": F.col("score") == 1, "verified": F.col("score") >= FUZZY})
@@ -192,7 +175,7 @@ def coerce(value: Column, kind: str, options: list[str] | None = None) -> Column
         out = F.when(found == "", value).otherwise(F.regexp_replace(found, ",", "").cast("double").cast("string"))
         why = problem(value.isNotNull() & (found == ""), F.concat(F.lit('"'), value, F.lit('" is not a number')))
     elif kind == "category":
-        match = F.try_element_at(F.filter(F.array(*map(F.lit, options)), lambda o: normal(o) == normal(value)), F.lit(1)) if options else F.lit(None).cast("string")
+        match = F.coalesce(*(F.when(normal(value) == normalise(o), F.lit(o)) for o in options)) if options else F.lit(None).cast("string")
         out = F.coalesce(match, value)
         why = problem(value.isNotNull() & match.isNull(), F.concat(F.lit('"'), value, F.lit('" is not one of the options')))
     return F.struct(out.alias("value"), why.alias("problem"))
