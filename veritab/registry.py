@@ -644,23 +644,23 @@ def retrieve_columns_orders(t: Read) -> DataFrame:
 _PLAIN = "trim(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' ', 'g'))"
 _QUOTED = {
     "exact": "upper(left(p, 60))", "ligature": "replace(replace(left(p, 80), 'fi', 'ﬁ'), 'ff', 'ﬀ')", "short": "'#' || left(p, 10)", "long": "p || ' ' || p || ' and so on and on'",
-    "edited": "left(p, 24) || '#' || substr(p, 26, 25)",
+    "edited": "left(p, 49) || '#'",
 }
 
 
 # Of a quote with one character that no passage has, all others match at most; a stretch has 5 more, unless the passage ends.
 @query(
-    f"""WITH d AS (SELECT doc_id, left(p, 400) AS p FROM (SELECT doc_id, {_PLAIN} AS p FROM documents)),
+    f"""WITH d AS (SELECT doc_id, trim(left(p, 400)) AS p FROM (SELECT doc_id, {_PLAIN} AS p FROM documents)),
 q AS ({" UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, p, trim(lower(replace(replace({e}, 'ﬁ', 'fi'), 'ﬀ', 'ff'))) AS q FROM d" for k, e in _QUOTED.items())}),
 ends AS (SELECT doc_id, kind, min(length(p) - r.range) AS rest FROM q, range(400) r WHERE kind = 'edited' AND length(p) >= 60 AND r.range < length(p) AND (r.range = 0 OR substr(p, r.range, 1) = ' ')
-  AND starts_with(substr(p, r.range + 1), left(q, 24)) AND substr(p, r.range + 26, 25) = substr(q, 26) GROUP BY 1, 2)
+  AND starts_with(substr(p, r.range + 1), left(q, 49)) GROUP BY 1, 2)
 SELECT doc_id, kind, CASE WHEN q = '' THEN 0 WHEN contains(trim(p), q) THEN 1 WHEN kind <> 'edited' THEN 0 ELSE round(2.0 * (length(q) - 1) / (length(q) + least(length(q) + 5, rest)), 3) END AS score
 FROM q LEFT JOIN ends USING (doc_id, kind) WHERE kind <> 'edited' OR length(p) >= 60"""
 )
 def quotes_documents(t: Read) -> DataFrame:
     """Quotes planted in every document: in capitals, with ligatures, with a wrong letter, too short and too long."""
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+", " "))
-    docs = t("documents").select("doc_id", F.substring(plain, 1, 400).alias("p"))
+    docs = t("documents").select("doc_id", F.trim(F.substring(plain, 1, 400)).alias("p"))
     kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.expr(e).alias("quote")) for k, e in _QUOTED.items()))
     asked = docs.select("doc_id", F.explode(kinds).alias("q"), F.length("p").alias("size")).where("q.kind <> 'edited' OR size >= 60").select("doc_id", "q.*")
     return texts.quoted(asked, docs, "doc_id", "quote", "p").select("doc_id", "kind", "score")

@@ -72,7 +72,7 @@ def facts_sql(columns: dict[str, str], table: str) -> str:
         if kind in ("number+", "text", "boolean"):
             have |= _category_sql(c, table)
         x = _FINITE.format(c=c) if kind.startswith("number") else "NULL"
-        listed = ", ".join(f'round({have.get(f, "NULL")}, 6) AS "{f}"' if t == "DOUBLE" and f in have else f'CAST({have.get(f, "NULL")} AS {t}) AS "{f}"' for f, t in _FACTS.items())
+        listed = ", ".join(f'round({have.get(f, "NULL")}, 5) + 0 AS "{f}"' if t == "DOUBLE" and f in have else f'CAST({have.get(f, "NULL")} AS {t}) AS "{f}"' for f, t in _FACTS.items())
         rows.append(f"SELECT '{c}' AS \"column\", {listed} FROM (SELECT *, {x} AS x FROM {table})")
     return " UNION ALL ".join(rows)
 
@@ -83,7 +83,7 @@ def flat(profile: DataFrame) -> DataFrame:
     codes = F.transform("sentinels", lambda r: F.concat_ws(":", r["code"].cast("string"), r["n"].cast("string")))
     listed = {"bins": F.concat_ws(" ", F.transform("histogram", lambda n: n.cast("string"))), "sentinels": F.concat_ws(" ", codes), "top": F.concat_ws("|", pairs("top"))}
     listed = {k: F.when(F.col("histogram" if k != "top" else "top").isNotNull(), v) for k, v in listed.items()}
-    return rounded(profile.select("column", *(listed.get(f, F.col(f"`{f}`").cast("string") if f in ("first", "last") else F.col(f"`{f}`")).alias(f) for f in _FACTS)))
+    return rounded(profile.select("column", *(listed.get(f, F.col(f"`{f}`").cast("string") if f in ("first", "last") else F.col(f"`{f}`")).alias(f) for f in _FACTS)), 5)
 
 
 _LINEITEM = dict.fromkeys("l_orderkey l_partkey l_suppkey l_extendedprice".split(), "number") | dict.fromkeys("l_linenumber l_quantity l_discount l_tax".split(), "number+")
