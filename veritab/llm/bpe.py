@@ -31,11 +31,11 @@ from .common import Numbers, held, pieces, strings
 
 #: Distinct words and chunks that a worker remembers before it forgets the rare ones, and their
 #: characters, so that their memory is bounded too.
-MAX_REMEMBERED, MAX_CHARACTERS = 80_000, 2_000_000
+MAX_REMEMBERED, MAX_CHARACTERS = 160_000, 4_000_000
 #: New words that the library gets in one string.
 TOGETHER = 500
 #: Bytes of text that are encoded at once.
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 19
 _NO_RANK = int(np.iinfo(np.int64).max)
 _NO_MERGE = (_NO_RANK, -1)
 # Letters and digits up to U+017F whose lower-casing and classes are the same everywhere.
@@ -323,9 +323,10 @@ class WordEncoder:
             self.words[word] = v.merge_exactly(word) if wrong else ids
         self.stats["repaired"] += int(bad.sum())
 
-    def _learn_chunks(self, chunks: list[str]) -> None:
+    def _learn_chunks(self, chunks: list[str], single: bool) -> None:
+        """Learn the ids of new chunks; ``single`` says that each is one word as it stands."""
         if self.by_library:
-            self._remember(*self._by_library(chunks))
+            self._remember(*self._by_library(chunks, single))
             return
         split = [self._split(c) for c in chunks]
         if len(self.words) > MAX_REMEMBERED // 8:
@@ -337,11 +338,10 @@ class WordEncoder:
         lengths = np.array([len(i) for i in ids], dtype=np.int64)
         self._remember(lengths, np.array([i for x in ids for i in x], dtype=np.uint32))
 
-    def _by_library(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _by_library(self, chunks: list[str], single: bool) -> tuple[np.ndarray, np.ndarray]:
         """Lengths and ids of chunks from the library; a single word's ids end where a word ends."""
         v = self.vocabulary
-        single = np.fromiter((c == c.lower() and bool(_PLAIN.fullmatch(c)) and bool(_WORDS.fullmatch(c)) for c in chunks), bool, len(chunks))
-        if not single.all():
+        if not single and not all(c == c.lower() and _PLAIN.fullmatch(c) and _WORDS.fullmatch(c) for c in chunks):
             made = v.library.encode(chunks, is_pretokenized=True, add_special_tokens=False)
             return np.bincount(np.array(made.word_ids, dtype=np.int64), minlength=len(chunks)), np.array(made.ids, dtype=np.uint32)
         made = v.library.encode_batch_fast([" ".join(chunks[i : i + TOGETHER]) for i in range(0, len(chunks), TOGETHER)], add_special_tokens=False)
@@ -355,23 +355,24 @@ class WordEncoder:
         self.uses = np.append(self.uses, np.zeros_like(lengths))
         self.pool = np.append(self.pool, ids)
 
-    def _pieces(self, text: str) -> list[str]:
-        """The words of a plain text, else its chunks."""
+    def _pieces(self, text: str) -> tuple[list[str], bool]:
+        """The words of a plain text, else its chunks; and whether they are words."""
         if _PLAIN_TEXT.fullmatch(text) and not (self.vocabulary.cut is not None and self.vocabulary.cut.search(text)):
-            return _WORDS.findall(text.lower())
-        return _NOT_SPACE.findall(text) if any(c in text for c in _ODD_SPACE) else text.split()
+            return _WORDS.findall(text.lower()), True
+        return (_NOT_SPACE.findall(text) if any(c in text for c in _ODD_SPACE) else text.split()), False
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and where each text's ids end."""
         if len(self.chunks) > MAX_REMEMBERED or self.characters > MAX_CHARACTERS:
             self._forget_rare()
-        split = [self._pieces(t) for t in texts]
+        cut = [self._pieces(t) for t in texts]
+        split, plain = [words for words, _ in cut], all(single for _, single in cut)
         chunks = list(chain.from_iterable(split))
         at = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
         if self.chunks.fresh:
             fresh, self.chunks.fresh = self.chunks.fresh, []
             self.characters += sum(map(len, fresh))
-            self._learn_chunks(fresh)
+            self._learn_chunks(fresh, plain)
         counts = np.fromiter(map(len, split), np.int64, len(split))
         self.uses += np.bincount(at, minlength=len(self.uses))
         lengths = self.lengths[at]
