@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.shared import written
-from . import insights, stats
+from . import stats
 from .ranks import finite
 
 #: Distinct pairs that a value must have to be a range of its own.
@@ -253,6 +253,8 @@ def within_strata(results: DataFrame) -> DataFrame:
     """
     crude = results.where("stratum IS NULL AND effect IS NOT NULL").select("test", "x", "y", F.col("effect").alias("crude"))
     strata = results.where("stratum IS NOT NULL").join(crude, ["test", "x", "y"])
+    from . import insights  # which uses this module
+
     used = (F.col("n") >= insights.STRATUM_ROWS) & F.col("effect").isNotNull()
     size = F.when(used, F.abs("effect"))
     other = F.coalesce(F.bool_or(used & (F.col("effect") * F.col("crude") < 0) & (F.abs("effect") >= insights.REVERSING)), F.lit(False))

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import stats
+from . import pairs, stats
 from .stats import contingency, effect_magnitude, rank_score
 
 # Thresholds of the column and table rules.
@@ -88,16 +87,10 @@ def pairwise_associations(df: DataFrame, numeric: list[str], categories: list[st
     """Associations of all pairs of columns over all rows: a, b, measure, value, n.
 
     Spearman for two numbers, Cramer's V for two categories (50 values at most), eta for a
-    category and a number; the ``keep`` strongest of at least ``least``.
+    category and a number; the ``keep`` strongest of at least ``least``. The table is read as
+    often for many columns as for few (see ``pairs``).
     """
-    def row(found: DataFrame, a: str, b: str, measure: str, value: str) -> DataFrame:
-        return found.select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(measure).alias("measure"), F.col(value).alias("value"), F.col("n").cast("long").alias("n"))
-
-    parts = [row(stats.spearman(df, a, b), a, b, "spearman", "rho") for a, b in combinations(numeric, 2)]
-    parts += [row(stats.chi_square(df, a, b, stats.PAIR_ROWS), a, b, "cramers_v", "v") for a, b in combinations(categories, 2)]
-    parts += [row(stats.correlation_ratio(df, c, x), c, x, "eta", "eta") for c in categories for x in numeric if c != x]
-    if not parts:
-        return df.sparkSession.createDataFrame([], "a string, b string, measure string, value double, n long")
+    parts = [pairs.rank_correlations(df, numeric), pairs.category_associations(df, categories), pairs.correlation_ratios(df, categories, numeric)]
     return strongest(reduce(DataFrame.union, parts).where("value is not null"), keep, least)
 
 
