@@ -403,6 +403,7 @@ def test_join_discovery(spark):
     column = lambda *a: combine.JoinColumn("t", *a)
     assert not combine.plausible(column("a", "integer", "identifier", 50, 1.0), column("b", "integer", "identifier", 50, 1.0))
     assert combine.plausible(column("a", "integer", "identifier", 50, 1.0), column("b", "integer", "categorical", 30, 0.1)) and not combine.plausible(column("a", "integer", "identifier", 50, 1.0), column("b", "integer", "categorical", 5, 0.1))
+    assert combine.find_joins({"customers": customers}).count() == 0 and combine.find_joins({"a": customers.limit(0), "b": orders.limit(0)}).count() == 0
     assert combine.names_match("a", "batch", "b", "batch") and not any(combine.names_match("a", n, "b", n) for n in ("id", "idx", "row", "no", "number"))
 
 
@@ -433,3 +434,16 @@ def test_reading_order(spark):
     df = spark.createDataFrame([(1, None), (2, 5), (3, 7)], "id int, score int")
     assert [r["id"] for r in records.reading_order(df, "score desc", "id").collect()] == [3, 2, 1]
     assert [r["id"] for r in records.reading_order(df, "score first").collect()] == [1, 2, 3]
+
+
+def test_values_are_indexed_once_for_all_pairs(spark):
+    long = "x" * 300
+    a = spark.createDataFrame([(1, "u", long), (2, "v", long), (None, "u", None)], "k int, t string, l string")
+    b = spark.createDataFrame([(2, "v", long, 1.5), (3, "w", "y", 2.5)], "k bigint, t string, l string, d double")
+    c = spark.createDataFrame([("2", "v")], "t string, l string")
+    columns, index = combine.value_index({"a": a, "b": b, "c": c})
+    assert [c[:2] for c in columns] == [("a", "k"), ("a", "t"), ("a", "l"), ("b", "k"), ("b", "t"), ("b", "l"), ("c", "t"), ("c", "l")]
+    assert index.where("col = 0 AND value IS NULL").first()["n"] == 1 and index.where("length(value) > 128").count() == 0
+    shared = {(r["a"], r["b"]): r["shared"] for r in combine.shared_values(index).collect()}
+    sets = [{"1", "2"}, {"u", "v"}, {long}, {"2", "3"}, {"v", "w"}, {long, "y"}, {"2"}, {"v"}]
+    assert shared == {(i, j): len(sets[i] & sets[j]) for i in range(8) for j in range(i + 1, 8) if sets[i] & sets[j]}

@@ -673,4 +673,4 @@ def sampled_orders(t: Read) -> DataFrame:
 
 query()(sampled_orders)
 
-from . import registry_profiles, registry_tests  # noqa: E402, F401 - they register their queries here
+from . import registry_joins, registry_profiles, registry_tests  # noqa: E402, F401 - they register their queries here
