@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .operators import combine
 from .registry import Read, query, rounded
@@ -42,3 +43,20 @@ def find_joins_all_tables(t: Read) -> DataFrame:
     """Joins among seven tables, from one index of all their values."""
     named = {table: t(table).selectExpr(*(f"{prefix}{c} AS {c}" for c in names.split())) for table, (prefix, names) in _COLUMNS.items()}
     return rounded(combine.find_joins(named))
+
+
+# A title that goes on with a word that no other has is nearest to itself, or to the first of its copies.
+@query(r"""
+WITH d AS (SELECT doc_id, trim(left(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' ', 'g')), 80)) AS p FROM documents),
+first AS (SELECT p, min(doc_id) AS right_id FROM d GROUP BY p)
+SELECT doc_id AS left_id, doc_id AS right_id, 1.0 AS similarity FROM d WHERE doc_id % 3 = 1
+UNION ALL
+SELECT doc_id, right_id, round(2.0 * length(p) / (2 * length(p) + 4), 6) FROM d JOIN first USING (p) WHERE doc_id % 3 <> 1 AND 2.0 * length(p) / (2 * length(p) + 4) >= 0.92
+""")
+def match_titles_documents(t: Read) -> DataFrame:
+    """The beginnings of all documents as titles, against themselves with a word more; a third have a DOI."""
+    plain = F.trim(F.substring(F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+", " ")), 1, 80))
+    doi = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("10.1000/X"), F.col("doc_id").cast("string")))
+    titles = t("documents").select(F.col("doc_id").alias("id"), doi.alias("doi"), plain.alias("title"))
+    asked = titles.select("id", F.concat(F.lit("https://doi.org/"), F.lower("doi")).alias("doi"), F.concat("title", F.lit(": Zzz")).alias("title"))
+    return rounded(combine.match_titles(asked, titles))
