@@ -61,8 +61,8 @@ def test_tables_are_saved_logged_and_exported(spark, tmp_path):
     assert tables.save(tables.replace_dataset(first, first.where("dataset_id = 2").withColumn("v", F.lit("b"))), str(tmp_path), "kept").count() == 2
     assert {tuple(r) for r in spark.table("kept").collect()} == {(1, "a"), (2, "b")}
     assert tables.drop(spark, "kept") and not tables.drop(spark, "kept")
-    tables.log_query(spark, f"{tmp_path}/log", "SELECT 1", 1, 0.5, None, [[1]])
-    tables.log_query(spark, f"{tmp_path}/log", "SELECT 2", 3, 1.5, "bad", [])
+    tables.log_query(spark, f"{tmp_path}/log", "SELECT 1", 1, 0.5, None, ["a"], [[1]])
+    tables.log_query(spark, f"{tmp_path}/log", "SELECT 2", 3, 1.5, "bad", [], [])
     log = spark.read.parquet(f"{tmp_path}/log")
     assert tables.query_stats(log.withColumn("k", F.lit("p")), "k").first()["seconds"] == 1.0
     files.write_csv(first, f"{tmp_path}/out")
@@ -447,3 +447,26 @@ def test_values_are_indexed_once_for_all_pairs(spark):
     shared = {(r["a"], r["b"]): r["shared"] for r in combine.shared_values(index).collect()}
     sets = [{"1", "2"}, {"u", "v"}, {long}, {"2", "3"}, {"v", "w"}, {long, "y"}, {"2"}, {"v"}]
     assert shared == {(i, j): len(sets[i] & sets[j]) for i in range(8) for j in range(i + 1, 8) if sets[i] & sets[j]}
+
+
+def test_a_new_run_leaves_other_datasets_their_files(spark, tmp_path):
+    path = f"{tmp_path}/profiles"
+    first = spark.createDataFrame([("01", "a", 1), ("02", "b", 2), ("02", "c", 3), (None, "n", 4)], "dataset_id string, col string, n int")
+    assert tables.replace_partitions(first, path).count() == 4
+    files = {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    whole = tables.replace_partitions(first.where("dataset_id = '02'").limit(1).withColumn("n", F.lit(9)), path)
+    assert sorted((r["dataset_id"] or "", r["col"], r["n"]) for r in whole.collect()) == [("", "n", 4), ("01", "a", 1), ("02", "b", 9)]
+    kept = {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet") if "=02" not in str(f)}
+    assert kept == {f: t for f, t in files.items() if "=02" not in str(f)} and len(kept) >= 2
+    assert tables.replace_partitions(first.where("dataset_id = '03'"), path).count() == 3
+
+
+def test_executed_queries_are_logged(spark, tmp_path):
+    log, t = f"{tmp_path}/log", {"t": spark.createDataFrame([(1, float("nan"), "é")], "a int, x double, s string").withColumn("d", F.lit("2024-01-02").cast("date"))}
+    guard.execute(spark, "SELECT a, x, s, d, array(x, 1.5) AS l FROM t", t, log=log)
+    guard.execute(spark, "SELECT a FROM other", t, log=log)
+    rows = {r["sql"]: r for r in spark.read.parquet(log).collect()}
+    good, bad = rows["SELECT a, x, s, d, array(x, 1.5) AS l FROM t"], rows["SELECT a FROM other"]
+    assert good["preview"] == '{"columns": ["a", "x", "s", "d", "l"], "rows": [[1, null, "é", "2024-01-02", [null, 1.5]]]}' and good["row_count"] == 1 and good["error"] is None
+    assert bad["row_count"] is None and bad["preview"] is None and "other is not allowed" in bad["error"]
+    assert tables.as_json(t["t"].select("a", "x")).first()["json"] == '{"a":1,"x":null}'

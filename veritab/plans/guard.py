@@ -19,6 +19,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import log_query
+
 MAX_ROWS, TIMEOUT_S = 200, 30.0
 # Plan nodes of queries. Whatever else a statement parses to is refused.
 PLAN_NODES = set(
@@ -288,8 +290,15 @@ def guarded(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> Data
     return _of_rows(session, resolved)
 
 
-def execute(spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_rows: int = MAX_ROWS, timeout: float = TIMEOUT_S) -> Result:
-    """Run a checked query: capped rows with the true count, a time limit, errors as data."""
+def execute(spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_rows: int = MAX_ROWS, timeout: float = TIMEOUT_S, log: str | None = None) -> Result:
+    """Run a checked query: capped rows with the true count, a time limit, errors as data; with ``log``, each is appended to the log in that folder."""
+    found = _executed(spark, sql, tables, max_rows, timeout)
+    if log is not None:
+        log_query(spark, log, sql, found.row_count, found.seconds, found.error, found.columns, found.rows)
+    return found
+
+
+def _executed(spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_rows: int, timeout: float) -> Result:
     tag, began = f"guarded-{threading.get_ident()}-{time.monotonic_ns()}", time.monotonic()
     timer = threading.Timer(timeout, lambda: spark.interruptTag(tag))
     spark.addTag(tag)

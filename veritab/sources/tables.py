@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import decimal
+import json
+import math
 import time
 import uuid
 
@@ -34,13 +37,46 @@ def replace_dataset(old: DataFrame | None, new: DataFrame, key: str = "dataset_i
     """Rows of a profile table after a new run: those of its datasets give way to the new ones."""
     if old is None:
         return new
-    return old.join(F.broadcast(new.select(key).distinct()), key, "left_anti").unionByName(new)
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def log_query(spark: SparkSession, path: str, sql: str, row_count: int, seconds: float, error: str | None, preview: list) -> None:
-    """Append one query to a log: its text, rows, duration, error, and ``PREVIEW_ROWS`` rows as JSON."""
-    row = [(uuid.uuid4().hex, sql, row_count, seconds, error, str(preview[:PREVIEW_ROWS]))]
-    spark.createDataFrame(row, LOG.rsplit(", ", 1)[0]).withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
+def replace_partitions(new: DataFrame, path: str, key: str = "dataset_id") -> DataFrame:
+    """Write the rows of a new run in place of those that its datasets had before, and read the whole table.
+
+    The table is kept by ``key``: only the folders of the datasets in ``new`` are written anew,
+    and nothing of the others is read. A dataset without rows in ``new`` keeps what it has.
+    """
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    # A key is read as it was written: by its values Spark would take text of digits for numbers.
+    return new.sparkSession.read.schema(new.select(*(c for c in new.columns if c != key), key).schema).parquet(path)
+
+
+def plain_value(value):
+    """A value as JSON has it: dates as ISO text, numbers that are none as null, lists and structs likewise."""
+    if isinstance(value, float):
+        return value if math.isfinite(value) else None
+    if isinstance(value, (list, tuple)):
+        return [plain_value(v) for v in value]
+    if isinstance(value, dict):
+        return {str(k): plain_value(v) for k, v in value.items()}
+    if value is None or isinstance(value, (bool, int, str)):
+        return value
+    if isinstance(value, decimal.Decimal):
+        return plain_value(float(value))
+    if isinstance(value, (bytes, bytearray)):
+        return bytes(value).hex()
+    return value.isoformat() if hasattr(value, "isoformat") else str(value)
+
+
+def log_query(spark: SparkSession, path: str, sql: str, row_count: int | None, seconds: float, error: str | None, columns: list[str], rows: list) -> None:
+    """Append one query to a log: its text, rows, duration, error, and ``PREVIEW_ROWS`` rows as JSON.
+
+    A query that failed has neither a number of rows nor a preview. Each query is a file of its
+    own, so that several may be logged at once.
+    """
+    preview = None if error else json.dumps({"columns": columns, "rows": plain_value(rows[:PREVIEW_ROWS])}, ensure_ascii=False)
+    row = [(uuid.uuid4().hex, sql, None if error else row_count, seconds, error, preview)]
+    spark.createDataFrame(row, LOG.rsplit(", ", 1)[0]).coalesce(1).withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
 def query_stats(log: DataFrame, key: str) -> DataFrame:
@@ -74,8 +110,11 @@ def labelled_joins(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def as_json(df: DataFrame) -> DataFrame:
-    """Every row as one JSON text, nulls included: json."""
-    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+    """Every row as one JSON text, nulls included and numbers that are none as null: json."""
+    number = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+    how = {"double": number, "float": number, "array<double>": lambda c: F.transform(c, number), "array<float>": lambda c: F.transform(c, number)}
+    columns = [how[kind](F.col(f"`{c}`")).alias(c) if kind in how else F.col(f"`{c}`") for c, kind in df.dtypes]
+    return df.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def bibtex(papers: DataFrame) -> DataFrame:
