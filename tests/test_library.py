@@ -359,7 +359,7 @@ def test_records_of_precedence_and_retention(spark):
 def test_whole_rows_differ_by_text(spark, tmp_path):
     rows = [(1, "ab", "en", "web", 2), (1, "cd", "en", "web", 2), (1, "cd", "en", "web", 2), (2, "cd", "en", "web", 2), (1, None, "en", "web", 2)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    found = registry.QUERIES["duplicate_whole_rows_documents"](spark, str(tmp_path)).first()
+    found = registry.QUERIES["duplicate_rows_documents"](spark, str(tmp_path)).first()
     assert (found["rows"], found["duplicates"]) == (5, 1)
 
 

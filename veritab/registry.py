@@ -120,10 +120,12 @@ def duplicate_rows_documents(t: Read) -> DataFrame:
     return profile.duplicate_rows(t("documents"))
 
 
-@query("SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM documents)) AS duplicates FROM documents")
-def duplicate_whole_rows_documents(t: Read) -> DataFrame:
-    # A digest stands in for the text in the shuffle; null stays null.
-    return profile.duplicate_rows(t("documents").withColumn("text", F.sha2("text", 256)))
+@query("WITH d AS (SELECT * FROM documents UNION ALL SELECT * FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT * REPLACE (NULL AS lang) FROM documents WHERE doc_id % 9 = 0) SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d)) AS duplicates FROM d")
+def duplicate_rows_copied(t: Read) -> DataFrame:
+    """Documents with copies, and with others that differ in a null alone."""
+    docs = t("documents")
+    changed = docs.where("doc_id % 9 = 0").withColumn("lang", F.lit(None).cast("string"))
+    return profile.duplicate_rows(docs.union(docs.where("doc_id % 7 = 0")).union(changed))
 
 
 _CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
@@ -220,7 +222,7 @@ def join_report_customers(t: Read) -> DataFrame:
     return combine.join_report(t("customer"), t("orders"), "c_custkey", "o_custkey")
 
 
-@query("WITH a AS (SELECT DISTINCT o_custkey AS v FROM orders), b AS (SELECT DISTINCT c_custkey AS v FROM customer), s AS (SELECT count(*) AS k FROM a JOIN b USING (v)) SELECT (SELECT count(*) FROM a) AS left_distinct, (SELECT count(*) FROM b) AS right_distinct, k AS shared, round(k / (SELECT count(*) FROM a), 6) AS left_coverage, round(k / (SELECT count(*) FROM b), 6) AS right_coverage, 'many-to-one' AS cardinality FROM s")
+@query("WITH a AS (SELECT DISTINCT o_custkey AS v FROM orders), b AS (SELECT DISTINCT c_custkey AS v FROM customer), s AS (SELECT count(*) AS k FROM a JOIN b USING (v)) SELECT (SELECT count(*) FROM a) AS left_distinct, (SELECT count(*) FROM b) AS right_distinct, k AS shared, round(k / (SELECT count(*) FROM a), 6) AS left_coverage, round(k / (SELECT count(*) FROM b), 6) AS right_coverage, CASE WHEN (SELECT count(*) FROM a) >= 0.999 * (SELECT count(o_custkey) FROM orders) THEN CASE WHEN (SELECT count(*) FROM b) >= 0.999 * (SELECT count(c_custkey) FROM customer) THEN 'one-to-one' ELSE 'one-to-many' END WHEN (SELECT count(*) FROM b) >= 0.999 * (SELECT count(c_custkey) FROM customer) THEN 'many-to-one' ELSE 'many-to-many' END AS cardinality FROM s")
 def join_discovery_overlap(t: Read) -> DataFrame:
     return rounded(combine.value_overlap(t("orders"), t("customer"), "o_custkey", "c_custkey"))
 
@@ -598,12 +600,34 @@ def json_keys_events(t: Read) -> DataFrame:
     return t("events").groupBy("event_type", F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_custkey, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS f, CASE WHEN max(o_orderdate) >= TIMESTAMP '1998-01-01' THEN 2 ELSE 1 END AS version, CASE WHEN max(o_orderdate) >= TIMESTAMP '1998-01-01' THEN 'pending' ELSE 'result' END AS source FROM orders GROUP BY 1")
-def upsert_versions_orders(t: Read) -> DataFrame:
-    cells = t("orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.lit(1).alias("version"), F.lit("result").alias("source"))
+_VERSIONS = """WITH c AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, 1 + o_custkey % 2 AS version, CASE WHEN o_custkey % 5 = 0 THEN 'user' ELSE 'result' END AS source FROM orders GROUP BY o_custkey),
+asked AS (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' UNION SELECT -1 - c_custkey FROM customer WHERE c_custkey % 10 = 0),
+after AS (SELECT coalesce(c.o_custkey, a.o_custkey) AS o_custkey, a.o_custkey IS NOT NULL AND coalesce(source, '') <> 'user' AS reset, f, version, source FROM c FULL JOIN asked a ON a.o_custkey = c.o_custkey)
+"""
+
+
+def _versions(t: Read, reset_user: bool = False) -> DataFrame:
+    source = F.when(F.col("o_custkey") % 5 == 0, "user").otherwise("result")
+    cells = t("orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("f")).select("o_custkey", "f", (1 + F.col("o_custkey") % 2).cast("int").alias("version"), source.alias("source"))
     asked = t("orders").where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).select("o_custkey")
-    after = records.upsert_versions(cells, asked, ["o_custkey"], "f")
-    return after.join(cells.select("o_custkey", F.col("f").alias("before")), "o_custkey").select("o_custkey", F.col("before").alias("f"), "version", "source")
+    new = t("customer").where("c_custkey % 10 = 0").select((-1 - F.col("c_custkey")).alias("o_custkey"))
+    return records.upsert_versions(cells, asked.union(new), ["o_custkey"], "f", reset_user)
+
+
+@query(f"{_VERSIONS} SELECT o_custkey, CASE WHEN NOT reset THEN f END AS f, CASE WHEN reset THEN coalesce(version, 0) + 1 ELSE version END AS version, CASE WHEN reset THEN 'pending' ELSE source END AS source FROM after")
+def upsert_versions_orders(t: Read) -> DataFrame:
+    """Cells of customers asked for anew lose their value and go up a version, but for those that a user set; some are new."""
+    return _versions(t)
+
+
+@query(f"""{_VERSIONS}, now AS (SELECT o_custkey, CASE WHEN NOT reset THEN f END AS f, CASE WHEN reset THEN coalesce(version, 0) + 1 ELSE version END AS version, CASE WHEN reset THEN 'pending' ELSE source END AS source FROM after),
+results AS (SELECT o_custkey, 2 AS version, count(*) AS f FROM orders GROUP BY 1)
+SELECT n.o_custkey, n.version, CASE WHEN n.source = 'user' OR r.f IS NULL THEN n.f ELSE r.f END AS f, CASE WHEN n.source = 'user' OR r.f IS NULL THEN n.source ELSE 'result' END AS source, CASE WHEN n.source = 'user' THEN r.f END AS proposed
+FROM now n LEFT JOIN results r ON r.o_custkey = n.o_custkey AND r.version = n.version""")
+def apply_results_orders(t: Read) -> DataFrame:
+    """Results of version 2 reach the cells of that version alone, and stand beside what a user set."""
+    results = t("orders").groupBy("o_custkey").agg(F.count("*").alias("f")).withColumn("version", F.lit(2))
+    return records.apply_results(_versions(t), results, ["o_custkey"], "f")
 
 
 @query("SELECT l_returnflag, list_sort(list(DISTINCT l_linenumber) FILTER (WHERE l_discount <> 0)) AS pages, list_sort(list(DISTINCT l_linestatus) FILTER (WHERE l_discount = 0)) AS not_found FROM lineitem GROUP BY 1")
@@ -623,22 +647,27 @@ def query_stats_events(t: Read) -> DataFrame:
     return rounded(tables.query_stats(t("events").withColumnRenamed("value", "seconds"), "event_type"))
 
 
-@query("SELECT o_orderkey, CAST(1 + (o_orderkey > 10)::INT AS INTEGER) AS checked, 0 AS n_unsupported FROM orders")
+@query("SELECT o_orderkey, CAST(1 + (said > 10)::INT AS INTEGER) AS checked, CAST((said <> o_orderkey AND said > 10)::INT AS INTEGER) AS n_unsupported FROM (SELECT o_orderkey, o_orderkey + (o_orderkey % 4 = 0)::INT AS said FROM orders)")
 def grounded_orders(t: Read) -> DataFrame:
+    """Every fourth answer states a number of rows that its source does not hold."""
     orders = t("orders")
-    answers = orders.select("o_orderkey", F.format_string("Share %.1f%% of %d rows", F.col("o_custkey") / 7, "o_orderkey").alias("answer"))
+    said = F.col("o_orderkey") + (F.col("o_orderkey") % 4 == 0).cast("int")
+    answers = orders.select("o_orderkey", F.format_string("Share %.1f%% of %d rows", F.col("o_custkey") / 7, said).alias("answer"))
     sources = orders.select("o_orderkey", F.to_json(F.struct((F.col("o_custkey") / 700).alias("share"), F.col("o_orderkey").alias("rows"))).alias("source"))
     found = texts.grounded(answers, sources, "o_orderkey", "answer", "source")
     return found.select("o_orderkey", "checked", F.size("unsupported").alias("n_unsupported"))
 
 
-@query("SELECT name, points, CAST(points AS DOUBLE) AS score FROM (VALUES ('total_price', 9), ('order_total', 4), ('comment', 1)) v(name, points)")
-def retrieve_columns_orders(t: Read) -> DataFrame:
-    named = {"o_totalprice": ("total_price", "price of the order"), "o_orderkey": ("order_total", "a key"), "o_orderstatus": ("comment", "free text on price"), "o_custkey": ("customer", "who")}
-    listed = tables.catalog({"orders": t("orders")}).where(F.col("column").isin(*named))
-    pairs = {k: F.create_map(*(F.lit(x) for kv in [(c, v[i]) for c, v in named.items()] for x in kv)) for i, k in enumerate(("name", "description"))}
-    columns = listed.select(*(m[F.col("column")].alias(k) for k, m in pairs.items()), F.lit(None).cast("string").alias("label"))
-    return texts.retrieve_columns(columns, "What is the total price?").select("name", "points", "score")
+@query("""WITH c AS (SELECT concat_ws('_', replace(p_name, ' ', '_'), p_partkey) AS name, p_type AS label, concat('made by ', p_brand, ' in size ', p_size) AS description FROM part),
+w AS (SELECT *, list_distinct(string_split_regex(lower(replace(name, '_', ' ') || ' ' || label), '[^a-z0-9]+')) AS named, list_distinct(string_split_regex(lower(description), '[^a-z0-9]+')) AS described, ['red', 'widget', 'economy', 'size'] AS asked FROM c),
+p AS (SELECT name, label, 3 * len(list_intersect(asked, named)) + len(list_intersect(asked, described)) + len(list_filter(asked, lambda a: len(list_filter(named, lambda n: starts_with(n, a))) > 0)) AS points FROM w)
+SELECT name, label, points, CAST(points AS DOUBLE) AS score FROM p WHERE points > 0 ORDER BY score DESC, name LIMIT 20""")
+def retrieve_columns_part(t: Read) -> DataFrame:
+    """Every part as a column with its name, label and description: the twenty best for a question."""
+    description = F.concat(F.lit("made by "), "p_brand", F.lit(" in size "), F.col("p_size").cast("string"))
+    name = F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_partkey").cast("string"))
+    columns = t("part").select(name.alias("name"), F.col("p_type").alias("label"), description.alias("description"))
+    return texts.retrieve_columns(columns, "red widget economy size 4").select("name", "label", "points", "score")
 
 
 _PLAIN = "trim(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' ', 'g'))"
