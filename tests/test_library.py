@@ -335,6 +335,7 @@ def test_personal_data(spark):
 
 def test_words_and_terms(spark):
     assert one(spark, text_functions.terms(F.lit("What is the effect of the grades on exams?"))) == ["grade", "exam"]
+    assert one(spark, text_functions.terms(F.lit("Well-being in 2023: the students' 'well-being', a1 x-rays"))) == ["well-being", "student", "x-ray"]
     for word, want in (("studies", "study"), ("grades", "grade"), ("less", "less"), ("status", "status"), ("basis", "basis"), ("gas", "gas")):
         assert one(spark, text_functions.stem(F.lit(word))) == want
 
@@ -470,3 +471,17 @@ def test_executed_queries_are_logged(spark, tmp_path):
     assert good["preview"] == '{"columns": ["a", "x", "s", "d", "l"], "rows": [[1, null, "é", "2024-01-02", [null, 1.5]]]}' and good["row_count"] == 1 and good["error"] is None
     assert bad["row_count"] is None and bad["preview"] is None and "other is not allowed" in bad["error"]
     assert tables.as_json(t["t"].select("a", "x")).first()["json"] == '{"a":1,"x":null}'
+
+def test_running_lines_and_page_numbers_go(spark):
+    rows = []
+    for page in range(1, 5):
+        rows += [("d", page, 0, f"Journal of X,  Vol. {page}"), ("d", page, 1, f"Text of page {page}"), ("d", page, 2, "12"), ("d", page, 3, f"Page {page} of 4"), ("d", page, 4, "Repeated")]
+    rows += [("e", 1, 0, "Journal of X, Vol. 1"), ("e", 1, 1, None), ("d", 1, 0, "only once"), ("d", 1, 0, None)]
+    lines = spark.createDataFrame(rows, "doc string, page int, at int, line string")
+    margin = F.col("at").isin(0, 3)
+    assert [tuple(r) for r in texts.running_lines(lines.where(margin), "doc", "page", "line").orderBy("line").collect()] == [("d", "journal of x, vol. #", 4), ("d", "page # of #", 4)]
+    left = texts.without_running_lines(lines, "doc", "page", "line", margin)
+    assert left.columns == lines.columns
+    assert sorted((r["doc"], r["page"], r["line"] or "") for r in left.collect()) == sorted(
+        [("d", p, x) for p in range(1, 5) for x in (f"Text of page {p}", "12", "Repeated")] + [("e", 1, "Journal of X, Vol. 1"), ("e", 1, ""), ("d", 1, "only once"), ("d", 1, "")]
+    )

@@ -60,15 +60,21 @@ def words(text: Column) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """A word without its plural ending: studies, grades, but not less, status or basis."""
+    """A word without apostrophes at its ends and without its plural ending: studies, grades, but not less, status or basis."""
+    word = F.trim(word, F.lit("'"))
     plural = F.endswith(word, F.lit("s")) & ~word.rlike("(ss|us|is)$") & (F.length(word) > 3)
     return F.when((F.length(word) > 4) & word.endswith("ies"), F.regexp_replace(word, "ies$", "y")).when(plural, F.regexp_replace(word, "s$", "")).otherwise(word)
 
 
+# Fixed value: a term's characters; hyphens and apostrophes within it belong to it.
+TERM = r"[a-z0-9][a-z0-9'\-]*[a-z0-9']|[a-z0-9]"
+
+
 def terms(text: Column) -> Column:
-    """What a question asks about: distinct stems of words that are neither stop nor question words, three characters or more."""
-    found = F.filter(F.array_except(words(text), F.array(*map(F.lit, QUESTION_WORDS))), lambda w: F.length(w) >= 3)
-    return F.array_distinct(F.transform(found, stem))
+    """What a question asks about: distinct stems of words of three characters or more, no numbers, stop or question words."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+    kept = F.filter(F.array_except(found, F.array(*map(F.lit, STOP_WORDS + QUESTION_WORDS))), lambda w: (F.length(w) > 2) & ~w.rlike("^[0-9]+$"))
+    return F.array_distinct(F.transform(kept, stem))
 
 
 def cosine(a: Column, b: Column) -> Column:

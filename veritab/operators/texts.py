@@ -249,17 +249,51 @@ def section_kind(heading: Column) -> Column:
     return out.otherwise("other")
 
 
+def _running(line: Column) -> Column:
+    """A line as it is compared with those of other pages: lower case, every number as ``#``, single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\d+", "#"), r"\s+", " "))
+
+
+# 128 bits stand for a line where lines are counted, so that each one's text is moved once at most.
+_HASH = ["__h1", "__h2"]
+
+
+def _hashed(lines: DataFrame, line: str) -> DataFrame:
+    plain = _running(F.col(line))
+    return lines.withColumn("__line", plain).withColumns({"__h1": F.xxhash64("__line"), "__h2": F.xxhash64("__line", F.lit(1))})
+
+
 def running_lines(lines: DataFrame, doc: str, page: str, line: str, least: float = 0.5, pages: int = 2) -> DataFrame:
     """Lines that repeat on ``least`` of a document's pages, digits aside, on ``pages`` at least: doc, line, n_pages.
 
-    ``lines`` are those in the margins of pages. Lines are counted by page first, so that a
-    line all pages hold is merged early.
+    ``lines`` are those in the margins of pages. Their hashes are counted, and the text is looked
+    up for lines that repeat alone.
+    """
+    rows = _hashed(lines, line)
+    hashes = rows.select(doc, page, F.when(F.col("__line") != "", F.col("__h1")).alias("__h1"), "__h2").distinct()
+    total = hashes.groupBy(doc).agg(F.count_distinct(page).alias("total"))
+    counts = hashes.where("__h1 IS NOT NULL").groupBy(doc, *_HASH).agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= pages)
+    counts = counts.join(total, doc).where(F.col("n_pages") >= least * F.col("total")).drop("total")
+    found = rows.select(doc, *_HASH, "__line").join(counts, [doc, *_HASH]).groupBy(doc, *_HASH).agg(F.min("__line").alias("__line"), F.first("n_pages").alias("n_pages"))
+    return found.select(doc, F.col("__line").alias(line), "n_pages")
+
+
+# Fixed value: a page number on its own, once numbers are ``#``.
+PAGE_NUMBER = r"^(page\s*)?#(\s*(of|/)\s*#)?$"
+
+
+def without_running_lines(lines: DataFrame, doc: str, page: str, line: str, margin: Column, least: float = 0.5, pages: int = 2) -> DataFrame:
+    """Lines of pages without what runs through a document: margin lines that repeat, and page numbers in the margin.
+
+    ``margin`` says which lines are in the margin of their page; all others stay. A document of
+    one page has no repeated lines.
     """
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.col(line)), r"\d+", "#"), r"\s+", " "))
-    rows = lines.select(F.col(doc).alias("doc"), F.col(page).alias("page"), plain.alias("line")).distinct()
-    total = rows.groupBy("doc").agg(F.count_distinct("page").alias("total"))
-    counts = rows.where("line <> ''").groupBy("doc", "line").agg(F.count("*").alias("n_pages"))
-    return counts.join(total, "doc").where((F.col("n_pages") >= pages) & (F.col("n_pages") >= least * F.col("total"))).select(F.col("doc").alias(doc), F.col("line").alias(line), "n_pages")
+    marked = _hashed(lines.withColumn("__margin", F.coalesce(margin, F.lit(False))), line)
+    repeated = running_lines(lines.where(margin), doc, page, line, least, pages).select(doc, line)
+    repeated = repeated.select(doc, F.xxhash64(line).alias("__h1"), F.xxhash64(line, F.lit(1)).alias("__h2"), F.lit(True).alias("__runs"))
+    met = marked.join(repeated, [doc, *_HASH], "left")
+    gone = F.col("__margin") & (F.col("__runs").isNotNull() | F.coalesce(F.col("__line").rlike(PAGE_NUMBER), F.lit(False)))
+    return met.where(~gone).select(*lines.columns)
 
 
 def retrieve_columns(columns: DataFrame, question: str, limit: int = 20, vector: list[float] | None = None) -> DataFrame:

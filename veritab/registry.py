@@ -333,7 +333,8 @@ _STEM = "CASE WHEN length(w) > 4 AND ends_with(w, 'ies') THEN left(w, length(w)
 
 
 def _terms_sql(table: str, key: str) -> str:
-    return f"SELECT DISTINCT {key}, {_STEM} AS term FROM (SELECT {key}, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM {table}) WHERE length(w) >= 3 AND w NOT IN ({_STOPS})"
+    found = f"SELECT {key}, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9''\\-]*[a-z0-9'']|[a-z0-9]')) AS w FROM {table}"
+    return f"SELECT DISTINCT {key}, {_STEM} AS term FROM (SELECT {key}, trim(w, '''') AS w FROM ({found}) WHERE length(w) >= 3 AND w NOT IN ({_STOPS}) AND NOT regexp_matches(w, '^[0-9]+$'))"
 
 
 @query(f"WITH a AS ({_terms_sql('benchmark', 'item_id')}), d AS ({_terms_sql('documents', 'doc_id')}), s AS (SELECT item_id, count(*) AS terms FROM a GROUP BY 1), m AS (SELECT item_id, doc_id, count(*) AS matched FROM a JOIN d USING (term) GROUP BY 1, 2) SELECT item_id, doc_id, matched, round(matched / terms, 6) AS score FROM m JOIN s USING (item_id) WHERE matched >= greatest(2, ceil(0.3 * terms))")
