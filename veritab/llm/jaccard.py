@@ -398,6 +398,27 @@ def _residual(shared: DataFrame, found: DataFrame, facts: DataFrame, percent: in
     return materialize(pairs.distinct(), "pairs")
 
 
+def _link_apart(docs: DataFrame, several: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``link`` where some ids (``several``: id) have different texts: each text gets a number of its own, and an id's texts are one."""
+    key, own_id = docs[id_col].cast("long"), "__own_id"
+    hashes = [F.xxhash64(docs[text_col]), F.xxhash64(docs[text_col], F.lit(1))]
+    rows = docs.select(key.alias("id"), docs[text_col].alias("text"), *(h.alias(f"h{i}") for i, h in enumerate(hashes)))
+    texts = materialize(rows.join(several, "id", "left_semi").select("id", "h0", "h1").distinct(), "texts-of-ids")
+    top = rows.agg(F.max("id")).first()[0]
+    numbers = materialize(texts.withColumn(own_id, F.monotonically_increasing_id() + F.lit(top + 1)), "numbers")
+    same = (F.col("r.id") == F.col("t.id")) & (F.col("r.h0") == F.col("t.h0")) & F.col("r.h1").eqNullSafe(F.col("t.h1"))
+    numbered = rows.alias("r").join(numbers.alias("t"), same, "left").select(F.coalesce(f"t.{own_id}", "r.id").alias(own_id), "r.text")
+    found = materialize(link(numbered, size, percent, own_id, "text"), "by-text")
+    back = numbers.select(own_id, "id")
+    met = materialize(found.join(back, own_id, "left").withColumn("id", F.coalesce("id", own_id)), "by-id")
+    held = met.join(several, "id").select("id", F.col("component_id").alias("b"))
+    ties = held.join(held.groupBy("id").agg(F.min("b").alias("a")), "id").select("a", "b").distinct()
+    merged = components(ties).select(F.col("node").alias("component_id"), "component")
+    met = materialize(met.join(merged, "component_id", "left").withColumn("component", F.coalesce("component", "component_id")), "merged")
+    least = met.where("id is not null").groupBy("component").agg(F.min("id").alias("component_id"))
+    return met.drop("component_id").join(least, "component", "left").select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
 def link(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents under links of Jaccard similarity ``percent`` / 100 or more.
 
@@ -411,10 +432,11 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_i
     levels = sketch(docs, size, text_col)
     found = signatures(docs, levels, size, percent, id_col, text_col)
     full = found.where("set_hash is not null and id is not null")
+    several = materialize(full.groupBy("id").agg(F.min("set_hash").alias("a"), F.max("set_hash").alias("b")).where("a < b").select("id"), "ids-of-several-sets")
+    if not several.isEmpty():
+        return _link_apart(docs, several, size, percent, id_col, text_col)
     nodes = materialize(full.groupBy("set_hash").agg(F.min("id").alias("node")), "nodes")
     own = materialize(full.select("id", "n", "last", "set_hash").join(nodes, "set_hash").select("id", "node", "n", "last"), "own")
-    split = own.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")
-
     facts = materialize(own.where("id = node").groupBy("node").agg(F.min("n").alias("n"), F.min("last").alias("last")), "facts")
 
     # Copies take no part: of equal sets the smallest id stands for all.
@@ -431,7 +453,7 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_i
     rest = F.when(F.col("last_a") <= F.col("last_b"), least_overlap_sql("n_a", percent)).otherwise(least_overlap_sql("n_b", percent)) - 1
     need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
     near = led.join(of("a"), "a").join(of("b"), "b").where(_sizes_fit("n_a", "n_b", percent) & (F.col("led") + rest >= need)).select("a", "b", "led")
-    edges = materialize(_own_links(docs, near, size, percent, id_col, text_col).union(split), "links")
+    edges = materialize(_own_links(docs, near, size, percent, id_col, text_col), "links")
     parts = materialize(components(edges), "components")
 
     pairs = _residual(rows, parts, facts, percent)
