@@ -64,14 +64,15 @@ def _date_sql(c: str, table: str) -> dict[str, str]:
 
 
 def facts_sql(columns: dict[str, str], table: str) -> str:
-    """A row of facts for each column; ``columns`` have their kinds, ``number+`` where numbers are categories as well."""
+    """A row of facts for each column; ``columns`` have their kinds."""
     rows = []
     for c, kind in columns.items():
         have = {"rows": "count(*)", "missing": f"count(*) - count({c})", "n_distinct": f"count(DISTINCT {c})"}
-        have |= {"number": _number_sql, "number+": _number_sql, "text": _text_sql, "date": _date_sql, "boolean": lambda c, t: {}}[kind](c, table)
-        if kind in ("number+", "text", "boolean"):
-            have |= _category_sql(c, table)
-        x = _FINITE.format(c=c) if kind.startswith("number") else "NULL"
+        have |= {"number": _number_sql, "text": _text_sql, "date": _date_sql, "boolean": lambda c, t: {}}[kind](c, table)
+        if kind in ("number", "text", "boolean"):
+            few = f"(SELECT count(DISTINCT {c}) FROM {table}) <= 50" if kind == "number" else "true"
+            have |= {f: f"CASE WHEN {few} THEN {sql} END" for f, sql in _category_sql(c, table).items()}
+        x = _FINITE.format(c=c) if kind == "number" else "NULL"
         listed = ", ".join(f'round({have.get(f, "NULL")}, 5) + 0 AS "{f}"' if t == "DOUBLE" and f in have else f'CAST({have.get(f, "NULL")} AS {t}) AS "{f}"' for f, t in _FACTS.items())
         rows.append(f"SELECT '{c}' AS \"column\", {listed} FROM (SELECT *, {x} AS x FROM {table})")
     return " UNION ALL ".join(rows)
@@ -86,7 +87,7 @@ def flat(profile: DataFrame) -> DataFrame:
     return rounded(profile.select("column", *(listed.get(f, F.col(f"`{f}`").cast("string") if f in ("first", "last") else F.col(f"`{f}`")).alias(f) for f in _FACTS)), 5)
 
 
-_LINEITEM = dict.fromkeys("l_orderkey l_partkey l_suppkey l_extendedprice".split(), "number") | dict.fromkeys("l_linenumber l_quantity l_discount l_tax".split(), "number+")
+_LINEITEM = dict.fromkeys("l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax".split(), "number")
 _LINEITEM |= {"l_returnflag": "text", "l_linestatus": "text", "l_shipdate": "date"}
 
 
@@ -96,7 +97,7 @@ def profile_table_lineitem(t: Read) -> DataFrame:
     return flat(profiles.profile_table(t("lineitem")))
 
 
-@query(facts_sql({"p_partkey": "number", "p_name": "text", "p_brand": "text", "p_type": "text", "p_size": "number+", "p_retailprice": "number"}, "part"))
+@query(facts_sql({"p_partkey": "number", "p_name": "text", "p_brand": "text", "p_type": "text", "p_size": "number", "p_retailprice": "number"}, "part"))
 def profile_table_part(t: Read) -> DataFrame:
     return flat(profiles.profile_table(t("part")))
 
