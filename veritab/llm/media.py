@@ -26,63 +26,115 @@ ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.s
 ITEM_SQL = "array<struct<position int, kind string, text string, ref string, caption string>>"
 _PNG = b"\x89PNG\r\n\x1a\n"
 _MEDIA = {"img", "video", "audio", "source", "embed"}
-_SILENT = {"script", "style", "template", "noscript"}
+_RAW, _HIDDEN = {"script", "style"}, {"template", "noscript"}
 
 
 class _Interleaver(HTMLParser):
-    """Collects text runs and media references in page order."""
+    """Collects text runs and media references in page order; a caption goes to the media of the figure around it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.words: list[str] = []
-        self.silent = 0
+        self.raw = 0
+        self.hidden: list[tuple[str, int, list[str], int]] = []  # what there was when a template began
+        self.figures: list[dict] = []
         self.caption: list[str] | None = None
-        self.figure: list[dict] = []
+        self.picture: str | None = None
+        self.in_picture = False
 
     def _flush(self) -> None:
         if text := " ".join(" ".join(self.words).split()):
             self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
         self.words = []
 
+    def _media(self, ref: str, alt: str | None) -> None:
+        self._flush()
+        item = {"kind": "media", "text": None, "ref": ref, "caption": alt or None}
+        self.items.append(item)
+        if self.figures:
+            self.figures[-1]["items"].append(item)
+
+    def _end_caption(self) -> None:
+        if self.caption is not None and (text := " ".join(" ".join(self.caption).split())):
+            self.figures[-1]["captions"].append(text)
+        self.caption = None
+
+    def _end_figure(self) -> None:
+        self._end_caption()
+        self._flush()
+        figure = self.figures.pop()
+        caption = " ".join(figure["captions"])
+        for item in figure["items"]:
+            item["caption"] = caption or item["caption"]
+        if caption and not figure["items"]:  # of a table or a poem: text like any other
+            self.words.append(caption)
+            self._flush()
+        if self.figures and not caption:
+            self.figures[-1]["items"] += figure["items"]
+
     def handle_starttag(self, tag, attrs):
         found = dict(attrs)
-        if tag in _SILENT:
-            self.silent += 1
+        ref = found.get("src") or (found.get("srcset") or "").strip().split(" ")[0].rstrip(",")
+        if tag in _RAW:
+            self.raw += 1
+        elif tag in _HIDDEN:
+            self.hidden.append((tag, len(self.items), list(self.words), len(self.figures)))
         elif tag == "figure":
+            self._end_caption()
             self._flush()
-            self.figure = []
-        elif tag == "figcaption":
+            self.figures.append({"items": [], "captions": []})
+        elif tag == "figcaption" and self.figures:
+            self._end_caption()
             self.caption = []
-        elif tag in _MEDIA and (ref := found.get("src")):
-            self._flush()
-            item = {"kind": "media", "text": None, "ref": ref, "caption": found.get("alt") or None}
-            self.items.append(item)
-            self.figure.append(item)
+        elif tag == "picture":
+            self.in_picture, self.picture = True, None
+        elif tag == "source" and self.in_picture:
+            self.picture = self.picture or ref
+        elif tag == "img" and self.in_picture:
+            if ref := ref or self.picture:
+                self._media(ref, found.get("alt"))
+            self.in_picture, self.picture = False, None
+        elif tag in _MEDIA and ref:
+            self._media(ref, found.get("alt"))
 
     def handle_endtag(self, tag):
-        if tag in _SILENT:
-            self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            caption = " ".join(" ".join(self.caption).split()) or None
-            for item in self.figure:
-                item["caption"] = caption or item["caption"]
-            self.caption = None
-        elif tag == "figure":
-            self.figure = []
+        if tag in _RAW:
+            self.raw = max(0, self.raw - 1)
+        elif tag in _HIDDEN and any(h[0] == tag for h in self.hidden):
+            while self.hidden[-1][0] != tag:
+                self.hidden.pop()
+            _, count, words, depth = self.hidden.pop()
+            gone = {id(i) for i in self.items[count:]}
+            self.items, self.words, self.figures = self.items[:count], words, self.figures[:depth]
+            for figure in self.figures:
+                figure["items"] = [i for i in figure["items"] if id(i) not in gone]
+        elif tag == "figcaption":
+            self._end_caption()
+        elif tag == "figure" and self.figures:
+            self._end_figure()
+        elif tag == "picture":
+            if self.in_picture and self.picture:
+                self._media(self.picture, None)
+            self.in_picture, self.picture = False, None
 
     def handle_data(self, data):
-        if not self.silent:
+        if not self.raw:
             (self.words if self.caption is None else self.caption).append(data)
 
 
 def parse_items(html: str) -> list[dict]:
-    """The ordered items of a page; positions count from 0."""
+    """The ordered items of a page; positions count from 0.
+
+    The captions of a figure, before or after its media, are those media's; outside of figures,
+    and of figures without media, they are text. A picture is its image, by the first reference
+    that it has. Scripts, styles and templates are left out, an unclosed template is not.
+    """
     parser = _Interleaver()
     parser.feed(html)
     parser.close()
-    if parser.caption:
-        parser.words += parser.caption
+    while parser.figures:
+        parser._end_figure()
     parser._flush()
     return [{"position": i, **item} for i, item in enumerate(parser.items)]
 
