@@ -13,10 +13,6 @@ from pyspark.sql.window import Window
 
 from ..sources.shared import written
 
-#: Ranges of values that may be summed in parallel, at least, and distinct values that make one worth while.
-RANGES, RANGE_ROWS = 64, 50_000
-_ACCURACY = 10_000
-
 
 def finite(column: Column) -> Column:
     """The value as a double, null unless it is a finite number."""
@@ -24,38 +20,27 @@ def finite(column: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
-def ranges(df: DataFrame) -> int:
-    """How many ranges to cut: one for each shuffle partition, ``RANGES`` at least."""
-    return max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def with_running(counts: DataFrame, by: list[str], value: str, weights: list[str], spread: DataFrame | None = None) -> DataFrame:
-    """Add ``before_<w>`` for every weight: its sum over smaller values within ``by``.
+def with_running(counts: DataFrame, by: list[str], value: str, weights: list[str]) -> DataFrame:
+    """Add for every weight its sums within ``by``: ``before_<w>`` over smaller values, ``same_<w>`` over rows of this value.
 
-    ``counts`` has one row for each (by, value), values not null. Ranges are cut by the values of
-    ``spread``, if it is a cheaper table with the same ones; few values make a single range.
+    Values are not null. Rows are cut into ranges of (by, value) as Spark sorts them, so that the
+    work for a row does not depend on how many ranges there are. They are written, so that ranges
+    stay as they are.
     """
-    n = ranges(counts)
-    found = (counts if spread is None else spread).select(F.count("*"), F.percentile_approx(value, [i / n for i in range(1, n)], _ACCURACY)).first()
-    wanted = min(n, -(-found[0] // RANGE_ROWS))
-    cuts = [found[1][i * n // wanted - 1] for i in range(1, wanted)] if found[1] else []
-    at = F.lit(0)
-    for cut in sorted(set(cuts)):
-        at = at + (F.col(value) > cut).cast("int")
-    placed = counts.withColumn("__range", at)
+    placed = written(counts.repartitionByRange(*by, value).withColumn("__range", F.spark_partition_id()), "running")
     totals = placed.groupBy(*by, "__range").agg(*(F.sum(w).alias(f"__{w}") for w in weights))
     order = Window.partitionBy(*by).orderBy("__range") if by else Window.orderBy("__range")  # as many rows as ranges
     before = totals.select(*by, "__range", *((F.sum(f"__{w}").over(order) - F.col(f"__{w}")).alias(f"__{w}") for w in weights))
     met = placed.join(before if by else F.broadcast(before), [*by, "__range"])
-    running = Window.partitionBy(*by, "__range").orderBy(value)
-    out = met.withColumns({f"before_{w}": F.col(f"__{w}") + F.sum(w).over(running) - F.col(w) for w in weights})
-    return out.drop("__range", *(f"__{w}" for w in weights))
+    running, same = Window.partitionBy(*by, "__range").orderBy(value), Window.partitionBy(*by, "__range", value)
+    met = met.withColumns({f"same_{w}": F.sum(w).over(same) for w in weights} | {f"before_{w}": F.col(f"__{w}") + F.sum(w).over(running) for w in weights})
+    return met.withColumns({f"before_{w}": F.col(f"before_{w}") - F.col(f"same_{w}") for w in weights}).drop("__range", *(f"__{w}" for w in weights))
 
 
 def ranked_counts(counts: DataFrame, value: str, ties: str) -> DataFrame:
     """Counts of distinct values with ``rank``, the average rank of each value's rows."""
     found = with_running(counts, [], value, [ties])
-    return found.withColumn("rank", F.col(f"before_{ties}") + (F.col(ties) + 1) / 2.0).drop(f"before_{ties}")
+    return found.withColumn("rank", F.col(f"before_{ties}") + (F.col(ties) + 1) / 2.0).drop(f"before_{ties}", f"same_{ties}")
 
 
 def in_order(counts: DataFrame, by: str, value: str, *more: str) -> DataFrame:

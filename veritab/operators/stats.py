@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import written
 from .ranks import finite, quantiles, ranked_counts, with_running
 
 # Normal quantiles for 5 % two-sided and for 80 % power.
@@ -57,11 +58,12 @@ def spearman(df: DataFrame, x: str, y: str, least: int = PAIR_ROWS) -> DataFrame
 def rank_sums(df: DataFrame, value: str, group: str) -> DataFrame:
     """For each group its size and sum of ranks, with the whole's n and tie term."""
     cells = df.select(finite(F.col(value)).alias("x"), F.col(group).cast("string").alias("g")).where("x is not null and g is not null")
-    counts = cells.groupBy("g", "x").agg(F.count("*").alias("c"))
-    ranks = ranked_counts(counts.groupBy(F.col("x").alias("value")).agg(F.sum("c").alias("ties")), "value", "ties")
-    sums = counts.join(ranks, counts["x"] == ranks["value"]).groupBy("g").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("rank_sum"))
-    ties = ranks.agg(F.sum("ties").alias("total"), F.sum(F.col("ties").cast("double") * F.col("ties") * F.col("ties") - F.col("ties")).alias("tie_term"))
-    return sums.crossJoin(F.broadcast(ties))
+    placed = with_running(cells.groupBy("g", "x").agg(F.count("*").alias("c")), [], "x", ["c"])
+    ties = F.col("same_c").cast("double")
+    # Over the groups of a value, c (t^2 - 1) adds up to t^3 - t.
+    sums = placed.groupBy("g").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("before_c") + (ties + 1) / 2)).alias("rank_sum"), F.sum(F.col("c") * (ties * ties - 1)).alias("tied"))
+    sums = written(sums, "rank-sums")
+    return sums.crossJoin(F.broadcast(sums.agg(F.sum("n").alias("total"), F.sum("tied").alias("tie_term")))).drop("tied")
 
 
 def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -162,13 +164,13 @@ def kendall_trend(df: DataFrame, x: str, y: str) -> DataFrame:
 
     values = cells.select("y").distinct().withColumn("one", F.lit(1).cast("long"))
     bits = max(1, (max(1, values.count()) - 1).bit_length())
-    numbers = with_running(values, [], "y", ["one"], spread=cells).select("y", F.col("before_one").alias("number"))
+    numbers = with_running(values, [], "y", ["one"]).select("y", F.col("before_one").alias("number"))
     parts = cells.join(numbers, "y").select("x", "c", "number", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
     upper = F.expr("shiftright(number, bit + 1)").alias("upper")
     one = F.expr("shiftright(number, bit) & 1")
     sides = parts.select("bit", upper, "x", F.when(one == 1, F.col("c")).otherwise(0).alias("ones"), F.when(one == 0, F.col("c")).otherwise(0).alias("zeros"))
     sides = sides.groupBy("bit", "upper", "x").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-    running = with_running(sides, ["bit", "upper"], "x", ["ones", "zeros"], spread=cells)
+    running = with_running(sides, ["bit", "upper"], "x", ["ones", "zeros"])
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     s = running.agg(F.coalesce(F.sum(wide("ones") * wide("before_zeros") - wide("zeros") * wide("before_ones")), F.lit(0)).cast("double").alias("s"))
     n = cells.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
