@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ranks import column_quantiles, finite, quantiles, with_running
+from ..sources.shared import written
+from .ranks import column_quantiles, finite, quantiles, quantiles_of_counts, with_running
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 # Numeric codes that often stand for a missing value, and how often one must occur.
@@ -254,8 +255,9 @@ def chunk_medians(df: DataFrame, column: str, position: str, chunks: int = 10) -
     place = F.col("before_one")
     chunk = F.when(place < longer * (size + 1), F.floor(place / (size + 1))).otherwise(longer + F.floor((place - longer * (size + 1)) / F.greatest(size, F.lit(1)))) + 1
     cut = placed.crossJoin(F.broadcast(total)).select(chunk.cast("int").alias("chunk"), "x", "position")
-    firsts = cut.groupBy("chunk").agg(F.count("*").alias("rows"), F.min("position").alias("first_position"))
-    medians = quantiles(cut, "chunk", "x", [0.5]).select("chunk", F.col("q")[0].alias("median"))
+    counted = written(cut.groupBy("chunk", "x").agg(F.count("*").alias("n"), F.min("position").alias("first_position")), "chunks")
+    firsts = counted.groupBy("chunk").agg(F.sum("n").alias("rows"), F.min("first_position").alias("first_position"))
+    medians = quantiles_of_counts(counted, "chunk", "x", [0.5]).select("chunk", F.col("q")[0].alias("median"))
     return firsts.join(F.broadcast(medians), "chunk")
 
 
