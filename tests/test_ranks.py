@@ -24,7 +24,7 @@ def test_running_sums_of_repeated_values_within_keys(spark):
 def test_expressions_do_not_grow_with_the_values(spark):
     def size(n):
         rows = spark.range(n).select(F.col("id").alias("r"), (F.col("id") * 7 % 1000003).alias("x"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("g"))
-        made = [profile.chunk_medians(rows, "x", "r"), stats.mann_whitney(rows, "x", "g"), stats.value_ranks(rows, "x")]
+        made = [profile.chunk_medians(rows, "x", "r"), profile.unit_shift(rows, "x", "r"), stats.mann_whitney(rows, "x", "g"), stats.value_ranks(rows, "x")]
         return [df._jdf.queryExecution().optimizedPlan().toString().count(" > ") for df in made]
 
     assert size(300_000) == size(300)
