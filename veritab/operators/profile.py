@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.shared import written
-from .ranks import column_quantiles, finite, quantiles, quantiles_of_counts, with_running
+from .ranks import chunk_starts, column_quantiles, finite, quantiles, quantiles_of_counts
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 # Numeric codes that often stand for a missing value, and how often one must occur.
@@ -242,23 +242,29 @@ def table_summary(columns: DataFrame) -> DataFrame:
     return out.withColumn("missing_share", F.when(F.col("cells") > 0, F.col("missing_cells") / F.col("cells")).otherwise(F.lit(0.0)))
 
 
-def chunk_medians(df: DataFrame, column: str, position: str, chunks: int = 10) -> DataFrame:
-    """Medians of equal chunks of the finite values in the order of ``position``: chunk (from 1), rows, first_position, median.
+def chunk_medians_of(df: DataFrame, columns: list[str], position: str, chunks: int = 10) -> DataFrame:
+    """Medians of equal chunks of each column's finite values in the order of ``position``: col (its place in ``columns``), chunk (from 1), rows, first_position, median.
 
     Positions are distinct numbers, as rows of a file have; chunks differ by one row at most,
-    the longer ones first. The place of a row is its running count, made by ranges.
+    the longer ones first. Rows are cut into ranges of positions once for all columns; where
+    chunks begin tells the chunk of a row, so rows are counted without being put in order.
     """
-    rows = df.select(F.col(position).cast("long").alias("position"), finite(F.col(column)).alias("x"), F.lit(1).cast("long").alias("one")).where("position is not null and x is not null")
-    placed = with_running(rows, [], "position", ["one"])
-    total = rows.agg(F.count("*").alias("total"))
-    size, longer = F.floor(F.col("total") / chunks), F.col("total") % chunks
-    place = F.col("before_one")
-    chunk = F.when(place < longer * (size + 1), F.floor(place / (size + 1))).otherwise(longer + F.floor((place - longer * (size + 1)) / F.greatest(size, F.lit(1)))) + 1
-    cut = placed.crossJoin(F.broadcast(total)).select(chunk.cast("int").alias("chunk"), "x", "position")
-    counted = written(cut.groupBy("chunk", "x").agg(F.count("*").alias("n"), F.min("position").alias("first_position")), "chunks")
-    firsts = counted.groupBy("chunk").agg(F.sum("n").alias("rows"), F.min("first_position").alias("first_position"))
-    medians = quantiles_of_counts(counted, "chunk", "x", [0.5]).select("chunk", F.col("q")[0].alias("median"))
-    return firsts.join(F.broadcast(medians), "chunk")
+    values = [f"x{i}" for i in range(len(columns))]
+    rows = df.select(F.col(position).cast("long").alias("position"), *(finite(F.col(f"`{c}`")).alias(v) for c, v in zip(columns, values)))
+    rows = rows.where(F.col("position").isNotNull() & F.coalesce(*values).isNotNull()).repartitionByRange("position")
+    placed = written(rows.withColumn("range", F.spark_partition_id()), "positions")
+    starts, parts = chunk_starts(placed, values, "position", chunks)
+    cells = placed.join(F.broadcast(parts), "range").select("position", F.array(*values).alias("x"), F.explode("parts").alias("p"))
+    chunk = F.col("p.chunk") + F.size(F.filter("p.begins", lambda first: first <= F.col("position")))
+    cut = cells.select((F.col("p.col") * chunks + chunk).alias("key"), F.col("x")[F.col("p.col")].alias("x")).where("x is not null")
+    medians = quantiles_of_counts(cut.groupBy("key", "x").agg(F.count("*").alias("n")), "key", "x", [0.5])
+    medians = medians.select(F.floor(F.col("key") / chunks).cast("int").alias("col"), F.pmod("key", F.lit(chunks)).alias("chunk"), F.col("n").alias("rows"), F.col("q")[0].alias("median"))
+    return starts.join(medians, ["col", "chunk"]).select("col", (F.col("chunk") + 1).cast("int").alias("chunk"), "rows", "first_position", "median")
+
+
+def chunk_medians(df: DataFrame, column: str, position: str, chunks: int = 10) -> DataFrame:
+    """Those of one column: chunk (from 1), rows, first_position, median."""
+    return chunk_medians_of(df, [column], position, chunks).drop("col")
 
 
 UNIT_SHIFT_ROWS, UNIT_SHIFT_RATIO, UNIT_SHIFT_WITHIN = 300, 2.0, 1.3

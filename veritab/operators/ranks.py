@@ -43,8 +43,8 @@ def ranked_counts(counts: DataFrame, value: str, ties: str) -> DataFrame:
     return found.withColumn("rank", F.col(f"before_{ties}") + (F.col(ties) + 1) / 2.0).drop(f"before_{ties}", f"same_{ties}")
 
 
-def in_order(counts: DataFrame, by: str, value: str, *more: str) -> DataFrame:
-    """Counts of values (by, value, n) in order, with their range: by, value, n, more, range, before, total.
+def by_ranges(counts: DataFrame, by: str, value: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Counts of values (by, value, n, more) with their range, and for each key and range: before, sum, total.
 
     Rows are cut into ranges of (by, value), whatever the number of keys and however large one
     is; ``before`` is the sum of n over the ranges of a key before this one, ``total`` that of
@@ -55,20 +55,28 @@ def in_order(counts: DataFrame, by: str, value: str, *more: str) -> DataFrame:
     sums = placed.groupBy(by, "range").agg(F.sum("n").alias("sum"))
     of_key = Window.partitionBy(by)  # a row for each range
     before = F.sum("sum").over(of_key.orderBy("range")) - F.col("sum")
-    return placed.join(sums.select(by, "range", before.alias("before"), "sum", F.sum("sum").over(of_key).alias("total")), [by, "range"])
+    return placed, sums.select(by, "range", before.alias("before"), "sum", F.sum("sum").over(of_key).alias("total"))
+
+
+def in_order(counts: DataFrame, by: str, value: str, *more: str) -> DataFrame:
+    """Counts of values (by, value, n) in order, with the facts of their range (see ``by_ranges``)."""
+    placed, sums = by_ranges(counts, by, value, *more)
+    return placed.join(sums, [by, "range"])
 
 
 def quantiles_of_counts(counts: DataFrame, by: str, value: str, fractions: list[float]) -> DataFrame:
     """Exact interpolated quantiles from counts of values (by, value, n): by, n, q (an array in the order of ``fractions``).
 
-    Only the ranges that hold a wanted place are summed value by value.
+    Only the ranges that hold a wanted place are summed value by value; they are listed first, so
+    that Spark knows how few they are when it joins them. A value may have several counts.
     """
-    placed = in_order(counts, by, value)
+    placed, sums = by_ranges(counts, by, value)
     places = F.array_distinct(F.array(*(f((F.col("total") - 1) * F.lit(q)).cast("long") for q in fractions for f in (F.floor, F.ceil))))
     inside = F.filter(places, lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("sum")))
-    wanted = placed.withColumn("places", inside).where("size(places) > 0")
-    wanted = wanted.withColumn("end", F.col("before") + F.sum("n").over(Window.partitionBy(by, "range").orderBy(value)))
-    hit = wanted.select(by, "total", value, F.explode(F.filter("places", lambda p: (p >= F.col("end") - F.col("n")) & (p < F.col("end")))).alias("place"))
+    ranges = written(sums.withColumn("places", inside).where("size(places) > 0").drop("sum"), "wanted")
+    running = Window.partitionBy(by, "range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wanted = placed.join(ranges, [by, "range"]).withColumn("end", F.col("before") + F.sum("n").over(running))
+    hit = wanted.select(by, "total", value, "n", "end", F.explode("places").alias("place")).where("place >= end - n and place < end")
     found = hit.groupBy(by, "total").agg(F.map_from_entries(F.collect_list(F.struct("place", value))).alias("at"))  # two places for each fraction
 
     def pick(q: float) -> Column:
@@ -79,6 +87,35 @@ def quantiles_of_counts(counts: DataFrame, by: str, value: str, fractions: list[
     return found.select(by, F.col("total").alias("n"), F.array(*map(pick, fractions)).alias("q"))
 
 
+def chunk_starts(placed: DataFrame, columns: list[str], position: str, chunks: int) -> tuple[DataFrame, DataFrame]:
+    """Equal chunks of the values of several columns in the order of distinct positions, which ``placed`` has cut into ranges by its column range.
+
+    Two tables: where chunks begin (col, its place in ``columns``; chunk, from 0; first_position),
+    and by range for each column (parts: col, chunk before the range, begins, the positions in
+    it where a chunk begins). Chunks differ by one row at most, the longer ones first. Ranges are
+    counted; only those where a chunk begins are put in order.
+    """
+    counts = F.array(*(F.struct(F.lit(i).alias("col"), F.count(F.col(c)).alias("sum")) for i, c in enumerate(columns)))
+    sums = placed.groupBy("range").agg(counts.alias("c")).select("range", F.inline("c")).where("sum > 0")
+    of_column = Window.partitionBy("col")  # a row for each range
+    sums = sums.withColumns({"total": F.sum("sum").over(of_column), "before": F.sum("sum").over(of_column.orderBy("range")) - F.col("sum")})
+    size, longer = F.floor(F.col("total") / chunks), F.col("total") % chunks
+    numbers = F.sequence(F.lit(0), F.lit(chunks - 1))
+    listed = F.transform(numbers, lambda k: F.struct(k.alias("chunk"), (k * size + F.least(k.cast("long"), longer)).alias("start")))
+    inside = F.filter(listed, lambda s: (s["start"] >= F.col("before")) & (s["start"] < F.col("before") + F.col("sum")))
+    earlier = F.size(F.filter(listed, lambda s: s["start"] < F.col("before")))
+    ranges = written(sums.select("range", "col", "before", (earlier - 1).alias("chunk"), inside.alias("begun")), "chunks")
+    begun = ranges.where("size(begun) > 0").select("range", "col", "before", F.map_from_entries(F.transform("begun", lambda s: F.struct(s["start"], s["chunk"]))).alias("begun"))
+    met = placed.join(F.broadcast(begun), "range")  # as many as chunks at most
+    met = met.select("col", "range", "before", "begun", position, F.array(*columns)[F.col("col")].alias("x")).where("x is not null")
+    place = F.col("before") + F.row_number().over(Window.partitionBy("col", "range").orderBy(position)) - 1
+    starts = met.withColumn("chunk", F.col("begun")[place]).where("chunk is not null").select("range", "col", "chunk", F.col(position).alias("first_position"))
+    starts = written(starts, "chunk-starts")
+    begins = starts.groupBy("range", "col").agg(F.collect_list("first_position").alias("begins"))  # as many as chunks
+    begins = ranges.select("range", "col", "chunk").join(F.broadcast(begins), ["range", "col"], "left").withColumn("begins", F.coalesce("begins", F.array().cast("array<bigint>")))
+    return starts.drop("range"), begins.groupBy("range").agg(F.collect_list(F.struct("col", "chunk", "begins")).alias("parts"))  # as many as columns
+
+
 def quantiles(rows: DataFrame, by: str, value: str, fractions: list[float]) -> DataFrame:
     """Exact interpolated quantiles of finite values: by, n, q (an array in the order of ``fractions``).
 
