@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 import pytest
 
@@ -83,3 +84,25 @@ def test_odd_tables(spark):
     assert (found["v"]["n_finite"], found["v"]["min"], found["v"]["histogram"], found["v"]["stddev"]) == (1, 1.0, [1], None)
     assert (found["t"]["n_distinct"], found["t"]["max_length"]) == (2, 500) and found["t"]["top"][0]["value"].startswith("sha256:")
     assert found["a"]["kind"] == "other" and (found["a"]["missing"], found["a"]["n_distinct"]) == (1, 2)
+
+
+def test_values_are_counted_before_their_facts_are_made(spark):
+    df = spark.read.parquet(f"{SF}/lineitem.parquet")
+    counted = tables.cells(df)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(counted) if "Aggregate" in line)
+    facts_of_short_texts = [i for i, line in enumerate(counted) if "regexp_extract" in line and "octet_length" not in line]
+    assert facts_of_short_texts and max(facts_of_short_texts) <= at
+    assert "SortAggregate" not in tables._counts(tables.cells(df))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_values_of_every_type_stay_apart(spark):
+    types = "a double, b float, c decimal(20,2), d timestamp, e timestamp_ntz, f long, g date"
+    row = lambda a, b, c, d, f: (a, b, Decimal(c), d, d, f, d.date())
+    noon, midnight = dt.datetime(2024, 1, 2, 12, 0, 0, 5), dt.datetime(2024, 1, 2)
+    rows = [row(0.0, 0.1, "900719925474099.01", noon, 2**53), row(-0.0, 0.1, "900719925474099.02", midnight, 2**53 + 1), row(float("nan"), 1.5, "1.00", midnight, 3), row(float("nan"), float("inf"), "1.00", noon, 3)]
+    found = {r["column"]: {v["value"]: v["n"] for v in r["top"] or []} | {"n": r["n_distinct"]} for r in tables.profile_table(spark.createDataFrame(rows, types)).collect()}
+    assert found["a"] == {"0.0": 1, "-0.0": 1, "NaN": 2, "n": 3} and found["b"] == {"0.1": 2, "1.5": 1, "Infinity": 1, "n": 3}
+    assert found["c"] == {"900719925474099.01": 1, "900719925474099.02": 1, "1.00": 2, "n": 3} and found["f"] == {str(2**53): 1, str(2**53 + 1): 1, "3": 2, "n": 3}
+    assert [found[c]["n"] for c in "deg"] == [2, 2, 1]
+    times = {r["col"]: (r["value"], r["timed"]) for r in tables.cells(spark.createDataFrame(rows, types).where("hour(d) = 12").limit(1)).where("col in (3, 4)").collect()}
+    assert times == {c: ("2024-01-02 12:00:00.000005", True) for c in (3, 4)}

@@ -9,6 +9,7 @@ order of rows reads the table again.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,67 +43,106 @@ def kind_of(dtype: str) -> str:
     return {"boolean": "boolean", "string": "text"}.get(dtype, "other")
 
 
-def cells(df: DataFrame) -> DataFrame:
-    """Counts of the values of every column: col (its place), value, n, and facts of each value.
+def _values(df: DataFrame) -> DataFrame:
+    """Counts of the values of every column by what tells them apart: col, whole, real, text, long (where a column is a text), n. One pass; rows combine before the shuffle.
 
-    ``num`` is a finite number, or a date's day since 1970; ``timed`` says that a time of day is
-    not midnight; a text has its length, words, blank and the unit after a number. One pass;
-    rows combine before the shuffle.
+    Integers are whole; numbers are real, as text only where that does not tell them apart (decimals,
+    zeros by their sign); dates are whole days, with a text where there is a time of day. Texts of
+    more than ``LONG_VALUE`` bytes have their facts in ``long``.
     """
-    none = {"num": "double", "timed": "boolean", "length": "int", "words": "int", "blank": "boolean", "unit": "string"}
     parts = []
     for place, (name, dtype) in enumerate(df.dtypes):
         value, kind = F.col(f"`{name}`"), kind_of(dtype)
-        facts = {k: F.lit(None).cast(t) for k, t in none.items()}
+        whole, real = F.lit(None).cast("long"), F.lit(None).cast("double")
         text = F.to_json(value) if kind == "other" and dtype.startswith(("array", "struct", "map")) else value.cast("string")
-        if kind in ("integer", "real"):
-            facts["num"] = finite(value)
+        if kind == "integer":
+            whole, text = value.cast("long"), F.lit(None).cast("string")
+        elif kind == "real":
+            real, text = value.cast("double"), text if dtype.startswith("decimal") else F.when(value == 0, text)
         elif kind == "datetime":
-            facts["num"] = F.unix_date(value.cast("date")).cast("double")
-            facts["timed"] = value != value.cast("date").cast(dtype) if dtype != "date" else F.when(value.isNotNull(), F.lit(False))
-        elif kind == "text":
-            trimmed = F.trim(F.regexp_replace(value, r"[ \t\r\n]+", " "))
-            facts |= {"length": F.length(value), "blank": trimmed == "", "unit": F.regexp_extract(F.trim(value), UNIT_PATTERN, 1)}
-            facts["words"] = F.when(trimmed == "", 0).when(value.isNotNull(), F.size(F.split(trimmed, " ")))
-            text = F.when(F.octet_length(value) > LONG_VALUE, F.concat(F.lit("sha256:"), F.sha2(value, 256))).otherwise(value)
-        parts.append(F.struct(F.lit(place).alias("col"), text.alias("value"), *(facts[k].alias(k) for k in none)))
+            whole, text = F.unix_date(value.cast("date")).cast("long"), F.when(value != value.cast("date").cast(dtype), text)
+        parts.append(F.struct(F.lit(place).alias("col"), whole.alias("whole"), real.alias("real"), text.alias("text")))
     exploded = df.select(F.explode(F.array(*parts)).alias("c")).select("c.*")
+    text, texts = F.col("text"), [i for i, (_, t) in enumerate(df.dtypes) if kind_of(t) == "text"]
+    if texts:
+        is_long = F.col("col").isin(texts) & (F.octet_length(text) > LONG_VALUE)
+        long = F.when(is_long, F.struct(*(c.alias(k) for k, c in _text_facts(text).items())))
+        text = F.when(is_long, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
+        exploded = exploded.select("col", "whole", "real", text.alias("text"), long.alias("long"))
     return exploded.groupBy(*exploded.columns).agg(F.count("*").alias("n"))
 
 
+def _text_facts(text: Column) -> dict[str, Column]:
+    trimmed = F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
+    words = F.when(trimmed == "", 0).when(text.isNotNull(), F.size(F.split(trimmed, " ")))
+    return {"length": F.length(text), "words": words, "blank": trimmed == "", "unit": F.regexp_extract(F.trim(text), UNIT_PATTERN, 1)}
+
+
+def cells(df: DataFrame) -> DataFrame:
+    """Counts of the values of every column: col (its place), value, n, and facts of each value.
+
+    ``num`` is a finite number, or a date's day since 1970; ``timed`` says that a time of day is
+    not midnight; a text has its length, words, blank and the unit after a number. Values are
+    counted first, and each has its facts made once.
+    """
+    whole, real, text, long = map(F.col, ("whole", "real", "text", "long"))
+    found = {"value": [], "num": [], "timed": [], "length": [], "words": [], "blank": [], "unit": []}
+    for dtype in sorted({t for _, t in df.dtypes}):
+        kind, of_type = kind_of(dtype), F.col("col").isin([i for i, (_, t) in enumerate(df.dtypes) if t == dtype])
+        facts = {"value": text}
+        if kind == "integer":
+            facts = {"value": whole.cast("string"), "num": whole.cast("double")}
+        elif kind == "real":
+            facts = {"value": text if dtype.startswith("decimal") else F.coalesce(text, real.cast(dtype).cast("string")), "num": finite(real)}
+        elif kind == "datetime":
+            day = F.date_from_unix_date(whole.cast("int"))
+            facts = {"value": F.coalesce(text, day.cast(dtype).cast("string")), "num": whole.cast("double"), "timed": F.when(whole.isNotNull(), text.isNotNull())}
+        elif kind == "text":
+            facts |= {k: F.when(long.isNotNull(), long[k]).otherwise(c) for k, c in _text_facts(text).items()}
+        for k, c in facts.items():
+            found[k].append((of_type, c))
+    none = {"value": "string", "num": "double", "timed": "boolean", "length": "int", "words": "int", "blank": "boolean", "unit": "string"}
+    choose = lambda cases, t: reduce(lambda rest, c: F.when(*c).otherwise(rest), cases, F.lit(None).cast(t))
+    return _values(df).select("col", *(choose(found[k], t).alias(k) for k, t in none.items()), "n")
+
+
 def _counts(cells: DataFrame) -> DataFrame:
-    """Facts of a column that sums and extremes over its cells give."""
+    """Facts of a column that sums and extremes of numbers over its cells give; no text is compared."""
     n, x, known = F.col("n"), F.col("num"), F.col("value").isNotNull()
     weighed = lambda c: F.sum(F.col(c) * n) / F.sum(F.when(known, n))
     total = lambda when: F.coalesce(F.sum(F.when(when, n)), F.lit(0))
-    low = F.lower(F.trim("value"))
-    codes = F.array(*(F.struct(F.lit(code).alias("code"), total(x == code).alias("n")) for code in SENTINEL_VALUES))
     return cells.groupBy("col").agg(
         F.sum("n").alias("rows"), total(~known).alias("missing"), F.count("value").alias("n_distinct"), total(x.isNotNull()).alias("n_finite"), F.min("num").alias("min"), F.max("num").alias("max"),
-        (F.sum(x * n) / F.sum(F.when(x.isNotNull(), n))).alias("mean"), total(x == 0).alias("zeros"), total(x < 0).alias("negatives"), codes.alias("codes"),
+        (F.sum(x * n) / F.sum(F.when(x.isNotNull(), n))).alias("mean"), total(x == 0).alias("zeros"), total(x < 0).alias("negatives"),
         F.min("length").cast("long").alias("min_length"), weighed("length").alias("avg_length"), F.max("length").cast("long").alias("max_length"), total(F.col("blank")).alias("blank"),
-        weighed("words").alias("avg_words"), F.coalesce(F.bool_or("timed"), F.lit(False)).alias("timed"),
-        F.max(F.when(known, n)).alias("largest"), F.min(F.when(known, n)).alias("smallest"), F.min(low).alias("low_value"), F.max(low).alias("high_value"),
+        weighed("words").alias("avg_words"), F.coalesce(F.bool_or("timed"), F.lit(False)).alias("timed"), F.max(F.when(known, n)).alias("largest"), F.min(F.when(known, n)).alias("smallest"),
     )
 
 
+def _codes(numbers: DataFrame) -> DataFrame:
+    """How often each column has numbers that stand for missing ones: col, codes (code, n)."""
+    met = numbers.where(F.col("num").isin(list(SENTINEL_VALUES))).groupBy("col", F.col("num").alias("code")).agg(F.sum("n").alias("n"))
+    return met.groupBy("col").agg(F.sort_array(F.collect_list(F.struct("code", "n"))).alias("codes"))  # as many as codes
+
+
 def _spread(cells: DataFrame, facts: DataFrame) -> DataFrame:
     """Facts that need a column's mean, fences, bounds and rows first: moments, outliers, histogram, rare values."""
     n, x = F.col("n"), F.col("num")
     met = cells.where("value is not null").join(F.broadcast(facts.select("col", "mean", "min", "max", "low_fence", "high_fence", "known")), "col")  # as many rows as columns
     width = (F.col("max") - F.col("min")) / BINS
     at = F.when(F.col("max") > F.col("min"), F.least(F.floor((x - F.col("min")) / width), F.lit(BINS - 1))).when(x.isNotNull(), F.lit(0))
-    bins = [F.coalesce(F.sum(F.when(F.col("bin") == i, n)), F.lit(0)) for i in range(BINS)]
     away = x - F.col("mean")
-    return met.withColumn("bin", at).groupBy("col").agg(
-        F.sum(n * away * away).alias("m2"), F.sum(n * away * away * away).alias("m3"), F.coalesce(F.sum(F.when((x < F.col("low_fence")) | (x > F.col("high_fence")), n)), F.lit(0)).alias("n_outside"),
-        F.array(*bins).alias("bins"), F.count_if(n < RARE * F.col("known")).alias("n_rare"),
+    parts = met.withColumn("bin", at.cast("int")).groupBy("col", "bin").agg(
+        F.sum(n * away * away).alias("m2"), F.sum(n * away * away * away).alias("m3"), F.sum(F.when((x < F.col("low_fence")) | (x > F.col("high_fence")), n)).alias("n_outside"),
+        F.sum("n").alias("n"), F.count_if(n < RARE * F.col("known")).alias("n_rare"),
     )
+    bins = F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "n"))))  # as many as bins
+    found = parts.groupBy("col").agg(F.sum("m2").alias("m2"), F.sum("m3").alias("m3"), F.coalesce(F.sum("n_outside"), F.lit(0)).alias("n_outside"), bins.alias("bins"), F.sum("n_rare").alias("n_rare"))
+    return found.withColumn("bins", F.array(*(F.coalesce(F.col("bins")[i], F.lit(0)) for i in range(BINS))))
 
 
-def _top(cells: DataFrame, label: str, k: int) -> DataFrame:
+def _top(counts: DataFrame, label: str, k: int) -> DataFrame:
     """The ``k`` commonest labels of each column, in order: col, listed (label, n). Tasks keep k each before they meet."""
-    counts = cells.groupBy("col", label).agg(F.sum("n").alias("n"))
     first = counts.withColumn("place", F.row_number().over(Window.partitionBy("col").orderBy(F.desc("n"), label))).where(F.col("place") <= k)
     listed = F.sort_array(F.collect_list(F.struct("place", F.col(label).alias("label"), "n")))
     return first.groupBy("col").agg(F.transform(listed, lambda r: F.struct(r["label"].alias("value"), r["n"].alias("n"))).alias("listed"))
@@ -148,18 +188,20 @@ def profile_table(df: DataFrame, position: str | None = None) -> DataFrame:
     kinds = [kind_of(t) for _, t in df.dtypes]
     spark = df.sparkSession
     counted = written(cells(df), "cells")
-    names = spark.createDataFrame([(i, c, kinds[i], t, bool(re.search(ID_NAME, c))) for i, (c, t) in enumerate(df.dtypes)], "col int, column string, kind string, physical_type string, id_name boolean")
+    names = [F.struct(*(F.lit(v).alias(k) for k, v in {"col": i, "column": c, "kind": kinds[i], "physical_type": t, "id_name": bool(re.search(ID_NAME, c))}.items())) for i, (c, t) in enumerate(df.dtypes)]
+    names = spark.range(1).select(F.inline(F.array(*names)))
     numeric = [i for i, k in enumerate(kinds) if k in ("integer", "real")]
     is_number, is_date, is_text = (F.col("kind").isin(*k) for k in (("integer", "real"), ("datetime",), ("text",)))
     numbers = counted.where(F.col("col").isin(numeric) & F.col("num").isNotNull())
-    q = quantiles_of_counts(numbers.groupBy("col", "num").agg(F.sum("n").alias("n")), "col", "num", list(QUANTILES)).select("col", "q")
-    facts = names.join(_counts(counted), "col", "left").join(q, "col", "left")
+    q = quantiles_of_counts(numbers, "col", "num", list(QUANTILES)).select("col", "q")
+    facts = names.join(_counts(counted), "col", "left").join(_codes(numbers), "col", "left").join(q, "col", "left")
     reach = 1.5 * (F.col("q")[3] - F.col("q")[1])
     facts = facts.withColumns({"low_fence": F.col("q")[1] - reach, "high_fence": F.col("q")[3] + reach, "known": F.col("rows") - F.col("missing")})
     facts = written(facts, "facts")
     met = facts.join(_spread(counted, facts), "col", "left")
-    met = met.join(_top(counted.where("value is not null"), "value", TOP_VALUES).withColumnRenamed("listed", "top"), "col", "left")
-    met = met.join(_top(counted.where("unit is not null"), "unit", UNITS).withColumnRenamed("listed", "units"), "col", "left")
+    with_top = facts.where(is_text | (F.col("kind") == "boolean") | (F.col("n_distinct") <= LOW_CARDINALITY)).select("col")  # as many as columns
+    met = met.join(_top(counted.where("value is not null").join(F.broadcast(with_top), "col"), "value", TOP_VALUES).withColumnRenamed("listed", "top"), "col", "left")
+    met = met.join(_top(counted.where("unit is not null").groupBy("col", "unit").agg(F.sum("n").alias("n")), "unit", UNITS).withColumnRenamed("listed", "units"), "col", "left")
     met = met.join(_dates(counted.where(F.col("col").isin([i for i, k in enumerate(kinds) if k == "datetime"]) & F.col("num").isNotNull()).select("col", "num").distinct()), "col", "left")
     shift = F.lit(None).cast("struct<from_position bigint, ratio double, median_before double, median_after double>").alias("shift")
     if position is not None and numeric:
@@ -173,7 +215,8 @@ def _described(met: DataFrame, is_number: Column, is_date: Column, is_text: Colu
     rows, missing = F.coalesce("rows", F.lit(0)), F.coalesce("missing", F.lit(0))
     known, n_distinct = rows - missing, F.coalesce("n_distinct", F.lit(0))
     uniqueness = F.when(known > 0, n_distinct / known).otherwise(F.lit(0.0))
-    pair = F.struct(F.col("low_value").alias("a"), F.col("high_value").alias("b"))
+    lowered = F.transform("top", lambda t: F.lower(F.trim(t["value"])))
+    pair = F.struct(F.array_min(lowered).alias("a"), F.array_max(lowered).alias("b"))
     two_valued = F.coalesce((n_distinct == 2) & pair.isin(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in BOOLEAN_PAIRS)), F.lit(False))
     meaning = F.lit("other")
     for kind in ("integer", "real", "datetime", "boolean", "text"):
@@ -199,7 +242,7 @@ def _described(met: DataFrame, is_number: Column, is_date: Column, is_text: Colu
         "rows": rows, "missing": missing, "n_distinct": n_distinct, "uniqueness": uniqueness, "semantic_type": meaning,
         "n_finite": F.when(is_number & some, n), "min": number(F.col("min")), "max": number(F.col("max")), "mean": number(F.col("mean")), "median": number(F.col("q")[2]), "stddev": number(sd), "skewness": number(skew),
         "p05": number(F.col("q")[0]), "p25": number(F.col("q")[1]), "p75": number(F.col("q")[3]), "p95": number(F.col("q")[4]), "zeros": number(F.col("zeros")), "negatives": number(F.col("negatives")),
-        "low_fence": number(F.col("low_fence")), "high_fence": number(F.col("high_fence")), "n_outside": number(F.col("n_outside")), "sentinels": number(F.filter("codes", outside)),
+        "low_fence": number(F.col("low_fence")), "high_fence": number(F.col("high_fence")), "n_outside": number(F.col("n_outside")), "sentinels": number(F.coalesce(F.filter("codes", outside), F.array().cast("array<struct<code: double, n: bigint>>"))),
         "histogram": number(F.when(F.col("max") > F.col("min"), F.col("bins")).otherwise(F.slice("bins", 1, 1))),
         "first": date(F.col("first")), "last": date(F.col("last")), "granularity": date(grain), "period": date(F.element_at(F.array(*map(F.lit, PERIODS)), period + 1)),
         "periods": date(of_period(counts)), "empty_periods": date(of_period(counts) - of_period(F.col("held"))),
