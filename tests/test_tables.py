@@ -6,6 +6,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from veritab import registry
 from veritab.operators import tables
@@ -106,3 +107,15 @@ def test_values_of_every_type_stay_apart(spark):
     assert [found[c]["n"] for c in "deg"] == [2, 2, 1]
     times = {r["col"]: (r["value"], r["timed"]) for r in tables.cells(spark.createDataFrame(rows, types).where("hour(d) = 12").limit(1)).where("col in (3, 4)").collect()}
     assert times == {c: ("2024-01-02 12:00:00.000005", True) for c in (3, 4)}
+
+
+def test_a_row_is_cut_into_ranges_once_for_all_columns(spark, monkeypatch):
+    from veritab.operators import profile, ranks
+
+    df = spark.range(700).select("id", *((F.when(F.col("id") % k > 0, 1 + F.col("id") % 5) * F.when(F.col("id") >= 420, 3).otherwise(1)).alias(f"x{k}") for k in (2, 3, 7)))
+    seen = []
+    for module in (tables, profile, ranks):
+        monkeypatch.setattr(module, "written", lambda d, label, real=ranks.written: (seen.append(real(d, label)), seen[-1])[1])
+    found = {r["column"]: r["shift"] for r in tables.profile_table(df, "id").select("column", "shift").collect()}
+    assert found["id"] is None and all(found[f"x{k}"]["ratio"] == 3 for k in (2, 3, 7))
+    assert [d.count() for d in seen if "position" in d.columns] == [700]

@@ -18,9 +18,9 @@ from pyspark.sql.window import Window
 from ..sources.shared import written
 from . import insights
 from .profile import (
-    ID_NAME, PERIODS, QUANTILES, SENTINEL_MIN_COUNT, SENTINEL_VALUES, UNIT_PATTERN, granularity, period_choice, period_number, semantic_type, shifts,
+    ID_NAME, PERIODS, QUANTILES, SENTINEL_MIN_COUNT, SENTINEL_VALUES, UNIT_PATTERN, chunk_medians_of, granularity, period_choice, period_number, semantic_type, shifts,
 )
-from .ranks import finite, in_order, quantiles_of_counts
+from .ranks import finite, quantiles_of_counts
 
 BINS, TOP_VALUES, UNITS, CHUNKS = 20, 10, 50, 10
 #: Numbers with at most so many distinct values also have categories; a category under this share is rare.
@@ -160,20 +160,9 @@ def _dates(days: DataFrame) -> DataFrame:
 
 def _shifts(df: DataFrame, numeric: list[tuple[int, str]], position: str) -> DataFrame:
     """Lasting jumps of scale in the order of ``position``, for all numeric columns in one pass: col, shift."""
-    values = F.array(*(F.struct(F.lit(i).alias("col"), finite(F.col(f"`{c}`")).alias("x")) for i, c in numeric))
-    rows = df.select(F.col(position).cast("long").alias("position"), F.explode(values).alias("v")).select("v.col", "position", "v.x", F.lit(1).alias("n"))
-    placed = in_order(rows.where("position is not null and x is not null"), "col", "position", "x")
-    place = F.col("before") + F.row_number().over(Window.partitionBy("col", "range").orderBy("position")) - 1
-    size, longer = F.floor(F.col("total") / CHUNKS), F.col("total") % CHUNKS
-    chunk = F.when(F.col("place") < longer * (size + 1), F.floor(F.col("place") / (size + 1))).otherwise(longer + F.floor((F.col("place") - longer * (size + 1)) / F.greatest(size, F.lit(1))))
-    cut = placed.withColumn("place", place).select((F.col("col") * CHUNKS + chunk).cast("long").alias("key"), "position", "x")
-    counted = cut.groupBy("key", "x").agg(F.count("*").alias("n"), F.min("position").alias("position"))
-    counted = written(counted, "chunks")
-    firsts = counted.groupBy("key").agg(F.sum("n").alias("rows"), F.min("position").alias("first_position"))
-    medians = quantiles_of_counts(counted, "key", "x", [0.5]).select("key", F.col("q")[0].alias("median"))
-    both = firsts.join(medians, "key").withColumns({"col": F.floor(F.col("key") / CHUNKS).cast("int"), "chunk": F.pmod("key", F.lit(CHUNKS)) + 1})
-    found = shifts(both, "col")
-    return found.select("col", F.struct("from_position", "ratio", "median_before", "median_after").alias("shift"))
+    found = shifts(chunk_medians_of(df, [c for _, c in numeric], position, CHUNKS), "col")
+    place = F.element_at(F.array(*(F.lit(i) for i, _ in numeric)), F.col("col") + 1)
+    return found.select(place.alias("col"), F.struct("from_position", "ratio", "median_before", "median_after").alias("shift"))
 
 
 def profile_table(df: DataFrame, position: str | None = None) -> DataFrame:
